@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm.queries_chat import SQL as SQL_OP2
+from tidemark.llm import queries_chat
 from tidemark.llm.queries_chat import op2_prefix_target_chat
+from tidemark.llm.queries_packing import op5_minimum_bin_slack
 
-QUERIES = {"op2_prefix_target_chat": op2_prefix_target_chat}
-SQL = {"op2_prefix_target_chat": SQL_OP2}
+QUERIES = {
+    "op2_prefix_target_chat": op2_prefix_target_chat,
+    "op5_minimum_bin_slack": op5_minimum_bin_slack,
+}
+SQL = {
+    "op2_prefix_target_chat": queries_chat.SQL,
+}
