@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import queries_chat
+from tidemark.llm import queries_chat, queries_exact
 from tidemark.llm.queries_chat import op2_prefix_target_chat
+from tidemark.llm.queries_exact import op8_block_naming
 from tidemark.llm.queries_packing import op5_minimum_bin_slack
+from tidemark.llm.queries_simhash import op7_gray_order_simhash
 
 QUERIES = {
     "op2_prefix_target_chat": op2_prefix_target_chat,
     "op5_minimum_bin_slack": op5_minimum_bin_slack,
+    "op7_gray_order_simhash": op7_gray_order_simhash,
+    "op8_block_naming": op8_block_naming,
 }
 SQL = {
     "op2_prefix_target_chat": queries_chat.SQL,
+    "op8_block_naming": queries_exact.SQL,
 }
