@@ -1,13 +1,14 @@
-"""Encoding with tokenizer files of the ``tokenizers`` library, one unit of text at a time.
+"""Encoding with tokenizer files of the ``tokenizers`` library, one word of text at a time.
 
 Both kinds of tokenizer used here never merge ids across certain places of a text, so a text's ids are the ids of
 its units joined, and a worker encodes each distinct unit once:
 
 * ``"word"``: tokenizers that drop white space; a unit is a run without white space.
-* ``"space"``: byte-level tokenizers that put one space before a word; a unit is a word and its space.
+* ``"space"``: byte-level tokenizers that put one space before a word; a unit is a space and its word.
 * ``"text"``: any other tokenizer; the whole text is the unit.
 
-Texts where the cut could change ids (see :meth:`UnitEncoder.encode`) are encoded whole.
+A unit of letters alone is one piece for the tokenizer's model, which is then asked directly; all other units go
+through the tokenizer.  Texts where the cut could change ids (see :meth:`UnitEncoder.encode`) are encoded whole.
 """
 
 from __future__ import annotations
@@ -19,32 +20,54 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 WIDE_SPACE = re.compile(r"\s \s")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself if it prints, else one from 256 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class UnitEncoder(dict):
-    """Maps a unit to its ids (little-endian unsigned 32-bit); holds ``limit`` units at most, then starts anew."""
+    """Maps a word to its unit's ids (little-endian unsigned 32-bit).
 
-    def __init__(self, path: str, unit: str = "text", limit: int = 800_000):
+    ``limit`` words are held at most; then those that came up since the last such moment stay and the rest go.
+    """
+
+    def __init__(self, path: str, unit: str = "text", limit: int = 600_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         if unit not in ("word", "space", "text"):
             raise ValueError(f"unknown unit {unit!r}")
         self.tokenizer, self.unit, self.limit = Tokenizer.from_file(path), unit, limit
+        self.model, self.lead, self.letters, self.older = self.tokenizer.model, " " * (unit == "space"), byte_letters(), {}
+        self.marks = {x: self.whole(x) for x in ".,"}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, unit: str) -> bytes:
-        if len(unit) > 64:
-            return self.whole(unit)
+    def unit_ids(self, word: str) -> bytes:
+        # Below U+0300 nothing composes, and only ASCII is surely lower-cased as str.lower does.
+        if word.isalpha() and (word.isascii() and (self.lead or word.islower()) or self.lead):
+            piece = (self.lead + word).encode().decode("latin-1").translate(self.letters)
+            return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
+        return self.whole(self.lead + word)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > 64:
+            return self.whole(self.lead + word)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        if self.unit == "word" and unit.isascii() and (low := unit.lower()) != unit:
-            ids = self[low]
-        elif len(unit) > 2 and unit[-1] in ".," and unit[-2].isalpha():
-            ids = self[unit[:-1]] + self[unit[-1]]
-        else:
-            ids = self.whole(unit)
-        self[unit] = ids
+        ids = self.older.get(word)
+        if ids is None:
+            if not self.lead and word.isascii() and (low := word.lower()) != word:
+                ids = self[low]
+            elif len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+                ids = self[word[:-1]] + self.marks[word[-1]]
+            else:
+                ids = self.unit_ids(word)
+        self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -53,7 +76,7 @@ class UnitEncoder(dict):
         # White space on both sides of a space belongs to one run, which must not be cut.
         if self.unit == "space" and not WIDE_SPACE.search(text) and "<|" not in text:
             first, *rest = text.split(" ")
-            return b"".join(map(self.__getitem__, [first] * bool(first) + [f" {x}" for x in rest]))
+            return self.whole(first) + b"".join(map(self.__getitem__, rest))
         return self.whole(text)
 
 
