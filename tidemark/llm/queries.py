@@ -7,10 +7,12 @@ from tidemark.llm.queries_chat import op2_prefix_target_chat
 from tidemark.llm.queries_exact import op8_block_naming
 from tidemark.llm.queries_packing import op5_minimum_bin_slack
 from tidemark.llm.queries_simhash import op7_gray_order_simhash
+from tidemark.llm.queries_toxicity import op6_maximum_scoring_segments
 
 QUERIES = {
     "op2_prefix_target_chat": op2_prefix_target_chat,
     "op5_minimum_bin_slack": op5_minimum_bin_slack,
+    "op6_maximum_scoring_segments": op6_maximum_scoring_segments,
     "op7_gray_order_simhash": op7_gray_order_simhash,
     "op8_block_naming": op8_block_naming,
 }
