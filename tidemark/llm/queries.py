@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from tidemark.llm import queries_chat, queries_exact
 from tidemark.llm.queries_chat import op2_prefix_target_chat
+from tidemark.llm.queries_decontaminate import op10_seeded_alignment
 from tidemark.llm.queries_exact import op8_block_naming
 from tidemark.llm.queries_packing import op5_minimum_bin_slack
+from tidemark.llm.queries_pii import op9_candidate_boosting
 from tidemark.llm.queries_simhash import op7_gray_order_simhash
 from tidemark.llm.queries_toxicity import op6_maximum_scoring_segments
 
@@ -15,6 +17,8 @@ QUERIES = {
     "op6_maximum_scoring_segments": op6_maximum_scoring_segments,
     "op7_gray_order_simhash": op7_gray_order_simhash,
     "op8_block_naming": op8_block_naming,
+    "op9_candidate_boosting": op9_candidate_boosting,
+    "op10_seeded_alignment": op10_seeded_alignment,
 }
 SQL = {
     "op2_prefix_target_chat": queries_chat.SQL,
