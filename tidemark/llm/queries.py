@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import queries_chat, queries_exact
+from tidemark.llm import queries_chat, queries_exact, queries_warc
 from tidemark.llm.queries_chat import op2_prefix_target_chat
 from tidemark.llm.queries_decontaminate import op10_seeded_alignment
 from tidemark.llm.queries_exact import op8_block_naming
@@ -10,9 +10,11 @@ from tidemark.llm.queries_packing import op5_minimum_bin_slack
 from tidemark.llm.queries_pii import op9_candidate_boosting
 from tidemark.llm.queries_simhash import op7_gray_order_simhash
 from tidemark.llm.queries_toxicity import op6_maximum_scoring_segments
+from tidemark.llm.queries_warc import op4_seekable_warc
 
 QUERIES = {
     "op2_prefix_target_chat": op2_prefix_target_chat,
+    "op4_seekable_warc": op4_seekable_warc,
     "op5_minimum_bin_slack": op5_minimum_bin_slack,
     "op6_maximum_scoring_segments": op6_maximum_scoring_segments,
     "op7_gray_order_simhash": op7_gray_order_simhash,
@@ -22,5 +24,6 @@ QUERIES = {
 }
 SQL = {
     "op2_prefix_target_chat": queries_chat.SQL,
+    "op4_seekable_warc": queries_warc.SQL,
     "op8_block_naming": queries_exact.SQL,
 }
