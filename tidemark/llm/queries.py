@@ -9,10 +9,12 @@ from tidemark.llm.queries_exact import op8_block_naming
 from tidemark.llm.queries_packing import op5_minimum_bin_slack
 from tidemark.llm.queries_pii import op9_candidate_boosting
 from tidemark.llm.queries_simhash import op7_gray_order_simhash
+from tidemark.llm.queries_store import op1_content_store
 from tidemark.llm.queries_toxicity import op6_maximum_scoring_segments
 from tidemark.llm.queries_warc import op4_seekable_warc
 
 QUERIES = {
+    "op1_content_store": op1_content_store,
     "op2_prefix_target_chat": op2_prefix_target_chat,
     "op4_seekable_warc": op4_seekable_warc,
     "op5_minimum_bin_slack": op5_minimum_bin_slack,
