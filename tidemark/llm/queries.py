@@ -6,6 +6,7 @@ from tidemark.llm import queries_chat, queries_exact, queries_warc
 from tidemark.llm.queries_chat import op2_prefix_target_chat
 from tidemark.llm.queries_decontaminate import op10_seeded_alignment
 from tidemark.llm.queries_exact import op8_block_naming
+from tidemark.llm.queries_license import op3_patience_license
 from tidemark.llm.queries_packing import op5_minimum_bin_slack
 from tidemark.llm.queries_pii import op9_candidate_boosting
 from tidemark.llm.queries_simhash import op7_gray_order_simhash
@@ -16,6 +17,7 @@ from tidemark.llm.queries_warc import op4_seekable_warc
 QUERIES = {
     "op1_content_store": op1_content_store,
     "op2_prefix_target_chat": op2_prefix_target_chat,
+    "op3_patience_license": op3_patience_license,
     "op4_seekable_warc": op4_seekable_warc,
     "op5_minimum_bin_slack": op5_minimum_bin_slack,
     "op6_maximum_scoring_segments": op6_maximum_scoring_segments,
