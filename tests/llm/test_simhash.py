@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tests_helpers import brute_groups
 
 from tidemark.llm.components import components
 from tidemark.llm.simhash import GrayIndex, fingerprint, links, near_groups
@@ -18,25 +19,6 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_groups(values, limit=3):
-    root = {v: v for v in values}
-
-    def find(v):
-        while root[v] != v:
-            v = root[v]
-        return v
-
-    values = list(root)
-    for i, a in enumerate(values):
-        for b in values[:i]:
-            if (a ^ b).bit_count() <= limit:
-                root[find(a)] = find(b)
-    groups = {}
-    for v in values:
-        groups.setdefault(find(v), set()).add(v)
-    return sorted(map(sorted, groups.values()))
-
-
 def test_fingerprint():
     for text in ["", " \n", "One", "one TWO", "a b c", "Ärger A a\x0bb\x0cc x x x x x", "w " * 500 + "ÉÀ z"]:
         assert fingerprint(text.encode()) == brute_print(text)

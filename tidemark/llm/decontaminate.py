@@ -23,16 +23,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_rows
+from tidemark.llm.common import keep_rows, text_rows
 
 WORD = re.compile(r"\w+")
-HITS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
+DDL = "doc_id long, item_id long, score double, start_word long, end_word long"
+HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
 Seed = tuple[str, ...]
 
 
@@ -91,6 +93,26 @@ class Seeds:
                 if gram in self.where:
                     yield gram, at
 
+    def leaks_of(self, words: list[str], min_score: float, match: float, mismatch: float, gap: float) -> dict[int, tuple[float, int, int]]:
+        """Per item id, the best score and the words it covers."""
+        stretches = defaultdict(list)
+        for seed, at in self.found(words):
+            for k, i in self.where[seed]:
+                # The item's words before and after the seed, and half as many again for words added.
+                length = len(self.items[k][1])
+                stretches[k].append((max(0, at - i - length // 2 - 1), min(len(words), at + length - i + length // 2 + 1)))
+        best: dict[int, tuple[float, int, int]] = {}
+        for k, parts in stretches.items():
+            item_id, item = self.items[k]
+            number = {w: x for x, w in enumerate(dict.fromkeys(item))}
+            wanted = np.array([number[w] for w in item])
+            for a, b in _merged(parts):
+                score, start, end = align(np.array([number.get(w, -1) for w in words[a:b]]), wanted, match, mismatch, gap)
+                score /= match * len(item)
+                if score >= min_score and score > best.get(item_id, (0.0,))[0]:
+                    best[item_id] = (score, a + start, a + end)
+        return best
+
     def keep(self, counts: dict[Seed, int], rare: float) -> None:
         """Drops the seeds that aren't rare for their item."""
         kept = defaultdict(list)
@@ -120,16 +142,17 @@ def _blocks(bench: DataFrame, id_col: str, block_words: int):
         yield block
 
 
-def leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "item_id", n: int = 5, rare: float = 2.0, min_score: float = 0.5, match: float = 2.0, mismatch: float = 1.0, gap: float = 1.0, block_words: int = 500_000) -> DataFrame:
-    """documents(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, score, start_word, end_word)."""
-    docs = text_rows(docs)
-    context = docs.sparkSession.sparkContext
+OPTIONS = {"n": 5, "rare": 2.0, "min_score": 0.5, "match": 2.0, "mismatch": 1.0, "gap": 1.0, "block_words": 500_000}
 
-    def found_in(block):
-        seeds = Seeds(block, n)
+
+def _rare_seeds(docs: DataFrame, bench: DataFrame, id_col: str, options: dict):
+    """A broadcast of rare seeds for each block of items."""
+    context = docs.sparkSession.sparkContext
+    for block in _blocks(bench, id_col, options["block_words"]):
+        seeds = Seeds(block, options["n"])
         shared = context.broadcast(seeds)
 
-        def count(batches):
+        def count(batches, shared=shared):
             seen: Counter = Counter()
             for batch in batches:
                 for text in batch.column(0).to_pylist():
@@ -137,43 +160,49 @@ def leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "item_id", n: int
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(s) for s in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["seed", "n"])
 
         counts = docs.select("text").mapInArrow(count, "seed string, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        seeds.keep({tuple(r.seed.split(" ")): r.n for r in counts.collect()}, rare)
-        kept = context.broadcast(seeds)
+        seeds.keep({tuple(r.seed.split(" ")): r.n for r in counts.collect()}, options["rare"])
+        yield context.broadcast(seeds)
+
+
+def _scores(options: dict) -> dict:
+    return {k: options[k] for k in ("min_score", "match", "mismatch", "gap")}
+
 
+def leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "item_id", **changed) -> DataFrame:
+    """documents(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, score, start_word, end_word).
+
+    ``changed``: of ``OPTIONS``.
+    """
+    docs, options = text_rows(docs), OPTIONS | changed
+    scores = _scores(options)
+
+    def found_in(kept):
         def run(batches):
-            items = kept.value.items
             for batch in batches:
                 out = []
-                for row, (doc_id, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                    words = words_of(text)
-                    stretches = defaultdict(list)
-                    for seed, at in kept.value.found(words):
-                        for k, i in kept.value.where[seed]:
-                            # The item's words before the seed, and half as many again for words added.
-                            length = len(items[k][1])
-                            stretches[k].append((max(0, at - i - length // 2 - 1), min(len(words), at + length - i + length // 2 + 1)))
-                    best = {}
-                    for k, parts in stretches.items():
-                        item_id, item = items[k]
-                        number = {w: x for x, w in enumerate(dict.fromkeys(item))}
-                        wanted = np.array([number[w] for w in item])
-                        for a, b in _merged(parts):
-                            score, start, end = align(np.array([number.get(w, -1) for w in words[a:b]]), wanted, match, mismatch, gap)
-                            score /= match * len(item)
-                            if score >= min_score and score > best.get(item_id, (0.0,))[0]:
-                                best[item_id] = (score, a + start, a + end)
-                    out += [(row, doc_id, item_id, *x) for item_id, x in best.items()]
+                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    out += [(doc_id, item_id, *x) for item_id, x in kept.value.leaks_of(words_of(text), **scores).items()]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), HITS, strict=True)], schema=HITS)
 
-        return docs.mapInArrow(run, "row long, doc_id long, item_id long, score double, start_word long, end_word long").drop("row")
+        return docs.mapInArrow(run, DDL)
+
+    parts = [found_in(kept) for kept in _rare_seeds(docs, bench, id_col, options)]
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], DDL)
+
+
+def without_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "item_id", **changed) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item's passage; no row moves."""
+    options = OPTIONS | changed
+    scores = _scores(options)
+    clean = docs
+    for kept in _rare_seeds(text_rows(docs), bench, id_col, options):
+
+        def is_clean(text: str, kept=kept) -> bool:
+            return not kept.value.leaks_of(words_of(text), **scores)
 
-    out = None
-    for block in _blocks(bench, id_col, block_words):
-        part = found_in(block)
-        out = part if out is None else out.unionByName(part)
-    empty = "doc_id long, item_id long, score double, start_word long, end_word long"
-    return docs.sparkSession.createDataFrame([], empty) if out is None else out
+        clean = keep_rows(clean, is_clean)
+    return clean
 
 
 def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -107,10 +107,13 @@ def identities(cut: DataFrame) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, block_bytes: int = 1 << 14) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, keep_id, group_size, kept, text_sha256), one row per document."""
+    """documents(doc_id, text) -> (doc_id, keep_id, group_size, kept, text_sha256, row), one row per document.
+
+    ``row`` is what ``monotonically_increasing_id()`` gives the same scan of ``docs``.
+    """
     cut = stored(cut_blocks(docs, block_bytes), "blocks")
     rows = stored(cut.select("row", "doc_id", "points", "text_sha256").join(identities(cut), "row"), "identities")
     best = F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     groups = rows.groupBy("n_blocks", "name").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
     groups = groups.select("n_blocks", "name", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
-    return rows.join(groups, ["n_blocks", "name"]).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    return rows.join(groups, ["n_blocks", "name"]).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "row")

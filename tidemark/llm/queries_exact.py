@@ -9,7 +9,7 @@ from tidemark.llm.exact import exact_groups
 
 
 def op8_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(read(spark, sf_dir, "documents"))
+    return exact_groups(read(spark, sf_dir, "documents")).drop("row")
 
 
 SQL = r"""

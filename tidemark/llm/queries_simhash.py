@@ -9,4 +9,4 @@ from tidemark.llm.simhash import near_groups
 
 
 def op7_gray_order_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(read(spark, sf_dir, "documents"))
+    return near_groups(read(spark, sf_dir, "documents")).drop("kept", "row")

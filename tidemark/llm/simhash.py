@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored, text_rows
 from tidemark.llm.components import components
 
-PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+PRINTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64())])
 FOREST = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -53,14 +53,14 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, fp); ``fp`` holds the 64 bits as a signed long."""
+    """documents(doc_id, text) -> (row, doc_id, fp); ``fp`` holds the 64 bits as a signed long."""
 
     def run(batches):
         for batch in batches:
-            fp = np.fromiter((fingerprint(x, shingle) for x in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], schema=PRINTS)
+            fp = np.fromiter((fingerprint(x, shingle) for x in batch.column(2).to_pylist()), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], schema=PRINTS)
 
-    return text_rows(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return text_rows(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "row long, doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -195,14 +195,18 @@ def links(prints: DataFrame, max_bits: int = 3, hot_bucket: int = 4096) -> DataF
 
 
 def near_groups(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3, hot_bucket: int = 4096) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, fingerprint, component_id), one row per document."""
+    """documents(doc_id, text) -> (doc_id, fingerprint, component_id, kept, row), one row per document.
+
+    ``kept`` marks the first row of a component, by id (null last), then row; ``row`` is what
+    ``monotonically_increasing_id()`` gives the same scan of ``docs``.
+    """
     prints = stored(fingerprints(docs, shingle), "prints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    nodes = stored(prints.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
     forest = stored(links(nodes.select("fp"), max_bits, hot_bucket), "forest")
     linked = components(forest).join(nodes, F.col("node") == F.col("fp"))
-    firsts = linked.groupBy("root").agg(F.min("first_id").alias("group_id"))
-    grouped = stored(linked.select("fp", "root").join(firsts, "root").select("fp", "group_id"), "grouped")
-    # A group's id may be null (all its ids are), so membership has a mark of its own.
-    ids = nodes.join(grouped.withColumn("member", F.lit(True)), "fp", "left")
-    ids = ids.select("fp", F.when(F.col("member"), F.col("group_id")).otherwise(F.col("first_id")).alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    firsts = linked.groupBy("root").agg(F.min("first").alias("group_first"))
+    grouped = stored(linked.select("fp", "root").join(firsts, "root").select("fp", "group_first"), "grouped")
+    groups = nodes.join(grouped, "fp", "left").select("fp", F.coalesce("group_first", "first").alias("first"))
+    out = prints.join(groups, "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), "row")

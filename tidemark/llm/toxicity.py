@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_rows
+from tidemark.llm.common import keep_rows, text_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("passages", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("segment_score", pa.float64())])))])
@@ -221,3 +221,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.float64()), pa.array(passages, SCORES.field(2).type)], schema=SCORES)
 
     return text_rows(docs).mapInArrow(run, "doc_id long, score double, passages array<struct<start: long, end: long, segment_score: double>>")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below the threshold; no row moves."""
+    return keep_rows(docs, lambda text: model.score(words_of(text))[0] < threshold)
