@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -17,8 +18,9 @@ SPACE, WORDS = UnitEncoder(PATH, "space"), UnitEncoder(WORD, "word")
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab Zé.,'s\n\t\r\x1c\x85 　́ǅ<|>9_-"), max_size=40))
 def test_units_give_the_ids_of_the_whole_text(text):
-    assert SPACE.encode(text) == SPACE.whole(text)
-    assert WORDS.encode(text) == WORDS.whole(text)
+    texts = pa.array([text, "", f"a {text}", text])
+    for encoder in (SPACE, WORDS):
+        assert [x.tobytes() for x in encoder.encode(texts)] == [encoder.whole(t) for t in texts.to_pylist()]
 
 
 @settings(max_examples=150, deadline=None)

@@ -115,8 +115,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, unit: str = "space", end_id: i
             return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids = ids.tobytes() + end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     piece = (doc_id, start, ids[4 * start : 4 * (start + capacity)], total)

@@ -123,13 +123,13 @@ def _grouped(rows, schema: pa.Schema):
 def _stage(docs: DataFrame, tokenizer_path: str, unit: str, end_id: int, width: int) -> DataFrame:
     def run(batches):
         encode, base = encoder(tokenizer_path, unit).encode, TaskContext.get().partitionId() << 33
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
 
         def rows():
             n = 0
             for batch in batches:
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    ids = np.frombuffer(encode(text) + end, "<u4")
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                    ids = np.concatenate((ids, end))
                     ends = cuts(ids)
                     content = ids.astype(f"<u{width}").tobytes()
                     starts = [0, *ends[:-1]]

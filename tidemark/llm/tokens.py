@@ -3,12 +3,12 @@
 Both kinds of tokenizer used here never merge ids across certain places of a text, so a text's ids are the ids of
 its units joined, and a worker encodes each distinct unit once:
 
-* ``"word"``: tokenizers that drop white space; a unit is a run without white space.
+* ``"word"``: tokenizers that drop white space; a unit is what stands between spaces.
 * ``"space"``: byte-level tokenizers that put one space before a word; a unit is a space and its word.
 * ``"text"``: any other tokenizer; the whole text is the unit.
 
 A unit of letters alone is one piece for the tokenizer's model, which is then asked directly; all other units go
-through the tokenizer.  Texts where the cut could change ids (see :meth:`UnitEncoder.encode`) are encoded whole.
+through the tokenizer.  Texts where the cut could change ids (``WHOLE``) are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,8 +16,17 @@ from __future__ import annotations
 import re
 from array import array
 
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-WIDE_SPACE = re.compile(r"\s \s")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+LINES = re.compile(r"\S+(?:\n\S+)+")
+# White space of any kind, for regular expressions of Arrow.
+SPACE = r"[\s\x0b\x1c-\x1f\p{Z}\x{85}]"
+#: Texts that are encoded whole: white space on both sides of a space belongs to one run, which must not be cut; some
+#: controls are white space to one library only; and special tokens hold "<|".
+WHOLE = {"word": r"[\x1c-\x1f]|<\|", "space": rf"{SPACE} {SPACE}|<\|"}
+STEP_BYTES = 8 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -33,7 +42,7 @@ class UnitEncoder(dict):
     ``limit`` words are held at most; then those that came up since the last such moment stay and the rest go.
     """
 
-    def __init__(self, path: str, unit: str = "text", limit: int = 600_000):
+    def __init__(self, path: str, unit: str = "text", limit: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -41,7 +50,7 @@ class UnitEncoder(dict):
             raise ValueError(f"unknown unit {unit!r}")
         self.tokenizer, self.unit, self.limit = Tokenizer.from_file(path), unit, limit
         self.model, self.lead, self.letters, self.older = self.tokenizer.model, " " * (unit == "space"), byte_letters(), {}
-        self.marks = {x: self.whole(x) for x in ".,"}
+        self.marks, self.line_end, self.starts = {x: self.whole(x) for x in ".,"}, self.whole("\n"), {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -61,7 +70,12 @@ class UnitEncoder(dict):
             self.clear()
         ids = self.older.get(word)
         if ids is None:
-            if not self.lead and word.isascii() and (low := word.lower()) != word:
+            if not self.lead and len(parts := word.split()) != 1:
+                ids = b"".join(map(self.__getitem__, parts))
+            elif self.lead and LINES.fullmatch(word):
+                parts = word.split("\n")
+                ids = self[parts[0]] + b"".join(self.line_end + self.first_ids(x) for x in parts[1:])
+            elif not self.lead and word.isascii() and (low := word.lower()) != word:
                 ids = self[low]
             elif len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
                 ids = self[word[:-1]] + self.marks[word[-1]]
@@ -70,14 +84,53 @@ class UnitEncoder(dict):
         self[word] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        if self.unit == "word" and not ODD_SPACE.search(text) and "<|" not in text:
-            return b"".join(map(self.__getitem__, text.split()))
-        # White space on both sides of a space belongs to one run, which must not be cut.
-        if self.unit == "space" and not WIDE_SPACE.search(text) and "<|" not in text:
-            first, *rest = text.split(" ")
-            return self.whole(first) + b"".join(map(self.__getitem__, rest))
-        return self.whole(text)
+    def first_ids(self, word: str) -> bytes:
+        """Ids of a word that no space stands before; kept for words that begin a line."""
+        ids = self.starts.get(word)
+        if ids is None:
+            if len(self.starts) >= self.limit // 4:
+                self.starts.clear()
+            ids = self.starts[word] = self.whole(word)
+        return ids
+
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text; nulls aren't allowed.
+
+        Texts are split at spaces and words numbered by Arrow, so that only a batch's distinct words are looked up.
+        """
+        out: list[np.ndarray] = []
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            base = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, base + STEP_BYTES)))
+            out += self._step(texts.slice(at, to - at))
+            at = to
+        return out
+
+    def _step(self, texts: pa.StringArray) -> list[np.ndarray]:
+        if self.unit == "text":
+            return [np.frombuffer(self.whole(t), "<u4") for t in texts.to_pylist()]
+        odd = pc.match_substring_regex(texts, WHOLE[self.unit]).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(texts, " ")
+        numbered = cut.flatten().dictionary_encode()
+        first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        codes, words = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+        pieces = [self[w] for w in words]
+        if self.lead:
+            begin = first[:-1]
+            pieces += [self.whole(words[c]) for c in codes[begin].tolist()]
+            codes[begin] = len(words) + np.arange(len(begin))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        flat, starts = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(sizes) - sizes
+        per_word = sizes[codes]
+        ends = np.concatenate(([0], np.cumsum(per_word)))
+        ids = flat[np.repeat(starts[codes] - ends[:-1], per_word) + np.arange(ends[-1])]
+        bounds = ends[first]
+        out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.frombuffer(self.whole(texts[i].as_py()), "<u4")
+        return out
 
 
 _LOADED: dict[tuple[str, str], UnitEncoder] = {}
