@@ -21,6 +21,10 @@ from tidemark.llm.simhash import near_groups
 from tidemark.llm.toxicity import without_toxic
 
 
+#: Fewer than packing holds by itself: its workers have run other stages before.
+CACHED_WORDS = 150_000
+
+
 def _kept(docs: DataFrame, groups: DataFrame) -> DataFrame:
     rows = groups.where("kept").select(F.col("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(rows, "__row", "left_semi").drop("__row")
@@ -43,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs)
+    return packed(docs, cached_words=CACHED_WORDS)
 
 
 STAGES = [

@@ -90,11 +90,14 @@ def padded(fill: int, capacity: int) -> int:
     return fill if fill & (fill - 1) == 0 else capacity
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, unit: str = "space", end_id: int = 0, capacity: int = 1024, window: int = 16384) -> DataFrame:
-    """documents(doc_id, text) -> pieces: see ``PIECES``; ``ids`` are little-endian unsigned 32-bit."""
+def pack(docs: DataFrame, tokenizer_path: str, *, unit: str = "space", end_id: int = 0, capacity: int = 1024, window: int = 16384, cached_words: int = 700_000) -> DataFrame:
+    """documents(doc_id, text) -> pieces: see ``PIECES``; ``ids`` are little-endian unsigned 32-bit.
+
+    A worker holds the ids of ``cached_words`` words, or twice as many; fewer take less memory and more time.
+    """
 
     def run(batches):
-        encode, waiting = encoder(tokenizer_path, unit).encode, Window(capacity)
+        encode, waiting = encoder(tokenizer_path, unit, cached_words).encode, Window(capacity)
         base, end = TaskContext.get().partitionId() << 32, array("I", [end_id]).tobytes()
         sequences, rows, held = 0, [], 0
 

@@ -10,8 +10,8 @@ from tidemark.llm.common import read
 from tidemark.llm.packing import pack
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), unit="space", end_id=0, capacity=1024)
+def packed(docs: DataFrame, **options) -> DataFrame:
+    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), unit="space", end_id=0, capacity=1024, **options)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 

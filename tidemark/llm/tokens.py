@@ -26,7 +26,6 @@ SPACE = r"[\s\x0b\x1c-\x1f\p{Z}\x{85}]"
 #: Texts that are encoded whole: white space on both sides of a space belongs to one run, which must not be cut; some
 #: controls are white space to one library only; and special tokens hold "<|".
 WHOLE = {"word": r"[\x1c-\x1f]|<\|", "space": rf"{SPACE} {SPACE}|<\|"}
-STEP_BYTES = 8 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,6 +39,7 @@ class UnitEncoder(dict):
     """Maps a word to its unit's ids (little-endian unsigned 32-bit).
 
     ``limit`` words are held at most; then those that came up since the last such moment stay and the rest go.
+    Texts are encoded in steps of about as many bytes as those words take.
     """
 
     def __init__(self, path: str, unit: str = "text", limit: int = 700_000):
@@ -48,7 +48,7 @@ class UnitEncoder(dict):
         super().__init__()
         if unit not in ("word", "space", "text"):
             raise ValueError(f"unknown unit {unit!r}")
-        self.tokenizer, self.unit, self.limit = Tokenizer.from_file(path), unit, limit
+        self.tokenizer, self.unit, self.limit, self.step_bytes = Tokenizer.from_file(path), unit, limit, 12 * limit
         self.model, self.lead, self.letters, self.older = self.tokenizer.model, " " * (unit == "space"), byte_letters(), {}
         self.marks, self.line_end, self.starts = {x: self.whole(x) for x in ".,"}, self.whole("\n"), {}
 
@@ -103,7 +103,7 @@ class UnitEncoder(dict):
         at = 0
         while at < len(texts):
             base = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, base + STEP_BYTES)))
+            to = max(at + 1, int(np.searchsorted(sizes, base + self.step_bytes)))
             out += self._step(texts.slice(at, to - at))
             at = to
         return out
@@ -133,11 +133,12 @@ class UnitEncoder(dict):
         return out
 
 
-_LOADED: dict[tuple[str, str], UnitEncoder] = {}
+_LOADED: dict[tuple[str, str, int], UnitEncoder] = {}
 
 
-def encoder(path: str, unit: str) -> UnitEncoder:
+def encoder(path: str, unit: str, words: int = 700_000) -> UnitEncoder:
     """The encoder of this worker, kept from task to task."""
-    if (path, unit) not in _LOADED:
-        _LOADED[path, unit] = UnitEncoder(path, unit)
-    return _LOADED[path, unit]
+    key = (path, unit, words)
+    if key not in _LOADED:
+        _LOADED[key] = UnitEncoder(path, unit, words)
+    return _LOADED[key]

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import keep_rows, text_rows
 
+#: Words or tokens that a task holds at a time: counts are passed on and the store of scores is emptied beyond it.
+HELD = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("passages", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("segment_score", pa.float64())])))])
 
@@ -77,7 +79,7 @@ class Model:
         got = self._words.get(word)
         if got is None:
             best = max((self.tokens[t] for t in tokens_of(word) if t in self.tokens), key=lambda x: abs(x[0]), default=(0.0, 0.0))
-            if len(self._words) > 500_000:
+            if len(self._words) >= HELD:
                 self._words.clear()
             got = self._words[word] = best[1] + self.floor if best[0] > 0 else self.floor
         return got
@@ -107,13 +109,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, min_do
     rows = docs.join(F.broadcast(sample), "doc_id")  # sample_rows ids and labels
 
     def sampled(batches):
-        """Per task: sampled texts of each label with a token; the empty token stands for all of them."""
+        """Sampled texts of each label with a token, in parts of a task; the empty token stands for all of them."""
         seen = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen[int(toxic > 0)].update({t for w in set(words_of(text)) for t in tokens_of(w)} | {""})
+                if len(seen[0]) + len(seen[1]) > HELD:
+                    yield told(seen)
+        yield told(seen)
+
+    def told(seen):
         keys = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in seen)], names=["token", "d0", "d1"])
+        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in seen)], names=["token", "d0", "d1"])
+        for c in seen:
+            c.clear()
+        return out
 
     counted = rows.select("text", "toxic").mapInArrow(sampled, "token string, d0 long, d1 long")
     sums = counted.groupBy("token").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1")).where(F.col("d1") > 0)
