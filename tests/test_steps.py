@@ -1,0 +1,138 @@
+"""Coercion, identities, cleaning, sources and sinks on small literals."""
+
+from __future__ import annotations
+
+import json
+import zipfile
+from datetime import date
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import coerce, identity
+from tidemark.operators import clean, fx
+from tidemark.plans import views
+from tidemark.plans.store import lens_frames, merged_marks
+from tidemark.sinks import export, server
+from tidemark.sources import facts, tables
+
+SF = "/root/testdata/sf0.001"
+
+
+def one(spark, column, *values):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x string")
+    return [r[0] for r in rows.orderBy("i").select(column(F.col("x"))).collect()]
+
+
+@pytest.fixture(scope="module")
+def frames(spark):
+    return lens_frames(spark, SF)
+
+
+def test_amounts(spark):
+    assert one(spark, coerce.to_decimal, "$1,234.5", "(500)", "12%", "", "-", "n/a", None, "null") == [Decimal("1234.5000"), Decimal("-500.0000"), Decimal("12.0000"), None, None, None, None, None]
+
+
+def test_dates(spark):
+    assert one(spark, coerce.to_date, "2029-06-30", "6/30/2029", "6/30/29", "1/2/70", "20290630", "30-Jun-2029", "06/2029", "June 2029", "soon", None) == [
+        *[date(2029, 6, 30)] * 3, date(1970, 1, 2), *[date(2029, 6, 30)] * 2, *[date(2029, 6, 1)] * 2, None, None,
+    ]
+
+
+def test_names(spark):
+    assert one(spark, identity.canonical_issuer, "Acme Holdings, LLC", "ACME Holdings Inc.", "A & B (dba C)", "Holdings", None, "") == ["ACME", "ACME", "A AND B", "HOLDINGS", "", ""]
+
+
+def test_keys(spark):
+    assert one(spark, identity.issuer_key, "Acme Holdings, LLC", None) == ["41f114d175bc32a27c2a", "cc5863ade9b7ceb02b52"]
+    assert one(spark, lambda x: identity.credit_key(x, F.lit("FIRST_LIEN")), "Acme") == ["9e2235dd2060686d739f"]
+    assert one(spark, lambda x: identity.loan_key(F.lit(1287750), x, F.lit("FIRST_LIEN"), F.lit("First Lien Term Loan"), F.lit(None).cast("string")), "Acme") == ["21daf5ac59c77342a3f6"]
+
+
+def rows(spark, *parts):
+    """Positions of one loan, filing and period; each part is (principal, cost, fair value)."""
+    base = {"cik": 1, "accession": "a", "period_end": date(2026, 6, 30), "loan_id": "l", "is_debt": True, "flags": [], "filed_date": None, "industry": None, "principal_ccy": None, "fair_value_ccy": None, "is_non_accrual": None, "investment_type": "FIRST_LIEN", "maturity_date": None}
+    schema = "cik long, accession string, period_end date, loan_id string, is_debt boolean, flags array<string>, filed_date date, industry string, principal_ccy string, fair_value_ccy string, is_non_accrual boolean, investment_type string, maturity_date date, principal decimal(24,4), cost decimal(24,4), fair_value decimal(24,4), shares decimal(24,4), interest_rate double, spread double, pik_rate double, pct_net_assets double, seq long"
+    made = [base | dict(zip(("principal", "cost", "fair_value"), (x and Decimal(x) for x in p))) | {"shares": None, "interest_rate": float(i), "spread": None, "pik_rate": None, "pct_net_assets": None, "seq": i} for i, p in enumerate(parts)]
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in made], schema)
+
+
+def test_restatements_are_dropped(spark):
+    out = clean.merge_facilities(rows(spark, (100, 90, 80), (None, None, 80), (50, 50, 40))).collect()
+    assert [(r.principal, r.cost, r.fair_value, r.flags) for r in out] == [(150, 140, 120, ["merged_2_facilities"])]
+    assert out[0].interest_rate == pytest.approx((0 * 80 + 2 * 40) / 120)
+
+
+def test_unpriced_rows_alone_stay(spark):
+    out = clean.merge_facilities(rows(spark, (None, None, 80))).collect()
+    assert [(r.fair_value, r.flags) for r in out] == [(80, [])]
+    assert clean.merge_facilities(rows(spark, (1, 1, 1)).limit(0)).count() == 0
+
+
+def test_scale(spark):
+    off = rows(spark, *[(10**9, 10**9, 980_000)] * 12).withColumn("loan_id", F.col("seq").cast("string"))
+    out = clean.apply_scale(off).collect()
+    assert {(r.principal, tuple(r.flags)) for r in out} == {(10**6, ("rescaled_x1000",))}
+    few = rows(spark, *[(10**9, 10**9, 980_000)] * 9)
+    assert clean.scale_factors(few).count() == 0
+
+
+def test_last_fixing_within_five_days(spark):
+    rates = spark.createDataFrame([(date(2026, 6, 25), "GBP", 0.5), (date(2026, 6, 24), "EUR", 0.5)], "rate_date date, currency string, rate double")
+    money = [(c, r.principal_usd, r.flags) for c in ("GBP", "EUR", "USD") for r in fx.convert(rows(spark, (100, 90, 80)).withColumn("principal_ccy", F.lit(c)), rates).collect()]
+    assert money == [("GBP", 200.0, []), ("EUR", None, ["no_fx_rate_eur"]), ("USD", 100.0, [])]
+
+
+def test_sticky_columns(spark):
+    columns = "loan_id string, period_end date, cik long, issuer_id string, credit_id string, country string, fair_value int"
+    day = date(2026, 6, 30)
+    old = spark.createDataFrame([("a", day, 1, "i", "c", "Canada", 1), ("b", day, 1, "i", "c", None, 2)], columns)
+    new = spark.createDataFrame([("a", day, 9, "j", "d", None, 5), ("n", day, 9, "j", "d", None, 7)], columns)
+    assert sorted((r.loan_id, r.cik, r.country, r.fair_value) for r in merged_marks(old, new).collect()) == [("a", 1, "Canada", 5), ("b", 1, None, 2), ("n", 9, None, 7)]
+
+
+def test_bulk_table(spark):
+    names = ["adsh", "cik", "name", "form", "filed", "ddate", "Investment, Identifier Axis", "Investment Owned, at Fair Value", "Fair Value Hierarchy Level", "Investment Interest Rate"]
+    made = spark.createDataFrame([("x", "7", "F", "10-Q", "20260801", "20260630", "Acme Holdings, LLC, First Lien Term Loan [Member]", "9,800", "3", "0.115"), ("x", None, "F", "10-Q", "20260801", "20260630", "B", "1", "3", None)], ", ".join(f"`{n}` string" for n in names))
+    (row,) = tables.to_positions(made).collect()
+    assert (row.cik, row.issuer_name, row.investment_type, row.fair_value, row.interest_rate) == (7, "Acme Holdings", "FIRST_LIEN", 9800, 11.5)
+    assert tables.to_positions(made, [8]).count() == 0
+
+
+def test_tagged_facts(spark):
+    dims = {"dim_us-gaap_InvestmentIdentifierAxis": "Acme Holdings, First Lien Term Loan [Member]"}
+    schema = "concept string, period_type string, period_instant string, numeric_value double, value string, currency string, dims map<string,string>, seq long"
+    made = [
+        ("us-gaap:InvestmentOwnedAtFairValue", "instant", "2026-06-30", 98.0, None, "iso4217:USD", dims, 1),
+        ("us-gaap:InvestmentOwnedAtFairValue", "instant", "2026-06-30", 99.0, None, "iso4217:USD", dims, 2),
+        ("us-gaap:InvestmentOwnedBalancePrincipalAmount", "instant", "2026-06-30", 100.0, None, "iso4217:EUR", dims, 3),
+        ("us-gaap:InvestmentOwnedAtFairValue", "instant", "2026-06-30", 500.0, None, None, {}, 4),
+        ("us-gaap:Other", "instant", "2026-06-30", 1.0, None, None, dims, 5),
+    ]
+    (row,) = facts.to_positions(spark.createDataFrame(made, schema), 7, "a", "2026-08-01").collect()
+    assert (row.fair_value, row.principal, row.principal_ccy, row.issuer_name) == (98, 100, "EUR", "Acme Holdings")
+    assert facts.concept_census(spark.createDataFrame(made, schema)).first().facts == 4
+
+
+def test_export(frames, tmp_path):
+    files = export.export_all(frames, str(tmp_path))
+    assert json.loads((tmp_path / "meta.json").read_text())["synthetic"] is False
+    assert {f.name for f in files} >= {f"{n}.json" for n in views.BUNDLE}
+    assert export.write_html(frames, str(tmp_path / "page.html")) > 1000
+
+
+def test_workbook(frames, tmp_path):
+    counts = export.export_workbook(frames, str(tmp_path / "x.xlsx"))
+    assert len(counts) == 8 and counts["Marks"] == frames.marks.count()
+    with zipfile.ZipFile(tmp_path / "x.xlsx") as z:
+        assert z.testzip() is None and len([n for n in z.namelist() if "sheet" in n]) == 8
+
+
+def test_http(frames):
+    assert server.answer(frames, "/api/bundle/nothing")[0] == 404
+    assert server.answer(frames, "/api/loans/00")[0] == 404
+    status, found = server.answer(frames, "/api/marks/histogram?bin_width=10")
+    assert status == 200 and all(r["bin"] % 10 == 0 for r in found)
+    assert server.answer(frames, "/api/periods")[1][-1] == "2001-12-31"
