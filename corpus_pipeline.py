@@ -21,7 +21,7 @@ from tidemark.llm.simhash import near_groups
 from tidemark.llm.toxicity import without_toxic
 
 
-#: Fewer than packing holds by itself: its workers have run other stages before.
+#: Fewer than packing holds by itself, and only while a task runs: its workers serve other stages before and after.
 CACHED_WORDS = 150_000
 
 
@@ -47,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs, cached_words=CACHED_WORDS)
+    return packed(docs, cached_words=CACHED_WORDS, keep_words=False)
 
 
 STAGES = [

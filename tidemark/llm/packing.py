@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import text_rows
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import UnitEncoder, encoder
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_length long"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padded_length", pa.int64())])
@@ -90,14 +90,16 @@ def padded(fill: int, capacity: int) -> int:
     return fill if fill & (fill - 1) == 0 else capacity
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, unit: str = "space", end_id: int = 0, capacity: int = 1024, window: int = 16384, cached_words: int = 700_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, unit: str = "space", end_id: int = 0, capacity: int = 1024, window: int = 16384, cached_words: int = 700_000, keep_words: bool = True) -> DataFrame:
     """documents(doc_id, text) -> pieces: see ``PIECES``; ``ids`` are little-endian unsigned 32-bit.
 
-    A worker holds the ids of ``cached_words`` words, or twice as many; fewer take less memory and more time.
+    A worker holds the ids of ``cached_words`` words, or twice as many; fewer take less memory and more time.  Without
+    ``keep_words`` they go when a task ends, so that the worker is as small as before for what runs next.
     """
 
     def run(batches):
-        encode, waiting = encoder(tokenizer_path, unit, cached_words).encode, Window(capacity)
+        made = encoder if keep_words else UnitEncoder
+        encode, waiting = made(tokenizer_path, unit, cached_words).encode, Window(capacity)
         base, end = TaskContext.get().partitionId() << 32, array("I", [end_id]).tobytes()
         sequences, rows, held = 0, [], 0
 
