@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.decontaminate import align, leaks, seeds_of, words_of
+from tidemark.llm.decontaminate import align, leaks, seeds_of, without_leaks, words_of
 
 
 def matrix(text, item, match=2.0, mismatch=1.0, gap=1.0):
@@ -60,3 +60,28 @@ def test_leaks(spark):
         assert sorted(((g.doc_id, g.item_id, round(g.score, 9)) for g in got), key=str) == sorted(want, key=str)
     assert {(g.doc_id, g.item_id) for g in leaks(docs, bench).collect()} <= {w[:2] for w in want}
     assert leaks(docs.limit(0), bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_edited_copies_with_default_options(spark):
+    """Few of an item's seeds occur anywhere, or a copy's only seeds are the item's most frequent ones."""
+    r = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(400)]
+    draw = lambda k: [r.choice(vocabulary) for _ in range(k)]
+    items = [(i, draw(30)) for i in range(8)]
+
+    def edited(words, *places):
+        return [f"new{p}" if p in places else w for p, w in enumerate(words)]
+
+    # Item 0 has one copy with 11 of 26 seeds; item 1 an exact copy and six that share the same six seeds.
+    rows = [edited(items[0][1], 7, 15, 23), items[1][1], *(edited(items[1][1], 4, 15, 20, 25) for _ in range(6))]
+    # The first words of item 2, common and alone, are no leak.
+    rows += [items[2][1], *(items[2][1][:8] for _ in range(9)), *(draw(60) for _ in range(10))]
+    rows += [edited(items[k][1], *r.sample(range(30), r.randint(0, 6))) for k in range(3, 8) for _ in range(6)]
+    rows = [(i, draw(r.randint(0, 40)) + w + draw(r.randint(0, 40))) for i, w in enumerate(rows)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    scores = {(d, i): matrix(words, item) / 60 for d, words in rows for i, item in items if set(seeds_of(words, 5)) & set(seeds_of(item, 5))}
+    want = {k: round(v, 9) for k, v in scores.items() if v >= 0.5}
+    assert (0, 0) in want and all((d, 1) in want for d in range(1, 8)) and not any((d, 2) in want for d in range(9, 18))
+    assert {(g.doc_id, g.item_id): round(g.score, 9) for g in leaks(docs, bench).collect()} == want
+    assert {r.doc_id for r in without_leaks(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}

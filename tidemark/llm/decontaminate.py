@@ -2,13 +2,15 @@
 
 1.  Items are taken in blocks of at most ``block_words`` words, the size bound of all that is broadcast; each block
     meets all documents.  Words are runs of letters and digits, lower-cased.
-2.  A block's ``n``-word seeds (an item with fewer words is its own seed) are counted over all documents.  An item
-    keeps its rare seeds: those in no more than ``rare`` times as many documents as its median seed.  At least half
-    are kept whatever the counts are, so an item that leaked into very many documents keeps its seeds too.
-3.  Where a document holds a rare seed, the stretch around it that the item could cover is aligned with the item:
+2.  A block's ``n``-word seeds (an item with fewer words is its own seed) are counted over all documents; those that
+    no document holds go.  Rare are an item's seeds in no more than ``rare`` times as many documents as the median of
+    those that are left, the others are common.
+3.  Where a document holds a seed, the stretch around it that the item could cover is aligned with the item:
     ``match`` for an equal word, minus ``mismatch`` for another word and minus ``gap`` for a missing or added one.
-    Seeds of one stretch are aligned once.  The score is the best local alignment's over that of the item with
-    itself; a pair is reported from ``min_score`` on, with the words that the alignment covers.
+    Seeds of one stretch are aligned once.  A stretch with common seeds only is passed over where it holds too few of
+    the item's words, in any order, for ``min_score``; so rarity saves time and no result depends on it.  The score is
+    the best local alignment's over that of the item with itself; a pair is reported from ``min_score`` on, with the
+    words that the alignment covers.
 
 Short items: two texts that share no seed are never compared, so an item whose every run of ``n`` words was edited
 is not found.
@@ -82,7 +84,7 @@ class Seeds:
         self.items, self.n, self.where = items, n, defaultdict(list)
         for k, (_, words) in enumerate(items):
             for i, seed in enumerate(seeds_of(words, n)):
-                self.where[seed].append((k, i))
+                self.where[seed].append((k, i, True))
         self.lengths = sorted({len(s) for s in self.where})
         self.first = {s[0] for s in self.where}
 
@@ -97,16 +99,18 @@ class Seeds:
         """Per item id, the best score and the words it covers."""
         stretches = defaultdict(list)
         for seed, at in self.found(words):
-            for k, i in self.where[seed]:
+            for k, i, rare in self.where[seed]:
                 # The item's words before and after the seed, and half as many again for words added.
                 length = len(self.items[k][1])
-                stretches[k].append((max(0, at - i - length // 2 - 1), min(len(words), at + length - i + length // 2 + 1)))
+                stretches[k].append((max(0, at - i - length // 2 - 1), min(len(words), at + length - i + length // 2 + 1), rare))
         best: dict[int, tuple[float, int, int]] = {}
         for k, parts in stretches.items():
             item_id, item = self.items[k]
             number = {w: x for x, w in enumerate(dict.fromkeys(item))}
             wanted = np.array([number[w] for w in item])
-            for a, b in _merged(parts):
+            for a, b, rare in _merged(parts):
+                if not rare and _held(words[a:b], item) / len(item) < min_score - 1e-9:
+                    continue
                 score, start, end = align(np.array([number.get(w, -1) for w in words[a:b]]), wanted, match, mismatch, gap)
                 score /= match * len(item)
                 if score >= min_score and score > best.get(item_id, (0.0,))[0]:
@@ -114,15 +118,14 @@ class Seeds:
         return best
 
     def keep(self, counts: dict[Seed, int], rare: float) -> None:
-        """Drops the seeds that aren't rare for their item."""
+        """Drops the seeds that no text holds and tells those that are rare for their item."""
         kept = defaultdict(list)
         for k, (_, words) in enumerate(self.items):
-            own = seeds_of(words, self.n)
+            own = [(i, s, counts[s]) for i, s in enumerate(seeds_of(words, self.n)) if counts.get(s)]
             if own:
-                limit = rare * sorted(counts.get(s, 0) for s in own)[len(own) // 2]
-                for i, seed in enumerate(own):
-                    if counts.get(seed, 0) <= limit:
-                        kept[seed].append((k, i))
+                limit = rare * sorted(n for *_, n in own)[len(own) // 2]
+                for i, seed, n in own:
+                    kept[seed].append((k, i, n <= limit))
         self.where = kept
 
 
@@ -145,8 +148,8 @@ def _blocks(bench: DataFrame, id_col: str, block_words: int):
 OPTIONS = {"n": 5, "rare": 2.0, "min_score": 0.5, "match": 2.0, "mismatch": 1.0, "gap": 1.0, "block_words": 500_000}
 
 
-def _rare_seeds(docs: DataFrame, bench: DataFrame, id_col: str, options: dict):
-    """A broadcast of rare seeds for each block of items."""
+def _held_seeds(docs: DataFrame, bench: DataFrame, id_col: str, options: dict):
+    """A broadcast of each block's seeds that documents hold."""
     context = docs.sparkSession.sparkContext
     for block in _blocks(bench, id_col, options["block_words"]):
         seeds = Seeds(block, options["n"])
@@ -187,7 +190,7 @@ def leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "item_id", **chang
 
         return docs.mapInArrow(run, DDL)
 
-    parts = [found_in(kept) for kept in _rare_seeds(docs, bench, id_col, options)]
+    parts = [found_in(kept) for kept in _held_seeds(docs, bench, id_col, options)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], DDL)
 
 
@@ -196,7 +199,7 @@ def without_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "item_id",
     options = OPTIONS | changed
     scores = _scores(options)
     clean = docs
-    for kept in _rare_seeds(text_rows(docs), bench, id_col, options):
+    for kept in _held_seeds(text_rows(docs), bench, id_col, options):
 
         def is_clean(text: str, kept=kept) -> bool:
             return not kept.value.leaks_of(words_of(text), **scores)
@@ -205,12 +208,17 @@ def without_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "item_id",
     return clean
 
 
-def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping stretches as one."""
-    out: list[list[int]] = []
-    for a, b in sorted(parts):
+def _held(words: list[str], item: list[str]) -> int:
+    """How many of an item's words a stretch holds in any order; no alignment has more."""
+    return sum((Counter(item) & Counter(words)).values())
+
+
+def _merged(parts: list[tuple[int, int, bool]]) -> list[tuple[int, int, bool]]:
+    """Overlapping stretches as one, rare if any of them is."""
+    out: list[list] = []
+    for a, b, rare in sorted(parts):
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+            out[-1][1:] = max(out[-1][1], b), out[-1][2] or rare
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append([a, b, rare])
+    return [tuple(x) for x in out]
