@@ -6,10 +6,12 @@ import json
 import zipfile
 from datetime import date
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import registry
 from tidemark.functions import coerce, identity
 from tidemark.operators import clean, fx
 from tidemark.plans import views
@@ -136,3 +138,21 @@ def test_http(frames):
     status, found = server.answer(frames, "/api/marks/histogram?bin_width=10")
     assert status == 200 and all(r["bin"] % 10 == 0 for r in found)
     assert server.answer(frames, "/api/periods")[1][-1] == "2001-12-31"
+
+
+def test_quarters_come_from_the_marks(spark, tmp_path):
+    """Six years later, with 2004 left out: the grid has the quarters there are, and the gaps are 2004's."""
+    for file in Path(SF).glob("*.parquet"):
+        if file.stem != "lineitem":
+            (tmp_path / file.name).symlink_to(file)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_shipdate", F.col("l_shipdate") + F.expr("interval 6 years"))
+    lines.where("year(l_shipdate) <> 2004").write.parquet(f"{tmp_path}/lineitem.parquet")
+    queries = registry.queries()
+    lost = {r.period_end for r in queries["missing_quarters"](spark, str(tmp_path)).collect()}
+    assert lost == {f"2004-{x}" for x in ("03-31", "06-30", "09-30", "12-31")}
+    want = {f"{y}Q{q}" for y in range(2001, 2008) if y != 2004 for q in range(1, 5)}
+    for grid in (queries["quarter_grid_all"](spark, str(tmp_path)), views.quarter_grid(lens_frames(spark, str(tmp_path)))):
+        assert grid.columns == ["ticker", "bdc_name", *sorted(want)]
+        assert all(None not in r for r in grid.collect())
+    empty = lens_frames(spark, str(tmp_path))
+    assert views.quarter_grid(empty, since="2100-01-01").collect() == []

@@ -59,9 +59,10 @@ def quarters_with_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filer and quarter pairs of 1995 to 2001 without a mark; filers are few and quarters 28."""
+    """Filer and quarter pairs without a mark, from the first to the last quarter that any filer has one in."""
     f = lens_frames(spark, sf_dir)
-    wanted = f.bdcs.select("cik", F.explode(F.sequence(F.lit("1995-03-31").cast("date"), F.lit("2001-12-31").cast("date"), F.expr("interval 3 months"))).alias("end")).select("cik", F.last_day("end").alias("period_end"))
+    span = f.marks.agg(F.trunc(F.min("period_end"), "quarter").alias("first"), F.max("period_end").alias("last"))
+    wanted = f.bdcs.select("cik").crossJoin(span).select("cik", F.explode(F.sequence("first", "last", F.expr("interval 3 months"))).alias("start")).select("cik", F.last_day(F.add_months("start", 2)).alias("period_end"))
     lost = wanted.join(f.marks.select("cik", "period_end").distinct(), ["cik", "period_end"], "left_anti")
     return lost.select("cik", F.date_format("period_end", "yyyy-MM-dd").alias("period_end"))
 

@@ -317,9 +317,11 @@ def bdc_sheet(f: Frames, period: str | None = None) -> DataFrame:
     return out.withColumn("ticker", F.coalesce("ticker", F.lit("Total"))).orderBy(F.col("ticker") == "Total", "ticker")
 
 
-def quarter_grid(f: Frames, period: str | None = None, quarters: tuple[str, ...] = ("2000Q4", "2001Q1", "2001Q2", "2001Q3", "2001Q4")) -> DataFrame:
-    """Filer by quarter; blank where a filer has no mark."""
-    rows = quarterly_bdc_marks(f)
+def quarter_grid(f: Frames, period: str | None = None, quarters: tuple[str, ...] | None = None, since: str = "2000-01-01") -> DataFrame:
+    """Filer by quarter; blank where a filer has no mark.  Without ``quarters``, all that have a mark since then."""
+    rows = quarterly_bdc_marks(f, since=since)
+    if quarters is None:
+        quarters = tuple(r.quarter for r in rows.select("quarter").distinct().orderBy("quarter").collect())
     return rows.groupBy("ticker", "bdc_name").pivot("quarter", list(quarters)).agg(F.first("weighted_mark")).orderBy("ticker")
 
 

@@ -12,15 +12,19 @@ from tidemark.plans.store import lens_frames
 
 #: Views that have other parameters here than by default.
 QUARTER = "2001-09-30"
+#: The columns of quarter_grid's SQL; quarter_grid_all has every quarter.
+QUARTERS = ("2000Q4", "2001Q1", "2001Q2", "2001Q3", "2001Q4")
 VIEWS: dict[str, Callable] = {
     name: getattr(views, name)
     for name in (
         "bdc_summary top_holdings_share nonaccrual_trend nonaccrual_positions mark_histogram sector_marks maturity_wall biggest_markdowns "
         "disagreements shared_credits quarterly_bdc_marks quarterly_nonaccrual_marks quarterly_nonaccrual_share vintage_profile maturity_profile "
         "country_exposure search_issuers overview dataset_stats export_meta universe_mark_trend quality_summary marks_export bdc_sheet "
-        "quarter_grid positions_filter periods"
+        "positions_filter periods"
     ).split()
 } | {
+    "quarter_grid": lambda f: views.quarter_grid(f, quarters=QUARTERS),
+    "quarter_grid_all": lambda f: views.quarter_grid(f, since="0001-01-01"),
     "nonaccrual_by_industry": views.nonaccrual_by,
     "nonaccrual_by_bdc": lambda f: views.nonaccrual_by(f, dimension="ticker"),
     "deteriorating": lambda f: views.deteriorating(f, QUARTER, min_fair_value=1e4),
