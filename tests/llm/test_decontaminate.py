@@ -85,3 +85,12 @@ def test_edited_copies_with_default_options(spark):
     assert (0, 0) in want and all((d, 1) in want for d in range(1, 8)) and not any((d, 2) in want for d in range(9, 18))
     assert {(g.doc_id, g.item_id): round(g.score, 9) for g in leaks(docs, bench).collect()} == want
     assert {r.doc_id for r in without_leaks(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_items_without_an_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, two), (3, "x y"), (4, f"{two} {one}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, one), (None, one), (None, two), (7, two), (None, None)], "item_id long, text string")
+    got = [(g.doc_id, g.item_id, g.score) for g in leaks(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([(1, None, 1.0), (2, None, 1.0), (2, 7, 1.0), (4, None, 1.0), (4, 7, 1.0)], key=str)
+    assert [r.doc_id for r in without_leaks(docs, bench).collect()] == [3]

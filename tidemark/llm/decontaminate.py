@@ -17,7 +17,7 @@ is not found.
 
 Defined results.  Null texts are empty and match nothing; items without words match nothing.  A repeated document
 row gives repeated results; a repeated item is one item, and items with one id but other texts are joined to the
-best of their scores.  Of equally good places the first counts.  An empty table gives no row.  Other columns are
+best of their scores, a null id being one id too.  Of equally good places the first counts.  An empty table gives no row.  Other columns are
 not read.
 """
 
@@ -131,7 +131,7 @@ class Seeds:
 
 def _blocks(bench: DataFrame, id_col: str, block_words: int):
     """Lists of (item id, words) of at most ``block_words`` words (or one item), streamed from the cluster."""
-    rows = bench.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct().orderBy("item_id", "text")
+    rows = bench.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct().orderBy("item_id", "text")
     block, size = [], 0
     for r in rows.toLocalIterator():
         words = words_of(r.text)
