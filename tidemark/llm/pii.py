@@ -14,8 +14,9 @@ and splitting there; lengths of the parts, summed up in two levels, are the plac
 
 The trees see at most the candidates of ``sample_docs`` texts (smallest hash of the id); all else covers all texts.
 
-Defined results.  A null text is empty and has no span.  Repeated rows come back repeated.  Without candidates of
-both sorts in the sample no span is added.  Texts of any length are read whole.  An empty table gives no row.  Other
+Defined results.  A null text is empty and has no span.  Repeated rows come back repeated.  With fewer
+than ``min_rows`` candidates of either sort in the part of the sample that trees learn from, no trees are fitted and no
+span is added.  Texts of any length are read whole.  An empty table gives no row.  Other
 columns are not read.
 """
 
