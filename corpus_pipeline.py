@@ -39,6 +39,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near is what op7's query says (3-word shingles, fingerprints within 3 bits), not a similarity of five-word shingles."""
     return _kept(docs, near_groups(docs))
 
 
