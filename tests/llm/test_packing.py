@@ -16,13 +16,25 @@ SPACE, WORDS = UnitEncoder(PATH, "space"), UnitEncoder(WORD, "word")
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab Zé.,'s\n\t\r\x1c\x85 　́ǅ<|>9_-"), max_size=40))
+@given(st.text(alphabet=st.sampled_from("ab Zé.,'s\n\t\r\x1c\x85 　́ǅ<|>9_-İΣςक़ﬁẞ中ŉ"), max_size=40))
 def test_units_give_the_ids_of_the_whole_text(text):
     texts = pa.array([text, "", f"a {text}", text])
     for encoder in (SPACE, WORDS):
         assert [x.tobytes() for x in encoder.encode(texts)] == [encoder.whole(t) for t in texts.to_pylist()]
 
 
+def test_letters_that_lower_case_to_more_than_one():
+    odd = [chr(c) for c in range(0x80, 0x3000) if chr(c).isalpha()] + ["İ", "क़", "\U0001e4d0", "ﬁ"]
+    texts = pa.array([f"x{c}{mark} {c}{mark} b{c}" for c in odd for mark in ".,"])
+    for encoder in (SPACE, WORDS):
+        assert [x.tobytes() for x in encoder.encode(texts)] == [encoder.whole(t) for t in texts.to_pylist()]
+
+
+def test_other_rules_take_the_whole_text():
+    assert UnitEncoder(PATH, "word").unit == "text" and UnitEncoder(WORD, "space").unit == "text"
+    assert (SPACE.unit, WORDS.unit) == ("space", "word")
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 31), min_size=1, max_size=9))
 def test_choice_is_the_closest_fill(sizes):

@@ -8,12 +8,15 @@ its units joined, and a worker encodes each distinct unit once:
 * ``"text"``: any other tokenizer; the whole text is the unit.
 
 A unit of letters alone is one piece for the tokenizer's model, which is then asked directly; all other units go
-through the tokenizer.  Texts where the cut could change ids (``WHOLE``) are encoded whole.
+through the tokenizer.  Texts where the cut could change ids (``WHOLE``) are encoded whole.  A file whose rules for
+cutting and changing text aren't those that a unit assumes (``RULES``) is used with ``"text"``.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from array import array
 
 import numpy as np
@@ -27,6 +30,23 @@ SPACE = r"[\s\x0b\x1c-\x1f\p{Z}\x{85}]"
 #: controls are white space to one library only; and special tokens hold "<|".
 WHOLE = {"word": r"[\x1c-\x1f]|<\|", "space": rf"{SPACE} {SPACE}|<\|"}
 
+# How files that "word" and "space" are right for change a text and cut it.
+RULES = {
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ),
+    "space": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+}
+#: Letters below are such to every library's Unicode tables, old or new.
+OLD = "\u0530"
+
 
 def byte_letters() -> dict[int, str]:
     """The letter that byte-level tokenizers write for each byte: itself if it prints, else one from 256 on."""
@@ -35,6 +55,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def ends_in_letter(word: str) -> bool:
+    """Whether a word, composed and lower-cased, surely ends in a letter: a capital I with dot leaves a combining mark."""
+    return word[-1] < OLD and unicodedata.normalize("NFC", word[-1]).lower()[-1].isalpha()
+
+
 class UnitEncoder(dict):
     """Maps a word to its unit's ids (little-endian unsigned 32-bit).
 
@@ -48,16 +73,18 @@ class UnitEncoder(dict):
         super().__init__()
         if unit not in ("word", "space", "text"):
             raise ValueError(f"unknown unit {unit!r}")
-        self.tokenizer, self.unit, self.limit, self.step_bytes = Tokenizer.from_file(path), unit, limit, 12 * limit
-        self.model, self.lead, self.letters, self.older = self.tokenizer.model, " " * (unit == "space"), byte_letters(), {}
+        self.tokenizer, self.limit, self.step_bytes = Tokenizer.from_file(path), limit, 12 * limit
+        rules = json.loads(self.tokenizer.to_str())
+        self.unit = unit if unit == "text" or (rules["normalizer"], rules["pre_tokenizer"]) == RULES[unit] and rules["model"]["type"] == "BPE" else "text"
+        self.model, self.lead, self.letters, self.older = self.tokenizer.model, " " * (self.unit == "space"), byte_letters(), {}
         self.marks, self.line_end, self.starts = {x: self.whole(x) for x in ".,"}, self.whole("\n"), {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def unit_ids(self, word: str) -> bytes:
-        # Below U+0300 nothing composes, and only ASCII is surely lower-cased as str.lower does.
-        if word.isalpha() and (word.isascii() and (self.lead or word.islower()) or self.lead):
+        # A "word" file composes and lower-cases, which leaves lower-case ASCII as it is; a "space" file changes nothing.
+        if word.isalpha() and (max(word) < OLD if self.lead else word.isascii() and word.islower()):
             piece = (self.lead + word).encode().decode("latin-1").translate(self.letters)
             return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
         return self.whole(self.lead + word)
@@ -77,7 +104,7 @@ class UnitEncoder(dict):
                 ids = self[parts[0]] + b"".join(self.line_end + self.first_ids(x) for x in parts[1:])
             elif not self.lead and word.isascii() and (low := word.lower()) != word:
                 ids = self[low]
-            elif len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            elif len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and ends_in_letter(word[:-1]):
                 ids = self[word[:-1]] + self.marks[word[-1]]
             else:
                 ids = self.unit_ids(word)
