@@ -9,9 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in ``spark.checkpoint.dir``; where that is unset, as in local tests, in a temporary folder."""
+    """A fresh path in ``spark.checkpoint.dir``, the folder that driver and executors share.
+
+    Where that is unset, a local session gets a temporary folder of this machine; any other one raises, since its
+    executors couldn't see such a folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
