@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests_helpers import brute_groups
 
 from tidemark.llm.components import components
-from tidemark.llm.simhash import GrayIndex, fingerprint, links, near_groups
+from tidemark.llm.simhash import DEPTH, GrayIndex, _fields, fingerprint, links, near_groups
 
 
 def brute_print(text):
@@ -59,6 +59,13 @@ def test_links(spark, hot_bucket):
     assert sorted(map(sorted, groups.values())) == brute_groups([v & (1 << 64) - 1 for v in values])
 
 
+def test_last_buckets_are_bounded():
+    masks = [0]
+    for _ in range(DEPTH):
+        masks = [m for x in masks for m in _fields(x)]
+    assert min(m.bit_count() for m in masks) >= 43
+
+
 def test_documents(spark):
     base = " ".join(f"word{i}" for i in range(400))
     rows = [(5, base), (3, base + " end"), (9, base.upper()), (1, None), (2, ""), (7, "lone text here"), (None, base), (None, "none at all"), (3, base + " end")]

@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import shared_path as work_path
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset (a local test) a temporary
-    folder of this machine is put there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: A key with more than one in so many rows is hot; there are fewer hot keys than this.
+HOT_KEYS = 1000
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +21,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``, of which each key has one row that counts the key's rows in ``n``.
+
+    Keys that hold over a thousandth of the counted rows, so fewer than ``HOT_KEYS`` of them, meet their rows by
+    broadcast, where these lie; the others by shuffle.  So no key's rows gather in one task.  Keys aren't null.  Both
+    sides are read more than once and are to be stored tables or cheap.
+    """
+    limit = (facts.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS
+    hot = facts.where(F.col(n) > limit)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(facts.where(F.col(n) <= limit), keys, how))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores put after it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a path of :func:`work_path` through the store's own file system."""
     jvm = spark.sparkContext._jvm
@@ -42,9 +53,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator reads; a null text is an empty one."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def text_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """Only the two columns an operator reads, and ``more``; a null text is an empty one."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def keep_rows(docs: DataFrame, wanted: Callable[[str], bool], text_col: str = "text") -> DataFrame:

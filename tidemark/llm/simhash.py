@@ -7,8 +7,9 @@ without words has fingerprint zero and links like any other.
 Links (at most ``max_bits`` = 3 different bits) between distinct fingerprints:
 
 1.  Four 16-bit fields: two linked fingerprints agree in one field at least, so each goes to four buckets.  A bucket of
-    more than ``hot_bucket`` members is replaced by finer ones: the 48 bits left are four 12-bit fields of which
-    linked ones again share one.  The list of hot buckets has 4 * 65536 rows at most and is the only thing broadcast.
+    more than ``hot_bucket`` members is replaced by finer ones: its members' other bits are cut into four fields again,
+    of which linked ones share one.  This goes on to a fourth depth, where 43 bits agree and a bucket has at most
+    2**21 members (16 MB).  Counts of hot buckets are joined to their members, never collected.
 2.  A bucket is sorted by Gray rank and indexed (:class:`GrayIndex`): a node holds the bits that all its members
     share and its parent's don't, and a search adds up differences on its way down and drops a whole group when they
     exceed the limit, or when the group is already known to be linked to the one searched for.
@@ -17,18 +18,20 @@ Links (at most ``max_bits`` = 3 different bits) between distinct fingerprints:
 
 Copies share a fingerprint and meet in step 1 as one.
 
-Defined results.  Null texts are empty.  Repeated rows come back repeated.  A null id never is a component's id
+Defined results.  Null texts are empty.  Texts of any length are read whole, 65,536 shingles at a time.  Repeated rows come back repeated.  A null id never is a component's id
 unless all its documents' are null.  An empty table gives no row.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, text_rows
+from tidemark.llm.common import spread_join, stored, text_rows
 from tidemark.llm.components import components
 
 PRINTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -52,7 +55,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, row_col: str | None = None) -> DataFrame:
     """documents(doc_id, text) -> (row, doc_id, fp); ``fp`` holds the 64 bits as a signed long."""
 
     def run(batches):
@@ -60,7 +63,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.fromiter((fingerprint(x, shingle) for x in batch.column(2).to_pylist()), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], schema=PRINTS)
 
-    return text_rows(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "row long, doc_id long, fp long")
+    number = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    return text_rows(docs, number.alias("row")).select("row", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "row long, doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -138,31 +142,50 @@ class GrayIndex:
         return labels
 
 
-def _keys(fp: Column) -> Column:
-    """Four (field, value) keys of a fingerprint as longs."""
-    return F.array(*[F.lit(i << 16).cast("long").bitwiseOR(F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)])
+def _fields(mask: int) -> list[int]:
+    """``mask`` with a quarter of the other bits added, for each quarter, from the lowest up."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * i // 4 for i in range(5)]
+    return [mask | sum(1 << b for b in free[a:z]) for a, z in zip(cuts, cuts[1:])]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _buckets(rows: DataFrame, masks: list[int]) -> tuple[DataFrame, list[int]]:
+    """(fp, mask) whose masks are among ``masks`` -> (fp, mask, value) of four finer buckets for each, and their masks."""
+    finer = {m: _fields(m) for m in masks}
+    table = F.create_map(*(x for m, f in finer.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(v)) for v in f)))))
+    cut = rows.select("fp", F.explode(F.element_at(table, F.col("mask"))).alias("mask"))
+    return cut.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value")), [v for f in finer.values() for v in f]
+
+
+DEPTH = 4
 
 
-def _finer(fp: Column, key: Column) -> Column:
-    """Four finer keys of a fingerprint within a key of :func:`_keys`."""
-    low = F.expr("(1L << int((key >> 16) * 16)) - 1")
-    high = F.expr("CASE WHEN (key >> 16) = 3 THEN 0L ELSE (fp >>> int((key >> 16) * 16 + 16)) << int((key >> 16) * 16) END")
-    rest = fp.bitwiseAND(low).bitwiseOR(high)
-    return F.array(*[F.lit((j + 1) << 12).cast("long").bitwiseOR(F.shiftrightunsigned(rest, 12 * j).bitwiseAND(F.lit(0xFFF))).bitwiseOR(F.shiftleft(key, 16)) for j in range(4)])
+def dealt_buckets(prints: DataFrame, hot_bucket: int) -> DataFrame:
+    """(fp) -> (fp, mask, value): every two linked fingerprints share a bucket (mask, value)."""
+    rows, masks = _buckets(prints.select("fp", F.lit(0).cast("long").alias("mask")), [0])
+    done = []
+    for _ in range(DEPTH - 1):
+        hot = stored(rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > hot_bucket), "hot-buckets")
+        if hot.isEmpty():
+            break
+        done.append(rows.join(hot, ["mask", "value"], "left_anti"))
+        # A hot bucket has many rows by definition: those with the most are met where they lie.
+        rows, masks = _buckets(stored(spread_join(rows, hot, ["mask", "value"], "n").select("fp", "mask"), "hot-members"), masks)
+    return reduce(DataFrame.unionByName, [*done, rows])
 
 
 def links(prints: DataFrame, max_bits: int = 3, hot_bucket: int = 4096) -> DataFrame:
     """Distinct fingerprints (fp) -> forest (a, b) whose components are those of all links."""
     if max_bits > 3:
         raise ValueError("four fields find links of three bits at most")
-    keyed = prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > hot_bucket).select("key", F.lit(True).alias("hot"))
-    marked = keyed.join(F.broadcast(hot), "key", "left")
-    bucket = F.when(F.col("hot"), _finer(F.col("fp"), F.col("key"))).otherwise(F.array(F.shiftleft("key", 16)))
-    dealt = marked.select(F.explode(bucket).alias("bucket"), "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
+    dealt = dealt_buckets(prints, hot_bucket).select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
 
     def forest(parts: list[np.ndarray]):
-        members = np.concatenate(parts) if len(parts) > 1 else parts[0]
+        members = np.unique(np.concatenate(parts))  # two ways of cutting may end in one bucket
         if len(members) > 1:
             index = GrayIndex(members.view(np.uint64))
             root = index.roots(max_bits)
@@ -179,14 +202,15 @@ def links(prints: DataFrame, max_bits: int = 3, hot_bucket: int = 4096) -> DataF
     def run(batches):
         last, held = None, []
         for batch in batches:
-            bucket, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-            for at, to in zip(starts, [*starts[1:], len(bucket)], strict=True):
-                if bucket[at] != last and held:
+            mask, value, fp = (c.to_numpy() for c in batch.columns)
+            starts = np.flatnonzero(np.append(True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))) if len(fp) else []
+            for at, to in zip(starts, [*starts[1:], len(fp)], strict=True):
+                bucket = int(mask[at]), int(value[at])
+                if bucket != last and held:
                     if sum(map(len, held)) > 64 or pair(np.concatenate(held)):
                         yield from forest(held)
                     held = []
-                last = bucket[at]
+                last = bucket
                 held.append(fp[at:to])
         if held:
             yield from forest(held)
@@ -194,19 +218,19 @@ def links(prints: DataFrame, max_bits: int = 3, hot_bucket: int = 4096) -> DataF
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3, hot_bucket: int = 4096) -> DataFrame:
+def near_groups(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3, hot_bucket: int = 4096, row_col: str | None = None) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, fingerprint, component_id, kept, row), one row per document.
 
-    ``kept`` marks the first row of a component, by id (null last), then row; ``row`` is what
-    ``monotonically_increasing_id()`` gives the same scan of ``docs``.
+    ``kept`` marks the first row of a component, by id (null last), then row.  ``row_col`` names a column of distinct
+    longs that comes back as ``row``; without it rows are numbered here.
     """
-    prints = stored(fingerprints(docs, shingle), "prints")
+    prints = stored(fingerprints(docs, shingle, row_col), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
-    nodes = stored(prints.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    nodes = stored(prints.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "nodes")
     forest = stored(links(nodes.select("fp"), max_bits, hot_bucket), "forest")
-    linked = components(forest).join(nodes, F.col("node") == F.col("fp"))
-    firsts = linked.groupBy("root").agg(F.min("first").alias("group_first"))
-    grouped = stored(linked.select("fp", "root").join(firsts, "root").select("fp", "group_first"), "grouped")
-    groups = nodes.join(grouped, "fp", "left").select("fp", F.coalesce("group_first", "first").alias("first"))
-    out = prints.join(groups, "fp")
+    linked = stored(components(forest).join(nodes.select("fp", "first"), F.col("node") == F.col("fp")).select("fp", "root", "first"), "linked")
+    firsts = stored(linked.groupBy("root").agg(F.min("first").alias("group_first"), F.count("*").alias("members")), "firsts")
+    grouped = spread_join(linked.select("fp", "root"), firsts, ["root"], "members").select("fp", "group_first")
+    groups = stored(nodes.join(grouped, "fp", "left").select("fp", F.coalesce("group_first", "first").alias("first"), "n"), "grouped")
+    out = spread_join(prints, groups, ["fp"], "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), "row")
