@@ -1,6 +1,7 @@
 """op5: every id in one piece, sequences gapless, choices as close to the capacity as brute force finds."""
 
 from itertools import combinations
+from pathlib import Path
 
 import public_tokenizers
 import pyarrow as pa
@@ -12,7 +13,7 @@ from tidemark.llm.tokens import UnitEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD = public_tokenizers.path("word_bpe_49k.json")
-SPACE, WORDS = UnitEncoder(PATH, "space"), UnitEncoder(WORD, "word")
+SPACE, WORDS = UnitEncoder(Path(PATH).read_bytes(), "space"), UnitEncoder(Path(WORD).read_bytes(), "word")
 
 
 @settings(max_examples=300, deadline=None)
@@ -31,7 +32,7 @@ def test_letters_that_lower_case_to_more_than_one():
 
 
 def test_other_rules_take_the_whole_text():
-    assert UnitEncoder(PATH, "word").unit == "text" and UnitEncoder(WORD, "space").unit == "text"
+    assert UnitEncoder(Path(PATH).read_bytes(), "word").unit == "text" and UnitEncoder(Path(WORD).read_bytes(), "space").unit == "text"
     assert (SPACE.unit, WORDS.unit) == ("space", "word")
 
 

@@ -1,9 +1,11 @@
 """op1: round trips through the store, each chunk stored once, damage found."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,10 +40,13 @@ def test_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(*x, 1, "k") for x in rows], "doc_id long, text string, part int, kind string").repartition(3)
     store = write(docs, PATH, f"file://{tmp_path}/store")
     store.check_manifests()
-    tok = UnitEncoder(PATH, "text")
+    tok = UnitEncoder(Path(PATH).read_bytes(), "text")
     want = sorted(((i, tok.whole(t or "") + np.array([1], "<u4").tobytes()) for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0))
     got = sorted(store.read().collect(), key=lambda x: (x.part, x.seq))
     assert [(g.doc_id, bytes(g.ids)) for g in got] == want
+    for file in Path(tmp_path, "store").glob("*.parquet"):
+        seqs = [r["seq"] for r in pq.read_table(file).to_pylist() if r["kind"] == "document"]
+        assert seqs == list(range(len(seqs)))
     starts = {s.part: s.part_start for s in store.starts().collect()}
     assert starts[min(starts)] == 0 and max(starts.values()) <= sum(len(x) // 4 for _, x in want)
     contents = store.documents.select(F.explode("shared").alias("s")).groupBy("s.address").count()
@@ -50,7 +55,7 @@ def test_round_trip(spark, tmp_path):
     distinct = store.documents.select(F.explode(F.arrays_zip("chunks", "lengths")).alias("c")).select("c.*").distinct().agg(F.sum("lengths")).first()[0]
     assert stored_ids == distinct < sum(len(x) // 4 for _, x in want) / 2
     broken = store.table.withColumn("own", F.when(F.col("doc_id") == 5, F.concat(F.lit(b"zz"), F.substring("own", 3, 10**6))).otherwise(F.col("own"))).withColumn("n_tokens", F.when(F.col("doc_id") == 6, 0).otherwise(F.col("n_tokens")))
-    broken.write.partitionBy("kind").parquet(f"file://{tmp_path}/broken")
+    broken.write.parquet(f"file://{tmp_path}/broken")
     with pytest.raises(Exception, match="not what its address says"):
         Store(spark, f"file://{tmp_path}/broken").read().count()
     with pytest.raises(ValueError, match="manifest"):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import text_rows
-from tidemark.llm.tokens import UnitEncoder, encoder
+from tidemark.llm.tokens import TokenizerFile
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_length long"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padded_length", pa.int64())])
@@ -97,9 +97,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, unit: str = "space", end_id: i
     ``keep_words`` they go when a task ends, so that the worker is as small as before for what runs next.
     """
 
+    tokenizer = TokenizerFile(docs.sparkSession, tokenizer_path)
+
     def run(batches):
-        made = encoder if keep_words else UnitEncoder
-        encode, waiting = made(tokenizer_path, unit, cached_words).encode, Window(capacity)
+        encode, waiting = tokenizer.encoder(unit, cached_words, keep_words).encode, Window(capacity)
         base, end = TaskContext.get().partitionId() << 32, array("I", [end_id]).tobytes()
         sequences, rows, held = 0, [], 0
 

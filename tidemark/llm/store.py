@@ -2,20 +2,21 @@
 
 A document's ids (its text's, then the end id) are cut where a rolling hash of the last ``WINDOW`` ids has nine zero
 bits, so an edit moves only the cuts near it; chunks have ``SHORTEST`` to ``LONGEST`` ids.  A chunk's address is its
-128-bit BLAKE2b digest.  The store is Parquet under one path, in two folders:
+128-bit BLAKE2b digest.  The store is Parquet files under one path, with two kinds of rows:
 
-* ``kind=document``, in ascending id order over the files: a document's recipe (``chunks``: addresses, ``lengths``),
-  its Merkle root, and the contents of the chunks that it is the first to hold.  ``place`` tells where a chunk's
-  content is: 0 in this row's ``own``, 1 in this row's ``shared`` (other recipes use it too), 2 in the ``shared`` of
-  another row.  Each distinct chunk's content is in the store once.
-* ``kind=manifest``: a row for each file: its number, documents, ids and the Merkle root over its documents' roots.
+* ``document``, in ascending id order within and over the files: a document's recipe (``chunks``: addresses,
+  ``lengths``), its Merkle root, and the contents of the chunks that it is the first to hold.  ``place`` tells where a
+  chunk's content is: 0 in this row's ``own``, 1 in this row's ``shared`` (other recipes use it too), 2 in the ``shared``
+  of another row.  Each distinct chunk's content is in the store once.
+* ``manifest``, last of each part: its number, documents, ids and the Merkle root over its documents' roots.
 
-Writing encodes once: rows are staged, addresses alone are grouped to find repeated chunks, and one shuffle by id
-range brings rows and their marks together in order.  Reading moves no content but that of repeated chunks.  Each
+Writing encodes once: rows are staged, addresses alone are grouped to find repeated chunks (cells of very frequent
+ones meet their mark where they lie), and one shuffle by id range brings rows and their marks together in order.  Reading moves no content but that of repeated chunks.  Each
 chunk, each document's root and each file's root is checked.
 
 Defined results.  Null and empty texts are the end id alone.  Null ids come first.  Rows that share an id are
-documents of their own, in the order of the scan.  An empty table gives an empty store.  Other columns are not read.
+documents of their own, in the order of the scan.  Texts of any length are cut into chunks; a document is one row, so its
+ids are to fit a task's memory.  An empty table gives an empty store.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_path, text_rows, work_path
-from tidemark.llm.tokens import encoder
+from tidemark.llm.common import drop_path, spread_join, stored, text_rows, work_path
+from tidemark.llm.tokens import TokenizerFile
 
 WINDOW, MASK, SHORTEST, LONGEST = 16, np.uint32(511), 128, 2048
 STAGED = "row long, doc_id long, chunks array<binary>, lengths array<int>, content binary"
@@ -121,8 +122,10 @@ def _grouped(rows, schema: pa.Schema):
 
 
 def _stage(docs: DataFrame, tokenizer_path: str, unit: str, end_id: int, width: int) -> DataFrame:
+    tokenizer = TokenizerFile(docs.sparkSession, tokenizer_path)
+
     def run(batches):
-        encode, base = encoder(tokenizer_path, unit).encode, TaskContext.get().partitionId() << 33
+        encode, base = tokenizer.encoder(unit).encode, TaskContext.get().partitionId() << 33
         end = np.array([end_id], "<u4")
 
         def rows():
@@ -146,8 +149,8 @@ def _pack(staged: DataFrame, width: int) -> DataFrame:
     """Rows of the store; marks of repeated chunks come with their document's row."""
     cells = staged.select("row", "doc_id", F.posexplode("chunks").alias("pos", "chunk"))
     first = F.min(F.struct("doc_id", "row", "pos"))
-    repeated = cells.groupBy("chunk").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
-    marked = cells.join(repeated, "chunk").select("row", "doc_id", "pos", ((F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))).alias("owner"))
+    repeated = stored(cells.groupBy("chunk").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1"), "repeated")
+    marked = spread_join(cells, repeated, ["chunk"], "n").select("row", "doc_id", "pos", ((F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))).alias("owner"))
     marks = marked.groupBy("row", "doc_id").agg(F.collect_list(F.when(F.col("owner"), F.col("pos"))).alias("owned"), F.collect_list(F.when(~F.col("owner"), F.col("pos"))).alias("elsewhere"))
     nothing = {"owned": "array<int>", "elsewhere": "array<int>"}
     both = staged.select("row", "doc_id", F.lit(1).alias("order"), "chunks", "lengths", "content", *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
@@ -265,6 +268,6 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, *, unit: str = "word"
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size() - 1, end_id) < 1 << 16 else 4
     staging = work_path(spark, "ids")
     _stage(docs, tokenizer_path, unit, end_id, width).write.option("compression", "zstd").parquet(staging)
-    _pack(spark.read.schema(STAGED).parquet(staging), width).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    _pack(spark.read.schema(STAGED).parquet(staging), width).write.option("compression", "zstd").parquet(path)
     drop_path(spark, staging)
     return Store(spark, path)

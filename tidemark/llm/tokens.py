@@ -14,14 +14,17 @@ cutting and changing text aren't those that a unit assumes (``RULES``) is used w
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
 from array import array
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 LINES = re.compile(r"\S+(?:\n\S+)+")
 # White space of any kind, for regular expressions of Arrow.
@@ -67,13 +70,13 @@ class UnitEncoder(dict):
     Texts are encoded in steps of about as many bytes as those words take.
     """
 
-    def __init__(self, path: str, unit: str = "text", limit: int = 700_000):
+    def __init__(self, content: bytes, unit: str = "text", limit: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         if unit not in ("word", "space", "text"):
             raise ValueError(f"unknown unit {unit!r}")
-        self.tokenizer, self.limit, self.step_bytes = Tokenizer.from_file(path), limit, 12 * limit
+        self.tokenizer, self.limit, self.step_bytes = Tokenizer.from_buffer(content), limit, 12 * limit
         rules = json.loads(self.tokenizer.to_str())
         self.unit = unit if unit == "text" or (rules["normalizer"], rules["pre_tokenizer"]) == RULES[unit] and rules["model"]["type"] == "BPE" else "text"
         self.model, self.lead, self.letters, self.older = self.tokenizer.model, " " * (self.unit == "space"), byte_letters(), {}
@@ -160,12 +163,21 @@ class UnitEncoder(dict):
         return out
 
 
-_LOADED: dict[tuple[str, str, int], UnitEncoder] = {}
+class TokenizerFile:
+    """A tokenizer file that the driver reads and tasks get by broadcast; its size (a few MB) is the file's."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        content = Path(path).read_bytes()
+        self.key, self.shared = hashlib.sha256(content).hexdigest(), spark.sparkContext.broadcast(content)
 
+    def encoder(self, unit: str, words: int = 700_000, keep: bool = True) -> UnitEncoder:
+        """In a task: the encoder of this worker, kept from task to task, or a fresh one."""
+        key = (self.key, unit, words)
+        if not keep:
+            return UnitEncoder(self.shared.value, unit, words)
+        if key not in _LOADED:
+            _LOADED[key] = UnitEncoder(self.shared.value, unit, words)
+        return _LOADED[key]
 
-def encoder(path: str, unit: str, words: int = 700_000) -> UnitEncoder:
-    """The encoder of this worker, kept from task to task."""
-    key = (path, unit, words)
-    if key not in _LOADED:
-        _LOADED[key] = UnitEncoder(path, unit, words)
-    return _LOADED[key]
+
+_LOADED: dict[tuple[str, str, int], UnitEncoder] = {}
