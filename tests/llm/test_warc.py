@@ -2,6 +2,8 @@
 
 import hashlib
 import io
+import random
+from collections import Counter
 from pathlib import Path
 
 import zstandard
@@ -14,6 +16,8 @@ BIG = "<p>é</p>" * 200
 def test_round_trip(spark, tmp_path):
     rows = [(1, "http://a", BIG), (2, None, BIG), (3, "http://c%0A\r\nX: y", BIG), (4, "d", "small"), (5, "e", "small"), (6, "f", None), (7, "g", ""), (None, "h", BIG), (None, "i", "lone" * 400), (None, "i", "lone" * 400), (9, "j", "x" * 700_000), (10, "k", "again" * 300), (10, "k", "again" * 300)]
     rows += [(100 + i, "hot", "hot" * 500) for i in range(40)]
+    noise = random.Random(1)
+    rows += [(1000 + i, "noise", noise.randbytes(1500).hex()) for i in range(200)]
     pages = spark.createDataFrame([(*r, 1, "z") for r in rows], "page_id long, url string, html string, length int, digest string").repartition(3)
     folder = f"file://{tmp_path}"
     index = write(pages, folder, frame_bytes=5000, bundle_bytes=20_000)
@@ -26,8 +30,12 @@ def test_round_trip(spark, tmp_path):
         assert (r.record_type, r.refers_to) == (("revisit", newest) if revisit else ("response", None))
         payload = next((t or "").encode() for i, u, t in rows if i == r.page_id and (u or "") == r.url)
         assert r.payload_bytes == len(payload) and bytes(r.payload) == (b"" if revisit else payload)
-    names = {r.bundle for r in index.collect()}
-    assert len(names) > 1
+    records = index.collect()
+    names = {r.bundle for r in records}
+    assert len({r.record_id for r in records}) == len(rows)
+    frames = Counter((r.bundle, r.frame) for r in records)
+    assert len(names) > 3 and len(frames) > len(names)  # noise doesn't shrink: bundles are closed by size, with several frames each
+    assert all(Path(tmp_path, n).stat().st_size < 20_000 + 2 * 5000 + 1_000_000 * any(r.page_id == 9 for r in records if r.bundle == n) for n in names)
     whole = b"".join(zstandard.ZstdDecompressor().stream_reader(io.BytesIO((Path(tmp_path) / n).read_bytes()), read_across_frames=True).read() for n in sorted(names))
     assert whole.count(b"WARC/1.1\r\n") == len(rows)
     one = index.where("page_id = 9")

@@ -1,6 +1,6 @@
 """WARC archives as seekable Zstandard bundles.
 
-Writing.  Records are dealt to tasks by payload digest.  A task appends records to a frame until it holds
+Writing.  A task appends records to a frame until it holds
 ``frame_bytes``, compresses each frame on its own, and closes a bundle at ``bundle_bytes`` with a seek table: a
 skippable frame with each frame's compressed and full size, in the Zstandard seekable format, so any Zstandard
 reader can also read a bundle from its start.  The index maps each record to (bundle, frame, offset in the frame,
@@ -12,12 +12,16 @@ refers to.
 
 Reading.  Index rows are dealt by bundle; a reader loads a bundle's seek table, then only the frames asked for.
 
-Revisits.  Among payloads of at least ``revisit_bytes`` that are equal (SHA-256 and length), the record with the
-largest id is the response and the others refer to it.
+Records.  A response's block is an HTTP head and the payload, a revisit's the HTTP head alone.  Every record has an id of its
+own, also where rows are equal; a revisit names what it refers to by its URI and ``X-Refers-To-Page``.
+
+Revisits.  Among payloads of at least ``revisit_bytes`` that are equal (SHA-256), the record with the largest id is the
+response and the others refer to it.  Smaller payloads and those with very many copies stay in the tasks that scan
+them; only the others are shuffled by digest.
 
 Defined results.  A null payload is empty.  Rows that repeat the largest id of a group are all responses.  A null id
-counts as smaller than any; a group with null ids alone has responses only.  Null urls are written empty.  An empty
-table writes no bundle.  Other columns are not read.
+counts as smaller than any; a group with null ids alone has responses only.  Null urls are written empty.  Payloads of
+any length are one record each, held whole by the task that writes or reads it.  An empty table writes no bundle.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ import uuid
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, work_path
+from tidemark.llm.common import spread_join, stored, work_path
 
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -42,10 +47,6 @@ RECORD_DDL = "record_id string, page_id long, url string, record_type string, pa
 DATE = "1970-01-01T00:00:00Z"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
-
-
 def one_line(value: str) -> str:
     """A header value: percent signs, line ends and other control characters written as %XX."""
     return "".join(f"%{ord(c):02X}" if c < " " or c in "%\x7f" else c for c in value)
@@ -56,25 +57,27 @@ def plain(value: str) -> str:
     return head + "".join(chr(int(x[:2], 16)) + x[2:] for x in rest)
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, kind: str, refers_to: int | None) -> tuple[str, bytes]:
-    """A record's id and bytes; revisits carry no payload but its digest and size."""
-    own = record_id(page_id, digest)
-    block = payload if kind == "response" else b""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {one_line(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}"]
+def record(own: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, refers_uri: str) -> bytes:
+    """A record's bytes; revisits carry no payload but its digest and size."""
+    kind = "response" if refers_to is None else "revisit"
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (payload if kind == "response" else b"")
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {one_line(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", "", ""]
-    return own, "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {one_line(refers_uri)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {refers_to}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
+def parse(raw: bytes) -> tuple[dict[str, str], int, bytes]:
+    """A record's header, the payload's length as its HTTP head says, and the payload."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     fields = dict(x.split(": ", 1) for x in lines)
     n = int(fields["Content-Length"])
     if not first.startswith("WARC/") or rest[n:] != b"\r\n\r\n":
         raise ValueError(f"broken record {fields.get('WARC-Record-ID')}")
-    return fields, rest[:n]
+    http, _, payload = rest[:n].partition(b"\r\n\r\n")
+    return fields, int(http.rpartition(b"Content-Length: ")[2]), payload
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -160,17 +163,21 @@ def _batches(rows: list[tuple], schema: pa.Schema, size: int = 4096):
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 1000, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 26, level: int = 3) -> DataFrame:
     """pages(page_id, url, html) -> the index (see ``INDEX``) of bundles written into ``folder``."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "whole": F.sha2("payload", 256), "bytes": F.octet_length("payload")})
-    groups = rows.where(F.col("bytes") >= revisit_bytes).groupBy("whole").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("whole", "newest")
+    big = F.octet_length("payload") >= revisit_bytes
+    hashed = rows.where(big).withColumn("whole", F.sha2("payload", 256))
+    newest = F.max(F.struct("page_id", "url")).alias("newest")
+    groups = stored(hashed.groupBy("whole").agg(newest, F.count("*").alias("n")).where("n > 1").select("whole", F.col("newest.page_id").alias("newest"), F.col("newest.url").alias("uri"), "n"), "warc-groups")
     refers = F.when((F.col("page_id") < F.col("newest")) | (F.col("page_id").isNull() & F.col("newest").isNotNull()), F.col("newest"))
-    told = rows.join(groups, "whole", "left").select("page_id", "url", "digest", refers.alias("refers_to"), "payload")
+    told = spread_join(hashed, groups, ["whole"], "n", "left").select("page_id", "url", "payload", refers.alias("refers_to"), "uri")
+    told = told.unionByName(rows.where(~big).select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("uri")))
 
     def run(batches):
-        writer = BundleWriter(folder, frame_bytes, bundle_bytes, level)
+        writer, part, n = BundleWriter(folder, frame_bytes, bundle_bytes, level), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for page_id, url, digest, refers_to, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, raw = record(page_id, url, payload, digest, "response" if refers_to is None else "revisit", refers_to)
-                yield from _batches(writer.add(own, page_id, raw) or [], INDEX)
+            for page_id, url, payload, refers_to, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                digest = hashlib.sha1(payload).hexdigest()
+                own, n = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {part} {n}')}>", n + 1
+                yield from _batches(writer.add(own, page_id, record(own, page_id, url, payload, digest, refers_to, uri)) or [], INDEX)
         yield from _batches(writer.close(), INDEX)
 
     files, path = fs.FileSystem.from_uri(folder)
@@ -185,13 +192,13 @@ def read(index: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
         reader = BundleReader(folder)
         for batch in batches:
             out, held = [], 0
-            for own, page_id, bundle, frame, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fields, payload = parse(reader.frame(bundle, frame)[offset : offset + length])
+            for own, _, bundle, frame, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fields, size, payload = parse(reader.frame(bundle, frame)[offset : offset + length])
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if fields["WARC-Record-ID"] != own or fields["WARC-Type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
+                if fields["WARC-Record-ID"] != own or fields["WARC-Type"] == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
                     raise ValueError(f"{bundle} does not hold record {own} as it was written")
-                refers = fields.get("X-Refers-To-Page")
-                out.append((own, page_id, plain(fields["WARC-Target-URI"]), fields["WARC-Type"], digest, int(refers) if refers else None, int(fields["X-Payload-Length"]), payload if payloads else None))
+                page, refers = fields["X-Page-ID"], fields.get("X-Refers-To-Page")
+                out.append((own, int(page) if page else None, plain(fields["WARC-Target-URI"]), fields["WARC-Type"], digest, int(refers) if refers else None, size, payload if payloads else None))
                 held += len(payload) * payloads
                 if held > 1 << 24:
                     yield from _batches(out, RECORD)
