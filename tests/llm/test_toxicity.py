@@ -1,6 +1,7 @@
 """op6: segments against brute force, and accuracy on labels that the fit didn't see."""
 
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -30,6 +31,29 @@ def test_segments(x):
     assert all(sum(x[a:b]) == s for a, b, s in got) and all(p[1] <= q[0] for p, q in zip(got, got[1:]))
 
 
+def test_segments_of_a_million_words_in_seconds():
+    falling = np.where(np.arange(1_000_000) % 4 == 0, 2.0, -1.0)
+    mixed = np.random.default_rng(1).choice([2.0, -1.0, -2.0, 1.5], 1_000_000)
+    began = time.perf_counter()
+    assert len(segments(falling)) == 250_000 and len(segments(mixed)) > 0 and len(segments(-falling)) > 0
+    assert time.perf_counter() - began < 30
+
+
+def test_words_of_either_sign(spark):
+    docs = spark.createDataFrame([(i, "krelk some words" if i % 4 == 0 else "blessed some words") for i in range(400)], "doc_id long, text string")
+    model = fit(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    assert model.word("krelk") > 0 > -1 == model.word("other") > model.word("blessed")
+
+
+def test_held_out_labels_of_the_test_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = score(docs, fitted(docs, labels)).join(labels, "doc_id").where(held_out()).select("score", "toxic").collect()
+    right = np.mean([(r.score >= 0.3) == (r.toxic == 1) for r in rows])
+    chance = np.mean([r.toxic == 0 for r in rows])
+    assert len(rows) >= 80 and right > max(chance, 0.93)
+
+
 def corpus(spark, n=600):
     r = random.Random(4)
     plain = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(10)]

@@ -1,21 +1,24 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-Fitting.  Labelled rows are sampled to ``sample_rows`` (smallest hash of the id), which bounds the vocabulary: words
-and their first four and five letters that ``min_docs`` toxic sampled texts hold at least, and that toxic texts hold
-more often than chance explains (``min_surprise``, a log-likelihood ratio).  The share of *all* documents that hold
-a token is its Dirichlet prior (``prior_weight`` pseudo-texts) in the log-odds between toxic and other texts.  A
-word scores the log-odds of its surest token (largest z-score; word or prefix) less one, any other word minus one.
-
-Scoring.  One pass over a text finds every maximal segment (Ruzzo and Tompa's rule: disjoint segments that can't be
-extended or cut to score more).  With lambda from the score distribution of ordinary words, a segment of score S in
-n words is expected ``n * K * exp(-lambda * S)`` times by chance; K is set by the sampled texts that aren't toxic.
-The text's evidence is the sum of -ln(expectation) over segments expected less than once, plus that of the best one.  A
-one-variable logistic fit on the sample turns it into a probability.
-
-Defined results.  Null texts are empty; texts without words get the fitted score of no evidence.  Without labels of
-both kinds every score is the share of toxic labels (0 without labels).  Repeated rows come back repeated; several
-labels of one id count as toxic if any does; rows with a null label aren't used.  Columns other than id and text
-are not read.
+Fitting.  Labelled rows are sampled to ``sample_rows`` (smallest hash of the id), stored once, which bounds the
+vocabulary: words and their first four and five letters that the sample's toxic texts hold more often, or less often, than
+chance explains (``min_surprise``, a log-likelihood ratio).  The share of *all* documents that hold a token is its
+Dirichlet prior (``prior_weight`` pseudo-texts) in the log-odds between toxic and other texts.  A word scores the
+log-odds of its surest token (largest z-score; word or prefix), of either sign, less one; a word without such a token
+has log-odds of nought and scores minus one.  That one is the drift which maximum-scoring segments need: without it
+a run of words that say nothing would join what stands on both sides.
+
+Scoring.  One pass over a text, linear in its words, finds every maximal segment (Ruzzo and Tompa's rule: disjoint
+segments that can't be extended or cut to score more).  With lambda from the score distribution of the words of sampled
+texts that aren't toxic, a segment of score S in n words is expected ``n * K * exp(-lambda * S)`` times by chance.  K is
+the maximum-likelihood one of the extreme-value distribution of those texts' best segments.  The text's evidence is the
+sum of -ln(expectation) over segments expected less than once, plus that of the best one.  A one-variable logistic
+fit on the sample turns it into a probability.
+
+Defined results.  Null texts are empty; texts without words get the fitted score of no evidence.  Texts of any length
+are read whole.  Without labels of both kinds every score is the share of toxic labels (0 without labels).  Repeated
+rows come back repeated; several labels of one id count as toxic if any does; rows with a null label aren't used.
+Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep_rows, text_rows
+from tidemark.llm.common import keep_rows, stored, text_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("passages", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("segment_score", pa.float64())])))])
@@ -45,21 +49,33 @@ def tokens_of(word: str) -> tuple[str, ...]:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end exclusive, score), in linear time but for the rare long list search."""
-    found: list[list] = []  # [start, end, sum before, sum through]
+    """All maximal scoring segments (start, end exclusive, score), in time linear in the scores.
+
+    A candidate keeps the place of the last one before it whose total on its left is smaller.  A search follows these
+    places and so passes over a candidate once at most; if none is smaller, nothing before can change any more, and
+    the candidates are final.
+    """
     total = np.cumsum(scores)
-    for at in np.flatnonzero(scores > 0).tolist():
-        new = [at, at + 1, float(total[at] - scores[at]), float(total[at])]
+    at = np.flatnonzero(scores > 0)
+    final: list[tuple[int, int, float]] = []
+    start, end, left, through, smaller = [], [], [], [], []
+    for a, l, r in zip(at.tolist(), (total[at] - scores[at]).tolist(), total[at].tolist()):
+        b, j = a + 1, len(left) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
-                break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(a, b, r - l) for a, b, l, r in found]
+            while j >= 0 and left[j] >= l:
+                j = smaller[j]
+            if j < 0:
+                final += zip(start, end, (y - x for x, y in zip(left, through)))
+                start, end, left, through, smaller = [], [], [], [], []
+            elif through[j] < r:
+                # The candidate j and all after it become one with this one.
+                keep, a, l, j = j, start[j], left[j], smaller[j]
+                del start[keep:], end[keep:], left[keep:], through[keep:], smaller[keep:]
+                continue
+            start.append(a), end.append(b), left.append(l), through.append(r), smaller.append(j)
+            break
+    final += zip(start, end, (y - x for x, y in zip(left, through)))
+    return final
 
 
 class Model:
@@ -79,11 +95,14 @@ class Model:
             best = max((self.tokens[t] for t in tokens_of(word) if t in self.tokens), key=lambda x: abs(x[0]), default=(0.0, 0.0))
             if len(self._words) > 500_000:
                 self._words.clear()
-            got = self._words[word] = best[1] + self.floor if best[0] > 0 else self.floor
+            got = self._words[word] = best[1] + self.floor
         return got
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.word, words), dtype=np.float64, count=len(words))
+
     def evidence(self, words: list[str]) -> tuple[float, list[tuple[int, int, float]]]:
-        scores = np.fromiter(map(self.word, words), dtype=np.float64, count=len(words))
+        scores = self.scores(words)
         kept, total, best = [], 0.0, 0.0
         for a, b, s in segments(scores):
             bits = self.rate * s - math.log(self.k * len(words))
@@ -104,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, min_do
     docs = text_rows(docs)
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(sample), "doc_id")  # sample_rows ids and labels
+    rows = stored(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxicity-sample")  # sample_rows ids and labels
 
     def sampled(batches):
         """Per task: sampled texts of each label with a token; the empty token stands for all of them."""
@@ -115,44 +134,36 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, min_do
         keys = list(seen[0] | seen[1])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in seen)], names=["token", "d0", "d1"])
 
-    counted = rows.select("text", "toxic").mapInArrow(sampled, "token string, d0 long, d1 long")
-    sums = counted.groupBy("token").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1")).where(F.col("d1") > 0)
-    # Tokens of texts that aren't toxic alone can't make a segment, and none is collected.
-    table = {r.token: (r.d0, r.d1) for r in sums.where((F.col("d1") >= min_docs) | (F.col("token") == "")).collect()}
-    n0, n1 = table.pop("", (0, 0))
-    if not n1:
-        return Model({}, 0.0, 0.0)
-    wanted = {t for t, (a, b) in table.items() if surprise(a, b, n0, n1) >= min_surprise}
-    if not n0 or not wanted:
-        return Model({}, 0.0, n1 / (n0 + n1))
-    found = docs.select("text").mapInArrow(_background(wanted), "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    counted = rows.mapInArrow(sampled, "token string, d0 long, d1 long").groupBy("token").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+    counted = stored(counted.where(F.col("d0") + F.col("d1") >= min_docs), "toxicity-tokens")
+    n0, n1 = next(((r.d0, r.d1) for r in counted.where("token = ''").collect()), (0, 0))
+    if not n0 or not n1:
+        return Model({}, 0.0, n1 / (n0 + n1) if n0 + n1 else 0.0)
+    # Tokens that the labels tell apart: a small part of the sample's vocabulary.
+    table = {r.token: (r.d0, r.d1) for r in counted.where(F.col("token") != "").where(surprise(F.col("d0"), F.col("d1"), n0, n1) >= min_surprise).collect()}
+    found = docs.select("text").mapInArrow(_background(set(table)), "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect() if table else []
     everywhere = {r.token: r.n for r in found}
     texts = everywhere.pop("", 0) or 1
     tokens = {}
-    for t in sorted(wanted):
-        a, b = table[t]
+    for t, (a, b) in sorted(table.items()):
         prior = max(prior_weight * everywhere.get(t, 0) / texts, 0.01)
         odds1 = math.log((b + prior) / max(n1 + prior_weight - b - prior, 0.5))
         odds0 = math.log((a + prior) / max(n0 + prior_weight - a - prior, 0.5))
         z = (odds1 - odds0) / math.sqrt(1 / (b + prior) + 1 / (a + prior))
-        if odds1 - odds0 >= min_odds:
+        if abs(odds1 - odds0) >= min_odds:
             tokens[t] = (z, odds1 - odds0)
-    if not tokens:
+    if not any(odds > 0 for _, odds in tokens.values()):
         return Model({}, 0.0, n1 / (n0 + n1))
     model = Model(tokens, -1.0, n1 / (n0 + n1))
     _calibrate(model, rows)
     return model
 
 
-def surprise(a: int, b: int, n0: int, n1: int) -> float:
-    """Log-likelihood ratio (G2) of b of n1 toxic against a of n0 other texts; 0 if the toxic share isn't larger."""
-    if b * max(n0, 1) <= a * n1:
-        return 0.0
-    both, out = (a + b) / (n0 + n1), 0.0
-    for k, n in ((a, n0), (b, n1)):
-        out += k * math.log(k / (n * both)) if k else 0.0
-        out += (n - k) * math.log((n - k) / (n * (1 - both))) if k < n and both < 1 else 0.0
-    return 2 * out
+def surprise(a: Column, b: Column, n0: int, n1: int) -> Column:
+    """Log-likelihood ratio (G2) of b of n1 toxic against a of n0 other texts."""
+    both = (a + b) / (n0 + n1)
+    terms = [F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0) for c, n in ((a, n0), (b, n1)) for k, p in ((c, both), (n - c, 1 - both))]
+    return 2 * reduce(Column.__add__, terms)
 
 
 def _background(wanted: set[str]):
@@ -179,7 +190,7 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
                     hist.update(round(model.word(w), 2) for w in words_of(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(hist), pa.float64()), pa.array(list(hist.values()), pa.int64())], names=["value", "n"])
 
-    hist = rows.select("text", "toxic").mapInArrow(spread, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
+    hist = rows.mapInArrow(spread, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
     s, n = np.array([r.value for r in hist] or [model.floor]), np.array([r.n for r in hist] or [1], dtype=float)
     # One more word of the highest score, so that lambda exists where ordinary texts have no toxic word at all.
     s, n = np.append(s, max(x for _, x in model.tokens.values()) + model.floor), np.append(n, 1.0)
@@ -191,14 +202,28 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
             grows = float((p * np.exp(mid * s)).sum()) > 1
         low, high = (low, mid) if grows else (mid, high)
     model.rate = low
-    model.k = max(1e-12, float((p * np.maximum(s, 0) * np.exp(np.minimum(low * s, 500))).sum()) * 0.1)
+
+    def best(batches):
+        """Per batch: texts that aren't toxic, and the sum of their words' number times exp(-lambda * best segment)."""
+        for batch in batches:
+            texts, weight = 0, 0.0
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                scores = model.scores(words_of(text))
+                if not toxic and len(scores):
+                    texts += 1
+                    weight += len(scores) * math.exp(-model.rate * max((x for *_, x in segments(scores)), default=0.0))
+            yield pa.RecordBatch.from_arrays([pa.array([texts], pa.int64()), pa.array([weight], pa.float64())], names=["texts", "weight"])
+
+    sums = rows.mapInArrow(best, "texts long, weight double").agg(F.sum("texts").alias("texts"), F.sum("weight").alias("weight")).first()
+    # P(best <= s) = exp(-K n exp(-lambda s)): its likelihood over the texts is largest at this K.
+    model.k = sums.texts / sums.weight if sums.weight else 1.0
 
     def evidence(batches):
         for batch in batches:
             x = [model.evidence(words_of(t))[0] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "toxic"])
 
-    points = rows.select("text", "toxic").mapInArrow(evidence, "x double, toxic int").groupBy(F.round("x", 2).alias("x"), "toxic").count().collect()
+    points = rows.mapInArrow(evidence, "x double, toxic int").groupBy(F.round("x", 2).alias("x"), "toxic").count().collect()
     x, y, w = (np.array(c, dtype=float) for c in zip(*((r.x, float(r.toxic > 0), r["count"]) for r in points), strict=True))
     a = b = 0.0
     for _ in range(60):  # Newton steps; a weak ridge keeps separable samples finite
