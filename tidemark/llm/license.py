@@ -1,26 +1,29 @@
 """License scans by patience alignment.
 
-A template's words (letters, digits and inner dots; lower-cased) are aligned with a text's: words that occur once in
-both are anchors, the longest run of anchors in increasing order in both is kept, and the stretches between kept
-anchors are aligned in the same way; where no word is unique, equal words at both ends of a stretch are taken and
-what is left between is matched by a longest common subsequence.  Coverage is the share of the template's words that
-are aligned.
-
-A text may hold a template anywhere and more than once, which would leave no unique words.  So places come first:
-the window of ``stretch`` times the template's length that holds the most of the template's words (each as often as
-the template has it) bounds the coverage from above; while that bound reaches ``min_coverage``, the best window is
-aligned, its outcome noted, and the text left and right of the aligned words searched on.  A window below the bound
-can't reach the coverage, so none that could is left out.
+A template's words (letters, digits and inner dots or hyphens; lower-cased; "2.0" and "v2" count as "2") are aligned with
+a text's: words that occur once in both are anchors, the longest run of anchors in increasing order in both is kept,
+and the stretches between kept anchors are aligned in the same way; where no word is unique, equal words at both ends
+of a stretch are taken and what is left between is matched by a longest common subsequence.  Coverage is the share of
+the template's words that are aligned.
+
+A window begins with a word of the template and has ``stretch`` times as many words.  It holds a notice if the alignment covers
+``min_coverage`` and aligns every *deciding* word: those that tell a license from its relatives (name, version,
+variant).  A template is searched from the left.  The first window that holds a notice is compared with those that
+begin in the notice, and the one with the longest common subsequence is taken if its notice is larger and overlaps the
+first; then the words before and those behind the notice are searched in the same way.  No window that holds a notice is left out: a run of starts is passed over only where the longest
+common subsequence of all their words with the template, which no alignment exceeds, is too short; otherwise the run
+is halved.
 
 Defined results.  Null and empty texts have no notice.  Of templates that cover overlapping words the one with the
-most aligned words stays, then the larger coverage, then the first.  Repeated rows come back repeated.  An empty
-table gives no row.  Other columns are not read.
+most aligned words stays, then the larger coverage, then the first.  Texts of any length are read whole; time grows
+with the text times the templates whose deciding words it holds.  Repeated rows come back repeated.  An empty table
+gives no row.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -29,19 +32,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import text_rows
 
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-# Wording of public notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT": "Released under the MIT License.",
-    "MIT-notice": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+VERSION = re.compile(r"v?(\d+)(?:\.0)?$")
 NOTICE = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 FOUND = pa.schema([("doc_id", pa.int64()), ("notices", pa.list_(NOTICE))])
 
@@ -95,66 +86,117 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def best_window(words: list[str], lo: int, hi: int, places: list[int], need: Counter, width: int) -> tuple[int, int]:
-    """(template words held, first word) of the fullest window of ``width`` words in [lo, hi); places are those of
-    template words."""
-    a, b = bisect_left(places, lo), bisect_left(places, hi)
-    held, total, best, tail = Counter(), 0, (0, lo), a
-    for k in range(a, b):
-        w = words[places[k]]
-        held[w] += 1
-        total += held[w] <= need[w]
-        while places[k] - places[tail] >= width:
-            old = words[places[tail]]
-            total -= held[old] <= need[old]
-            held[old] -= 1
-            tail += 1
-        if total > best[0]:
-            best = (total, places[tail])
-    return best
+def masks_of(template: list[str]) -> dict[str, int]:
+    """Per word, the bits of its places."""
+    out: dict[str, int] = defaultdict(int)
+    for i, w in enumerate(template):
+        out[w] |= 1 << i
+    return dict(out)
+
+
+def common_length(words: list[str], masks: dict[str, int], full: int) -> int:
+    """Length of the longest common subsequence with a template, one step of whole-number arithmetic for each word."""
+    row = full
+    for w in words:
+        if hit := masks.get(w):
+            matched = row & hit
+            row = (row + matched) | (row - matched)
+    return (~row & full).bit_count()
+
+
+def word_of(text: str) -> str:
+    number = VERSION.match(text)
+    return number[1] if number else text
+
+
+class Template:
+    def __init__(self, name: str, text: str, deciding: str, min_coverage: float, stretch: float):
+        self.name, self.words = name, [word_of(w) for w in WORD.findall(text.lower())]
+        self.deciding = {word_of(w) for w in deciding.split()}
+        if not self.deciding <= set(self.words):
+            raise ValueError(f"{name}: {self.deciding - set(self.words)} aren't in the template")
+        self.masks, self.full = masks_of(self.words), (1 << len(self.words)) - 1
+        self.width, self.least = max(len(self.words), int(stretch * len(self.words))), min_coverage * len(self.words) - 1e-9
+
+    def bound(self, words: list[str], first: int, last: int, stop: int) -> int:
+        """No window that begins in [first, last] has more aligned words; windows end at ``stop``."""
+        return common_length(words[first : min(last + self.width, stop)], self.masks, self.full)
+
+    def notice(self, words: list[str], start: int, stop: int) -> tuple[int, int, int] | None:
+        """(aligned words, first, end) of the window at ``start`` if it holds a notice."""
+        pairs = patience(words[start : min(start + self.width, stop)], self.words)
+        if len(pairs) < self.least or not self.deciding <= {self.words[j] for _, j in pairs}:
+            return None
+        return len(pairs), start + pairs[0][0], start + pairs[-1][0] + 1
+
+    def first_notice(self, words: list[str], places: list[int], stop: int) -> tuple[int, tuple[int, int, int]] | None:
+        """The first window at one of ``places`` that holds a notice, with it."""
+        step = max(16, self.width)
+        work = [(k, min(k + step, len(places)) - 1) for k in range(0, len(places), step)][::-1]
+        while work:
+            a, b = work.pop()
+            if self.bound(words, places[a], places[b], stop) < self.least:
+                continue
+            if a < b:
+                half = (a + b) // 2
+                work += [(half + 1, b), (a, half)]
+            elif found := self.notice(words, places[a], stop):
+                return places[a], found
+        return None
+
+    def notices(self, words: list[str], places: list[int]) -> list[tuple[int, int, int]]:
+        """All notices of this template; ``places`` are those of its words."""
+        out, work = [], [(0, len(words))]
+        while work:
+            lo, hi = work.pop()
+            own = places[bisect_left(places, lo) : bisect_left(places, hi)]
+            if got := self.first_notice(words, own, hi):
+                start, found = got
+                inside = own[bisect_right(own, start) : bisect_left(own, found[2])]
+                best = max(inside, key=lambda k: (self.bound(words, k, k, hi), -k), default=start)
+                if self.bound(words, best, best, hi) > found[0] and (other := self.notice(words, best, hi)) and other[0] > found[0] and other[1] < found[2]:
+                    found = other
+                out.append(found)
+                work += [(lo, found[1]), (found[2], hi)]
+        return out
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], min_coverage: float, stretch: float):
-        self.min_coverage = min_coverage
-        self.templates = []
-        for name, text in templates.items():
-            words = WORD.findall(text.lower())
-            self.templates.append((name, words, Counter(words), max(len(words), int(stretch * len(words)))))
-        self.vocabulary = {w for _, words, *_ in self.templates for w in words}
+    def __init__(self, templates: list[tuple[str, str, str]], min_coverage: float, stretch: float):
+        self.templates = [Template(*t, min_coverage, stretch) for t in templates]
+        self.by_word = defaultdict(list)  # a deciding word -> templates that can't do without it
+        for order, t in enumerate(self.templates):
+            self.by_word[min(t.deciding or set(t.words), key=lambda w: (sum(w in x.masks for x in self.templates), w))].append(order)
+        self.any = [o for o, t in enumerate(self.templates) if not t.deciding]
 
     def notices(self, text: str) -> list[dict]:
-        found = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text.lower())] if len(text.lower()) == len(text) else [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+        low = text.lower()
+        # Lower-casing may make a text longer; then words are found first.
+        found = [(word_of(m.group()), m.start(), m.end()) for m in WORD.finditer(low)] if len(low) == len(text) else [(word_of(m.group().lower()), m.start(), m.end()) for m in WORD.finditer(text)]
         words = [w for w, *_ in found]
-        at = [i for i, w in enumerate(words) if w in self.vocabulary]
-        if not at:
-            return []
+        places: dict[str, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            places[w].append(i)
         hits = []
-        for order, (name, template, need, width) in enumerate(self.templates):
-            places = [i for i in at if words[i] in need]
-            least = self.min_coverage * len(template)
-            work = [(0, len(words))]
-            while work:
-                lo, hi = work.pop()
-                total, start = best_window(words, lo, hi, places, need, width)
-                if not total or total < least:
-                    continue
-                end = min(hi, start + width)
-                pairs = patience(words[start:end], template)
-                first, last = start + pairs[0][0], start + pairs[-1][0] + 1
-                if len(pairs) >= least:
-                    hits.append((-len(pairs), -len(pairs) / len(template), order, name, first, last))
-                # A window that falls short is searched on without its first word, for the next best one.
-                work += [(lo, first), (last, hi)] if len(pairs) >= least else [(lo, start), (start + 1, hi)]
+        for order in sorted({*self.any, *(o for w in self.by_word.keys() & places.keys() for o in self.by_word[w])}):
+            t = self.templates[order]
+            if t.deciding <= places.keys():
+                own = sorted(i for w in t.masks for i in places.get(w, ()))
+                hits += [(-n, -n / len(t.words), order, t.name, first, end) for n, first, end in t.notices(words, own)]
         kept = []
-        for _, coverage, _, name, first, last in sorted(hits):
-            if all(last <= a or b <= first for *_, a, b in kept):
-                kept.append((name, -coverage, first, last))
+        for _, coverage, _, name, first, end in sorted(hits):
+            if all(end <= a or b <= first for *_, a, b in kept):
+                kept.append((name, -coverage, first, end))
         return [{"license": n, "coverage": c, "start": found[a][1], "end": found[b - 1][2]} for n, c, a, b in sorted(kept, key=lambda x: x[2])]
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, min_coverage: float = 0.8, stretch: float = 1.5) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, notices): license, coverage, start and end in code points."""
+def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, *, min_coverage: float = 0.8, stretch: float = 1.5) -> DataFrame:
+    """documents(doc_id, text) -> (doc_id, notices): license, coverage, start and end in code points.
+
+    ``templates``: (license, text, deciding words with blanks between); those of :mod:`tidemark.llm.license_texts` by default.
+    """
+    from tidemark.llm.license_texts import TEMPLATES
+
     scanner = Scanner(TEMPLATES if templates is None else templates, min_coverage, stretch)
 
     def run(batches):
