@@ -164,21 +164,29 @@ class Template:
 class Scanner:
     def __init__(self, templates: list[tuple[str, str, str]], min_coverage: float, stretch: float):
         self.templates = [Template(*t, min_coverage, stretch) for t in templates]
-        self.by_word = defaultdict(list)  # a deciding word -> templates that can't do without it
+        # A word, not a version, that a template can't do without -> templates.  Few texts hold any.
+        self.by_word, self.any = defaultdict(list), []
         for order, t in enumerate(self.templates):
-            self.by_word[min(t.deciding or set(t.words), key=lambda w: (sum(w in x.masks for x in self.templates), w))].append(order)
-        self.any = [o for o, t in enumerate(self.templates) if not t.deciding]
+            names = [w for w in t.deciding if not VERSION.match(w)]
+            if names:
+                self.by_word[min(names, key=lambda w: (sum(w in x.masks for x in self.templates), w))].append(order)
+            else:
+                self.any.append(order)
 
     def notices(self, text: str) -> list[dict]:
         low = text.lower()
         # Lower-casing may make a text longer; then words are found first.
-        found = [(word_of(m.group()), m.start(), m.end()) for m in WORD.finditer(low)] if len(low) == len(text) else [(word_of(m.group().lower()), m.start(), m.end()) for m in WORD.finditer(text)]
-        words = [w for w, *_ in found]
+        same = len(low) == len(text)
+        raw = WORD.findall(low) if same else [w.lower() for w in WORD.findall(text)]
+        named = self.by_word.keys() & set(raw)
+        if not named and not self.any:
+            return []
+        words = [word_of(w) if w[0] in "v0123456789" else w for w in raw]
         places: dict[str, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             places[w].append(i)
         hits = []
-        for order in sorted({*self.any, *(o for w in self.by_word.keys() & places.keys() for o in self.by_word[w])}):
+        for order in sorted({*self.any, *(o for w in named for o in self.by_word[w])}):
             t = self.templates[order]
             if t.deciding <= places.keys():
                 own = sorted(i for w in t.masks for i in places.get(w, ()))
@@ -187,7 +195,10 @@ class Scanner:
         for _, coverage, _, name, first, end in sorted(hits):
             if all(end <= a or b <= first for *_, a, b in kept):
                 kept.append((name, -coverage, first, end))
-        return [{"license": n, "coverage": c, "start": found[a][1], "end": found[b - 1][2]} for n, c, a, b in sorted(kept, key=lambda x: x[2])]
+        if not kept:
+            return []
+        found = [m.span() for m in WORD.finditer(low if same else text)]
+        return [{"license": n, "coverage": c, "start": found[a][0], "end": found[b - 1][1]} for n, c, a, b in sorted(kept, key=lambda x: x[2])]
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, *, min_coverage: float = 0.8, stretch: float = 1.5) -> DataFrame:
