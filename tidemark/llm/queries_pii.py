@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import read
-from tidemark.llm.pii import KINDS, find, joined
+from tidemark.llm.pii import KINDS, RULED, find, joined
 
 
 def op9_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,4 +15,4 @@ def op9_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(k: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
-    return found.select("doc_id", *map(count, range(len(KINDS))), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, range(len(RULED))), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
