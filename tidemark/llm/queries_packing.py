@@ -10,9 +10,10 @@ from tidemark.llm.common import read
 from tidemark.llm.packing import pack
 
 
-def packed(docs: DataFrame, **options) -> DataFrame:
+def packed(docs: DataFrame, ids: bool = False, **options) -> DataFrame:
+    """Pieces with the checksum of their ids, and the ids themselves if wanted."""
     pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), unit="space", end_id=0, capacity=1024, **options)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length", *["ids"] * ids)
 
 
 def op5_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
