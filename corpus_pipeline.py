@@ -1,18 +1,22 @@
 """A corpus from documents to packed sequences, stage by stage.
 
 A stage takes what the one before it kept.  Documents that score as toxic go; of exact copies one stays; of each
-near-duplicate group one stays; documents that hold a benchmark passage go; the rest is packed.  Decisions are made
-for rows, not for ids, so rows with null or repeated ids have a fate of their own.  ``docs`` is to be a stored
-table, as every stage's input here is: the two stages that compare documents find their rows again by their places
-in its scan.
+near-duplicate group one stays; documents that hold a benchmark passage go; the rest is packed into sequences, with
+their ids.  Decisions are made for rows, not for ids, so rows with null or repeated ids have a fate of their own: the
+two stages that compare documents number their rows in a stored table first.
+
+Defined results.  Null texts are empty.  Repeated rows are copies, of which one stays.  Further columns, whatever their
+names, come through to packing, which takes doc_id and text.  An empty table gives no sequence.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, stored
+from tidemark.llm.common import free_name, read, stored
 from tidemark.llm.decontaminate import without_leaks
 from tidemark.llm.exact import exact_groups
 from tidemark.llm.queries_packing import packed
@@ -25,9 +29,11 @@ from tidemark.llm.toxicity import without_toxic
 CACHED_WORDS = 150_000
 
 
-def _kept(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    rows = groups.where("kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(rows, "__row", "left_semi").drop("__row")
+def _kept(docs: DataFrame, groups: Callable[..., DataFrame]) -> DataFrame:
+    row = free_name(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = groups(numbered, row_col=row).where("kept").select(F.col("row").alias(row))
+    return numbered.join(rows, row, "left_semi").drop(row)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +41,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, exact_groups(docs))
+    return _kept(docs, exact_groups)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near is what op7's query says (3-word shingles, fingerprints within 3 bits), not a similarity of five-word shingles."""
-    return _kept(docs, near_groups(docs))
+    return _kept(docs, near_groups)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs, cached_words=CACHED_WORDS, keep_words=False)
+    return packed(docs, ids=True, cached_words=CACHED_WORDS, keep_words=False)
 
 
 STAGES = [
