@@ -16,7 +16,7 @@ and splitting there; lengths of the parts, summed up in three levels, are the pl
 5.  Candidates at or above their threshold that no base span overlaps are added; those that overlap each other
     become one span, of the likeliest one's kind.
 
-The snippets are from at most ``sample_docs`` texts (smallest hash of the id) and there are ``examples`` examples; all
+The snippets are at most ``sample_docs`` (smallest hashes) and there are ``examples`` examples; all
 else covers all texts.
 
 Defined results.  A null text is empty and has no span.  Repeated rows come back repeated.  A kind without a threshold

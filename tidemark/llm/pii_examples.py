@@ -97,12 +97,15 @@ def written(docs: DataFrame, sample_docs: int, examples: int) -> DataFrame:
     from tidemark.llm.pii import KINDS
 
     spark = docs.sparkSession
-    texts = text_rows(docs).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs)
+    texts = text_rows(docs)
+    # About twice as many texts by their hash, so that what is sorted and cut to the bound doesn't grow.
+    share = min(1.0, 2 * sample_docs / max(texts.count(), 1))
+    texts = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     at = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.char_length("text") - 120, F.lit(1))) + 1).cast("int")
     # Digits of the text beside a value would become part of it.
     left = F.regexp_replace(F.substring("text", at, F.lit(60)), r"[0-9\s().+@-]+$", "")
     right_text = F.regexp_replace(F.substring("text", at + 60, F.lit(60)), r"^[0-9\s().+@-]+", "")
-    snippets = texts.select(left.alias("left"), right_text.alias("right_text"))
+    snippets = texts.select(left.alias("left"), right_text.alias("right_text")).distinct().orderBy(F.xxhash64("left", "right_text"), "left", "right_text").limit(sample_docs)
     snippets = snippets.withColumn("k", F.row_number().over(Window.orderBy("left", "right_text")) - 1)
     n = max(snippets.count(), 1)
     rows = spark.range(examples).withColumnRenamed("id", "row").withColumn("k", number(90, n).cast("int")).join(F.broadcast(snippets), "k", "left")
