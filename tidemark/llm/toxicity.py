@@ -122,7 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, min_do
     """documents(doc_id, text), labels(doc_id, toxic) -> model.  At most ``sample_rows`` labelled texts are used."""
     docs = text_rows(docs)
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    # First about twice the sample by hash, so that what is sorted doesn't grow with the labels.
+    share, place = min(1.0, 2 * sample_rows / max(marked.count(), 1)), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sample = marked.where(place < int(share * (1 << 30))).orderBy(place, "doc_id").limit(sample_rows)
     rows = stored(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxicity-sample")  # sample_rows ids and labels
 
     def sampled(batches):
