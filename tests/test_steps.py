@@ -11,11 +11,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import registry
+from tidemark import cli, registry
 from tidemark.functions import coerce, identity
 from tidemark.operators import clean, fx
 from tidemark.plans import views
-from tidemark.plans.store import lens_frames, merged_marks
+from tidemark.plans.store import lens_frames, merged_marks, open_store
 from tidemark.sinks import export, server
 from tidemark.sources import facts, tables
 
@@ -36,6 +36,38 @@ def test_amounts(spark):
     assert one(spark, coerce.to_decimal, "$1,234.5", "(500)", "12%", "", "-", "n/a", None, "null") == [Decimal("1234.5000"), Decimal("-500.0000"), Decimal("12.0000"), None, None, None, None, None]
 
 
+def test_rates_keep_their_digits(spark):
+    assert one(spark, coerce.to_rate_pct, "0.11375", "11.375%", "0.00005", "(0.0125)", "5.1234567", "1e-3", "1.5d", "inf", None, "-") == [pytest.approx(x) if x is not None else None for x in (11.375, 11.375, 0.005, -1.25, 5.1234567, 0.1, None, None, None, None)]
+
+
+def test_load_from_tables(spark, tmp_path):
+    """Two loads of tab-separated tables into a store, through the command line."""
+    head = ["adsh", "cik", "form", "filed", "ddate", "Investment, Identifier Axis", "Investment Owned, at Fair Value", "Investment Owned, at Cost", "Investment Owned, Balance, Principal Amount", "Investment Interest Rate", "Country Axis"]
+    first = [["a1", "7", "10-Q", "20260801", "20260630", "Larch Mills LLC, First Lien Term Loan", "98", "99", "100", "0.11375", "Canada"], ["a1", "7", "10-Q", "20260801", "20260630", "Fir Foods Inc., Common Stock", "5", "4", "", "", ""], ["a9", "8", "10-Q", "20260801", "20260630", "Not Ours, First Lien", "1", "1", "1", "", ""]]
+    second = [["a2", "7", "10-Q", "20260901", "20260630", "Larch Mills LLC, First Lien Term Loan", "97", "99", "100", "0.11375", ""], ["a3", "7", "10-Q", "20261101", "20260930", "Larch Mills LLC, First Lien Term Loan", "90", "99", "100", "", ""]]
+    (tmp_path / "universe.json").write_text(json.dumps({"bdcs": [{"ticker": "LAR", "cik": 7, "name": "Larch Capital"}, {"ticker": "X", "cik": None, "name": "None"}]}))
+    for n, rows_ in (("one", first), ("two", second)):
+        (tmp_path / n).mkdir()
+        (tmp_path / n / "soi.tsv").write_text("\n".join("\t".join(r) for r in [head, *rows_]))
+    root = f"file://{tmp_path}/store"
+    assert cli.main(["--data", SF, "load", "x", "y"]) == 2
+    assert cli.main(["--store", root, "load", f"{tmp_path}/one", f"{tmp_path}/universe.json", "--new"]) == 0
+    assert cli.main(["--store", root, "load", f"{tmp_path}/two", f"{tmp_path}/universe.json"]) == 0
+    f = open_store(spark, root)
+    marks = sorted((str(r.period_end), r.issuer_name, r.fair_value, r.country, r.interest_rate and round(r.interest_rate, 6), r.ticker) for r in f.v_marks.collect())
+    assert marks == [("2026-06-30", "Fir Foods Inc.", 5, None, None, "LAR"), ("2026-06-30", "Larch Mills LLC", 97, "Canada", 11.375, "LAR"), ("2026-09-30", "Larch Mills LLC", 90, None, None, "LAR")]
+    assert {(str(r.first_period), str(r.last_period)) for r in f.loans.where("is_debt").collect()} == {("2026-06-30", "2026-09-30")}
+    assert {r.accession for r in f.filings.collect()} == {"a1", "a2", "a3"} and f.bdcs.count() == 1
+    assert cli.main(["--store", root, "stats"]) == 0 and cli.main(["--store", root, "inspect", "LAR", "--limit", "1"]) == 0
+    assert cli.main(["--store", root, "inspect", "NO"]) == 1
+
+
+def test_view_reads_one_period(frames):
+    """A view of one period prunes its scan; loans, borrowers and filers come from tables of their own."""
+    plan = frames.v_marks.where("period_end = date'2001-09-30'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(period_end" in plan and "Aggregate" not in plan
+
+
 def test_dates(spark):
     assert one(spark, coerce.to_date, "2029-06-30", "6/30/2029", "6/30/29", "1/2/70", "20290630", "30-Jun-2029", "06/2029", "June 2029", "soon", None) == [
         *[date(2029, 6, 30)] * 3, date(1970, 1, 2), *[date(2029, 6, 30)] * 2, *[date(2029, 6, 1)] * 2, None, None,

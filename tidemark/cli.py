@@ -1,6 +1,7 @@
 """Command line: ``python -m tidemark.cli COMMAND``.
 
-A data set is a folder of the test tables (``--data``), seen through the lens.  Exit codes: 1 nothing found, 2 wrong use.
+A data set is a folder of the test tables (``--data``), seen through the lens, or a store (``--store``) that ``load`` fills
+from tab-separated position tables.  Exit codes: 1 nothing found, 2 wrong use.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ import sys
 from pyspark.sql import SparkSession
 
 from tidemark.plans import views
-from tidemark.plans.store import Frames, lens_frames
+from tidemark.plans.store import Frames, as_filed, lens_frames, load, open_store, read_universe
 from tidemark.sinks import export, server
+from tidemark.sources import tables
 
 REPORT = ("overview", "bdcs", "nonaccrual_trend", "markdowns", "deteriorating", "disagreements")
 
@@ -60,11 +62,38 @@ def serve(f: Frames, args: argparse.Namespace) -> int:
     return 0
 
 
+def load_tables(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Positions of all tables at a path into the store; ``--new`` starts it."""
+    universe = read_universe(spark, args.universe)
+    rates = spark.read.schema("rate_date date, currency string, rate double").csv(args.rates, header=True) if args.rates else spark.createDataFrame([], "rate_date date, currency string, rate double")
+    found = load(spark, args.store, as_filed(tables.to_positions(tables.read_landing(spark, args.landing)), universe), rates, new=args.new)
+    print(json.dumps(export.records(views.dataset_stats(found))[0], indent=1))
+    return 0
+
+
+def quarters(spark: SparkSession, args: argparse.Namespace) -> int:
+    for row in tables.quarters_between(spark, args.start, args.end).collect():
+        print(row.quarter)
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tidemark")
-    top.add_argument("--data", required=True)
+    where = top.add_mutually_exclusive_group(required=True)
+    where.add_argument("--data")
+    where.add_argument("--store")
     top.add_argument("--period")
     commands = top.add_subparsers(dest="command", required=True)
+    c = commands.add_parser("load")
+    c.add_argument("landing")
+    c.add_argument("universe")
+    c.add_argument("--rates")
+    c.add_argument("--new", action="store_true")
+    c.set_defaults(setup=load_tables)
+    c = commands.add_parser("quarters")
+    c.add_argument("start")
+    c.add_argument("end")
+    c.set_defaults(setup=quarters)
     commands.add_parser("stats").set_defaults(run=stats)
     c = commands.add_parser("report")
     c.add_argument("view")
@@ -90,7 +119,12 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    return args.run(lens_frames(spark, args.data), args)
+    if hasattr(args, "setup"):
+        if args.command == "load" and not args.store:
+            print("load needs --store", file=sys.stderr)
+            return 2
+        return args.setup(spark, args)
+    return args.run(lens_frames(spark, args.data) if args.data else open_store(spark, args.store), args)
 
 
 if __name__ == "__main__":

@@ -36,11 +36,14 @@ CURRENCIES = [
     ("NOK", r"\bnok\b"),
     ("CHF", r"\bchf\b"),
 ]
+# Fixed value: wording of filings.
 NON_ACCRUAL = r"non[\s-]*accrual|nonaccrual"
+# Fixed value: wording of filings.
 MATURITY_IN_LABEL = (
     r"\b(?:due|matur(?:es|ity|ing))\b[\s:,-]{0,6}"
     r"(\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2}|[A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{4}|[A-Za-z]{3,9}\.?\s+\d{4})"
 )
+# Fixed value: wording of filings.
 NOT_A_PLACE = r"affiliat|control|majority[\s-]*owned|non[\s-]*controlled|portfolio compan"
 COUNTRIES = {
     "United States": ["US", "USA", "U.S.", "UNITED STATES OF AMERICA", "UNITED STATES"],
@@ -84,17 +87,28 @@ def first_rule(text: Column, rules: list[tuple[str, str]]) -> Column:
     return F.coalesce(*(F.when(like(text, pattern), F.lit(name)) for name, pattern in rules))
 
 
-def to_decimal(text: Column) -> Column:
-    """An amount: "$1,234.5", "(500)" for minus 500; a percent sign is dropped, not applied."""
+def _bare(text: Column) -> tuple[Column, Column]:
+    """A figure without signs of money and brackets, and whether it is to be read as minus that figure."""
     clean = stripped(text)
     bare = stripped(F.regexp_replace(F.regexp_replace(clean, r"^[()]+|[()]+$", ""), "[$,%]", ""))
+    return F.when(~F.lower(clean).isin(BLANKS), bare), clean.rlike(r"(?s)^\(.*\)$")
+
+
+def to_decimal(text: Column) -> Column:
+    """An amount with four places: "$1,234.5", "(500)" for minus 500; a percent sign is dropped, not applied.
+
+    Null above twenty whole digits.
+    """
+    bare, minus = _bare(text)
     amount = bare.try_cast(MONEY)
-    signed = F.when(clean.rlike(r"(?s)^\(.*\)$"), -amount).otherwise(amount)
-    return F.when(~F.lower(clean).isin(BLANKS), signed)
+    return F.when(minus, -amount).otherwise(amount)
 
 
 def to_float(text: Column) -> Column:
-    return to_decimal(text).cast("double")
+    """A figure with all its digits, read as an amount is."""
+    bare, minus = _bare(text)
+    value = F.when(bare.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), bare.try_cast("double"))
+    return F.when(minus, -value).otherwise(value)
 
 
 def _parsed(text: Column, formats: list[str]) -> Column:

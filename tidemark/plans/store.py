@@ -1,18 +1,22 @@
 """The store: marks at one row for each loan and quarter, in Parquet partitioned by period, and its dimensions.
 
 Loading is an upsert.  Plain Parquet has no merge, so a load joins the new rows to the old ones of the periods that
-it touches and writes those partitions anew (dynamic overwrite); other periods aren't read.
+it touches and writes those partitions anew (dynamic overwrite); other periods aren't read.  Loans, borrowers, filers
+and filings are tables of their own, merged in the same way, so that no view derives them from the marks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import identity
+from tidemark.functions.coerce import MONEY
 from tidemark.operators.clean import basis, clean, mark
 from tidemark.sources import lens
+from tidemark.sources.schedules import enrich
 from tidemark.storage import shared_path
 
 DIMENSION_COLUMNS = ("ticker", "bdc_name", "identifier", "issuer_name", "canonical_name", "investment_type", "lien", "facility", "currency", "is_debt")
@@ -29,16 +33,17 @@ class Frames:
     loans: DataFrame
     issuers: DataFrame
     bdcs: DataFrame
+    filings: DataFrame
 
     @property
     def v_marks(self) -> DataFrame:
         """Marks with their filer, loan and borrower, and the basis that every mark divides by.
 
-        Filers are 43 at most by the universe file and may be broadcast; the other sides are left to the optimizer.
+        All sides are stored tables, whose sizes the optimizer knows: it broadcasts those that are small enough.
         """
         loans = self.loans.select("loan_id", "investment_type", "lien", "facility", "currency", "is_debt", "identifier")
         issuers = self.issuers.select("issuer_id", F.col("display_name").alias("issuer_name"), "canonical_name")
-        return self.marks.join(loans, "loan_id").join(F.broadcast(self.bdcs.select("cik", "ticker", F.col("name").alias("bdc_name"))), "cik").join(issuers, "issuer_id")
+        return self.marks.join(loans, "loan_id").join(self.bdcs.select("cik", "ticker", F.col("name").alias("bdc_name")), "cik").join(issuers, "issuer_id")
 
 
 def marks_of(cleaned: DataFrame) -> DataFrame:
@@ -86,17 +91,37 @@ def merged_marks(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*map(pick, old.columns))
 
 
+def _merged(old: DataFrame, new: DataFrame, key: str, pick: dict[str, Column]) -> DataFrame:
+    """Rows of either table by key; columns that ``pick`` doesn't name stay as first stored."""
+    both = old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
+    known = F.col(f"o.{key}").isNotNull()
+    return both.select(*(pick.get(c, F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))).alias(c) for c in old.columns))
+
+
 def merged_loans(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Periods widen, a null identifier is filled, all else stays as first stored."""
-    a, b = old.alias("o"), new.alias("n")
-    both = a.join(b, F.col("o.loan_id") == F.col("n.loan_id"), "full")
-    known = F.col("o.loan_id").isNotNull()
+    """Periods widen, an identifier is replaced by a newer one, all else stays as first stored."""
     pick = {
         "first_period": F.least("o.first_period", "n.first_period"),
         "last_period": F.greatest("o.last_period", "n.last_period"),
         "identifier": F.coalesce("n.identifier", "o.identifier"),
     }
-    return both.select(*(pick.get(c, F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))).alias(c) for c in old.columns))
+    return _merged(old, new, "loan_id", pick)
+
+
+def merged_issuers(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The smaller display name."""
+    return _merged(old, new, "issuer_id", {"display_name": F.least("o.display_name", "n.display_name")})
+
+
+def merged_bdcs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The newer row."""
+    newer = F.col("n.cik").isNotNull()
+    return _merged(old, new, "cik", {c: F.when(newer, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in old.columns if c != "cik"} | {"cik": F.coalesce("n.cik", "o.cik")})
+
+
+def merged_filings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The row first stored."""
+    return _merged(old, new, "accession", {})
 
 
 def write_marks(marks: DataFrame, path: str) -> None:
@@ -116,6 +141,61 @@ def upsert_marks(spark: SparkSession, path: str, new: DataFrame) -> None:
     write_marks(spark.read.schema(old.schema).parquet(staged), path)
 
 
+#: Table -> how it is derived from cleaned positions, and merged.
+DIMENSIONS = {"loans": (loans_of, merged_loans), "issuers": (issuers_of, merged_issuers), "bdcs": (bdcs_of, merged_bdcs), "filings": (filings_of, merged_filings)}
+
+
+def open_store(spark: SparkSession, root: str) -> Frames:
+    marks, loans, issuers, bdcs, filings = (spark.read.parquet(f"{root}/{t}") for t in ("marks", "loans", "issuers", "bdcs", "filings"))
+    return Frames(marks, loans, issuers, bdcs, filings)
+
+
+def load(spark: SparkSession, root: str, positions: DataFrame, rates: DataFrame, schedule_rows: DataFrame | None = None, *, new: bool = False) -> Frames:
+    """Cleans positions (of :func:`as_filed`) and puts them into the store at ``root``; ``new`` starts one.
+
+    Rows of printed schedules complete the positions before facilities are merged.
+    """
+    if schedule_rows is not None:
+        positions = enrich(positions, schedule_rows)
+    staged = shared_path(spark, "cleaned")
+    cleaned = clean(positions, rates)
+    cleaned.write.option("compression", "zstd").parquet(staged)
+    cleaned = spark.read.schema(cleaned.schema).parquet(staged)
+    if new:
+        write_marks(marks_of(cleaned), f"{root}/marks")
+    else:
+        upsert_marks(spark, f"{root}/marks", marks_of(cleaned))
+    for name, (derive, merge) in DIMENSIONS.items():
+        made = derive(cleaned)
+        if not new:
+            # A table can't be read and overwritten in one job.
+            waiting = shared_path(spark, name)
+            merge(spark.read.parquet(f"{root}/{name}"), made).write.parquet(waiting)
+            made = spark.read.schema(made.schema).parquet(waiting)
+        made.write.mode("overwrite").parquet(f"{root}/{name}")
+    return open_store(spark, root)
+
+
+def read_universe(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON file with a list ``bdcs`` of ticker, cik and name -> (cik, ticker, bdc_name); entries without cik are left out."""
+    rows = spark.read.schema("bdcs array<struct<ticker: string, cik: long, name: string>>").json(path, multiLine=True)
+    return rows.select(F.inline("bdcs")).where("cik IS NOT NULL").select("cik", "ticker", F.col("name").alias("bdc_name"))
+
+
+#: Columns that cleaning needs and a source may lack.
+FILED = {
+    "principal_ccy": "string", "fair_value_ccy": "string", "year_acquired": "int", "year_matures": "int", "acquisition_date": "date",
+    "shares": MONEY, "spread": "double", "pik_rate": "double", "pct_net_assets": "double",
+}
+
+
+def as_filed(positions: DataFrame, universe: DataFrame) -> DataFrame:
+    """Positions of any source with their filer's names and all columns that cleaning needs; other filers' are left out."""
+    missing = {c: F.lit(None).cast(t) for c, t in FILED.items() if c not in positions.columns}
+    rows = positions.withColumns(missing | {"canonical_name": identity.canonical_issuer(F.col("issuer_name"))})
+    return rows.drop("ticker", "bdc_name").join(universe, "cik").drop("tranche_text", "reference_rate")
+
+
 _OPEN: dict[tuple[str, str], Frames] = {}
 
 
@@ -123,12 +203,5 @@ def lens_frames(spark: SparkSession, sf_dir: str) -> Frames:
     """The store of a data set, loaded on first use in an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _OPEN:
-        cleaned = clean(lens.positions(spark, sf_dir), lens.rates(spark, sf_dir))
-        staged = shared_path(spark, "cleaned")
-        cleaned.write.option("compression", "zstd").parquet(staged)
-        cleaned = spark.read.schema(cleaned.schema).parquet(staged)
-        marks, loans = shared_path(spark, "marks"), shared_path(spark, "loans")
-        write_marks(marks_of(cleaned), marks)
-        loans_of(cleaned).write.parquet(loans)
-        _OPEN[key] = Frames(spark.read.parquet(marks), spark.read.parquet(loans), issuers_of(cleaned), bdcs_of(cleaned))
+        _OPEN[key] = load(spark, shared_path(spark, "store"), lens.positions(spark, sf_dir), lens.rates(spark, sf_dir), new=True)
     return _OPEN[key]

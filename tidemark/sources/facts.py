@@ -55,7 +55,7 @@ def to_positions(facts: DataFrame, cik: int | Column, accession: str, filed: str
     rows = facts.select(
         F.try_element_at(names, local).alias("field"),
         coerce.to_date(F.col("period_instant").cast("string")).alias("period_end"),
-        F.coalesce(F.col("numeric_value").cast("decimal(24,6)").cast("string"), F.col("value")).alias("v"),
+        F.coalesce(F.col("numeric_value").cast("decimal(38,12)").cast("string"), F.col("value")).alias("v"),
         F.upper(F.substring_index("currency", ":", -1)).alias("ccy"),
         *(dimension(F.col("dims"), p).alias(a) for a, p in AXES),
         "seq",

@@ -30,7 +30,9 @@ COLUMNS = [
     ("instrument", r"investment\s*type|type\s*of\s*investment|security|instrument"),
     ("issuer", r"portfolio\s*compan|company|issuer|investment(?!\s*type)"),
 ]
+# Fixed value: what printed schedules write.
 TOTAL = re.compile(r"^\s*(sub)?total|^\s*net\s|aggregate", re.I)
+# Fixed value: what printed schedules write.
 NUMBER = re.compile(r"^\(?\s*[$€£]?\s*[\d,]+(\.\d+)?\s*\)?$")
 FIGURES = ("fair_value", "cost", "principal")
 DESCRIPTIONS = ("instrument", "maturity", "acquisition", "industry")
