@@ -164,8 +164,27 @@ SQL = {
     "tranche_signature": "SELECT p_partkey, 'TERM_LOAN/' || substr('ABCDEFGH', CAST(p_size % 8 + 1 AS INT), 1) || '/FIRST_OUT' AS tranche FROM part",
     "label_strip_noise": "SELECT p_partkey, trim(regexp_replace(upper(p_brand), '[^A-Z0-9]+', ' ', 'g')) || ' TERM LOAN' AS label FROM part",
     "label_reference_rate": "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'TERM SOFR' WHEN 1 THEN 'SOFR' WHEN 2 THEN 'LIBOR' WHEN 3 THEN 'PRIME' END AS reference_rate FROM part",
-    "rate_normalise": "SELECT p_partkey, CAST(CASE WHEN abs(p_size - 25) <= 1.5 THEN (p_size - 25) * 100 ELSE p_size - 25 END AS DOUBLE) AS rate FROM part",
+    "rate_normalise": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN CAST('0.' || lpad(CAST(p_partkey * 37 % 100000000 AS VARCHAR), 8, '0') AS DOUBLE) * 100 WHEN p_partkey % 3 = 2 THEN CAST('0.' || lpad(CAST(p_partkey * 41 % 100000 AS VARCHAR), 5, '0') AS DOUBLE) * -100 ELSE CAST(CASE WHEN abs(p_size - 25) <= 1.5 THEN (p_size - 25) * 100 ELSE p_size - 25 END AS DOUBLE) END AS rate FROM part",
     "country_canonical": "SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'United States' WHEN 1 THEN 'United Kingdom' WHEN 2 THEN 'North America' WHEN 4 THEN 'Germany' END AS country FROM nation",
     "maturity_in_label": "SELECT p_partkey, strftime(make_date(2029, CAST(p_size % 12 + 1 AS BIGINT), 15), '%Y-%m-%d') AS maturity_date FROM part",
     "amounts": "SELECT p_partkey, -CAST(CAST(round(p_retailprice, 2) AS DECIMAL(24,4)) AS DOUBLE) AS amount FROM part",
+    "restatements": f"{RAW}, p AS (SELECT loan_id, accession, period_end, fv, CASE WHEN seq % 3 <> 0 THEN principal END AS principal, CASE WHEN seq % 3 <> 0 THEN cost END AS cost FROM pos), w AS (SELECT *, bool_or(principal IS NOT NULL OR cost IS NOT NULL) OVER g AS told, count(*) OVER g AS was FROM p WINDOW g AS (PARTITION BY loan_id, accession, period_end)) SELECT loan_id, accession, {money('sum(fv)')} AS fair_value, {money('sum(cost)')} AS cost, {money('sum(principal)')} AS principal, CASE WHEN max(was) > 1 THEN 'merged_' || count(*) || '_facilities' ELSE '' END AS flags FROM w WHERE NOT told OR principal IS NOT NULL OR cost IS NOT NULL GROUP BY loan_id, accession, period_end",
+    "scale_applied": f"{RAW}, g AS (SELECT *, count(CASE WHEN debt THEN 1 END) OVER (PARTITION BY cik, accession, period_end) >= 10 AS many FROM pos) SELECT cik, accession, {money('sum(principal * CASE WHEN cik = 3 AND NOT many THEN 1000 ELSE 1 END)')} AS principal, {money('sum(cost * CASE WHEN cik = 3 AND NOT many THEN 1000 ELSE 1 END)')} AS cost, count(CASE WHEN cik = 3 AND many THEN 1 END) AS mended FROM g GROUP BY cik, accession",
+    "fx_stale": f"{MERGED} SELECT cik, accession, CAST(sum(CAST(CAST(principal AS DOUBLE) / CASE region WHEN 0 THEN 0.79 WHEN 1 THEN 0.92 WHEN 4 THEN 1.0 END AS DECIMAL(24,4))) AS DOUBLE) AS principal_usd, strftime(max(CASE WHEN principal IS NOT NULL AND region = 0 THEN period_end WHEN principal IS NOT NULL AND region = 1 THEN period_end - 5 END), '%Y-%m-%d') AS fx_date, count(CASE WHEN principal IS NOT NULL AND region IN (2, 3) THEN 1 END) AS lost FROM merged GROUP BY cik, accession",
+    "window_filter": f"{RAW} SELECT {day('period_end', 'period_end')}, count(*) AS n FROM pos WHERE period_end BETWEEN DATE '1998-01-01' AND DATE '2000-08-15' GROUP BY period_end",
+    "quarter_gaps": f"{MARKS}, wanted AS (SELECT cik, year(d) || 'Q' || quarter(d) AS quarter FROM (SELECT DISTINCT cik FROM v), generate_series(DATE '1996-01-01', DATE '2000-10-01', INTERVAL 3 MONTH) g(d)) SELECT cik, quarter FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.cik = w.cik AND {QUARTER} = w.quarter AND quarter(v.period_end) <> v.cik % 4 + 1)",
+    "upsert_marks": f"{FX}, f AS (SELECT * FROM dollars WHERE l_linestatus = 'F'), o AS (SELECT * FROM dollars WHERE l_linestatus <> 'F') SELECT coalesce(o.loan_id, f.loan_id) AS loan_id, strftime(coalesce(o.period_end, f.period_end), '%Y-%m-%d') AS period_end, CASE WHEN o.loan_id IS NULL THEN 'dera' ELSE 'xbrl' END AS source, coalesce(o.accession, f.accession) AS accession, coalesce(o.country, f.country) AS country, CAST(coalesce(o.na, f.na) AS INT) AS is_non_accrual, CAST(coalesce(o.fv, f.fv) AS DOUBLE) AS fair_value FROM f FULL JOIN o ON f.loan_id = o.loan_id AND f.period_end = o.period_end",
+    "upsert_loans": f"{FX} SELECT loan_id, min(cik) AS cik, min(identifier) AS identifier, min(kind) AS investment_type, {day('min(period_end)', 'first_period')}, {day('max(period_end)', 'last_period')} FROM dollars GROUP BY loan_id",
+    "upsert_issuers": f"{RAW} SELECT issuer_id, min(canonical_name) AS canonical_name, min(issuer_name) AS display_name FROM pos GROUP BY issuer_id",
+    "upsert_filers": f"{RAW} SELECT DISTINCT cik, ticker, bdc_name AS name FROM pos",
+    "upsert_filings": f"{RAW} SELECT DISTINCT accession, cik, CASE WHEN month(period_end) = 12 THEN '10-K' ELSE '10-Q' END AS form, {day('period_end', 'period_end')}, strftime(period_end + CASE WHEN l_linestatus = 'F' THEN 45 ELSE 60 END, '%Y-%m-%d') AS filed_date, CASE WHEN l_linestatus = 'F' THEN 'dera' ELSE 'xbrl' END AS source FROM pos",
+    "bulk_positions": "SELECT p_partkey % 5 AS cik, 'Maker ' || p_partkey || ' LLC' AS issuer_name, 'SECOND_LIEN' AS investment_type, CASE WHEN p_size % 2 = 0 THEN 'Germany' ELSE 'Canada' END AS country, '2001-09-30' AS period_end, CAST(CAST(p_retailprice AS DECIMAL(24,2)) AS DOUBLE) AS fair_value, round(CAST('0.' || lpad(CAST(p_partkey * 37 % 100000000 AS VARCHAR), 8, '0') AS DOUBLE) * 100, 9) AS interest_rate, substr(sha1('loan|' || p_partkey % 5 || '|MAKER ' || p_partkey || '|SECOND_LIEN|TERM_LOAN|USD'), 1, 20) AS loan_id FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 5 IN (1, 2, 3)",
+    "facts_pivot": "SELECT 'Maker ' || p_partkey || ', First Lien Term Loan' AS identifier, p_type AS industry, CAST(CAST(p_retailprice AS DECIMAL(24,4)) AS DOUBLE) AS fair_value, CAST(CAST(p_retailprice * 2 AS DECIMAL(24,4)) AS DOUBLE) AS principal, 'EUR' AS principal_ccy, round(p_size / 1024.0::DOUBLE * CASE WHEN p_size / 1024.0 <= 1.5 THEN 100 ELSE 1 END, 9) AS interest_rate, CASE WHEN p_partkey % 4 = 0 THEN 1 END AS is_non_accrual FROM part",
+    "concept_census": "SELECT * FROM (SELECT 'concept' AS what, unnest(['us-gaap:InvestmentOwnedAtFairValue', 'us-gaap:InvestmentOwnedBalancePrincipalAmount', 'us-gaap:InvestmentInterestRate']) AS name, unnest([2, 1, 1]) * (SELECT count(*) FROM part) AS facts UNION ALL SELECT 'axis', unnest(['us-gaap_InvestmentIdentifierAxis', 'us-gaap_IndustrySectorAxis']), 4 * (SELECT count(*) FROM part)) WHERE facts > 0",
+    "newest_filings": f"{MARKS}, f AS (SELECT DISTINCT cik, accession, filed FROM v WHERE filed >= DATE '1999-01-01') SELECT cik, accession, {day('filed', 'filed_date')} FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filed DESC, accession DESC) AS i FROM f) WHERE i <= 3",
+    "schedule_rows": "SELECT 's' || p_partkey % 50 AS accession, 'Maker ' || p_partkey || ' LLC' AS issuer, 'Timber' AS industry, 'Term Loan' AS instrument, strftime(make_date(1999, p_size % 12 + 1, 15), '%Y-%m-%d') AS acquisition_date, '2029-06-30' AS maturity_date, round(p_retailprice) AS fair_value, round(p_retailprice) AS cost FROM part WHERE p_partkey % 50 IN (SELECT p_partkey % 50 FROM part GROUP BY 1 HAVING count(*) >= 3)",
+    "schedule_enrich": "SELECT p_partkey AS seq, 'Timber' AS industry, CASE WHEN p_partkey % 7 <> 0 THEN strftime(make_date(1999, p_size % 12 + 1, 15), '%Y-%m-%d') END AS acquisition_date, CASE WHEN p_partkey % 7 <> 0 THEN '2029-06-30' END AS maturity_date, CASE WHEN p_partkey % 7 = 0 THEN 1999 END AS year_acquired, CASE WHEN p_partkey % 7 = 0 THEN 2029 END AS year_matures, 'enriched_from_schedule' AS flags FROM part",
+    "schedule_report": "SELECT 's' || p_partkey % 50 AS accession, CASE WHEN p_partkey % 7 = 0 THEN 'no_row_within_reach' ELSE 'matched' END AS outcome, count(*) AS positions FROM part GROUP BY 1, 2",
+    "schedule_coverage": "SELECT 's' || p_partkey % 50 AS accession, count(*) AS rows, 1.0::DOUBLE AS industry, 0.0::DOUBLE AS country, 1.0::DOUBLE AS maturity_date, 1.0::DOUBLE AS acquisition_date, 1.0::DOUBLE AS fair_value, 1.0::DOUBLE AS cost, 0.0::DOUBLE AS principal FROM part GROUP BY 1 HAVING count(*) >= 3",
+    "currency_and_accrual": "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' WHEN 2 THEN 'CAD' WHEN 5 THEN 'NOK' ELSE 'USD' END AS currency, CASE WHEN p_partkey % 7 IN (0, 3) THEN 1 END AS is_non_accrual, CASE p_partkey % 7 WHEN 0 THEN 'OTHER_DEBT' WHEN 1 THEN 'OTHER_DEBT' WHEN 2 THEN 'WARRANT' WHEN 3 THEN 'PREFERRED_EQUITY' WHEN 4 THEN 'STRUCTURED' WHEN 5 THEN 'THIRD_LIEN' ELSE 'MEZZANINE' END AS investment_type, CASE p_partkey % 7 WHEN 2 THEN 'EQUITY' WHEN 3 THEN 'EQUITY' WHEN 5 THEN 'THIRD' WHEN 6 THEN 'SUBORDINATED' ELSE 'NA' END AS lien FROM part",
 }

@@ -120,7 +120,10 @@ def label_reference_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat((F.col("p_size") - 25).cast("string"), F.lit("%"))
+    """Percentages in whole numbers, fractions of eight digits, and bracketed ones of five."""
+    digits = lambda factor, n: F.lpad((F.col("p_partkey") * factor % 10**n).cast("string"), n, "0")
+    fraction = F.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("0."), digits(37, 8))).when(F.col("p_partkey") % 3 == 2, F.concat(F.lit("(0."), digits(41, 5), F.lit(")")))
+    text = F.coalesce(fraction, F.concat((F.col("p_size") - 25).cast("string"), F.lit("%")))
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", coerce.to_rate_pct(text).alias("rate"))
 
 

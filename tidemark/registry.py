@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import steps, views
+from tidemark.plans import families, steps, views
 from tidemark.plans.oracle import SQL
 from tidemark.plans.store import lens_frames
 
@@ -39,7 +39,7 @@ def _query(view: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(view) for name, view in VIEWS.items()} | dict(steps.STEPS)
+    return {name: _query(view) for name, view in VIEWS.items()} | dict(steps.STEPS) | dict(families.FAMILIES)
 
 
 def oracle_sql() -> dict[str, str]:
