@@ -11,7 +11,9 @@ the other.
 Defined results.  Null texts and roles are empty.  Rows of one conversation are ordered by turn, then role, then
 text (a null turn first), so repeated turn numbers and repeated rows stay, in a fixed order.  A null
 ``conv_id`` is a conversation of its own.  Turns after the last assistant turn, or a conversation without one,
-come as one last example without trainable text.  An empty table gives no example.  Other columns are not read.
+come as one last example without trainable text.  Texts of any length are
+formatted whole; a conversation is one row while it is formatted, and each of its examples holds all turns before.
+An empty table gives no example.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -12,6 +12,9 @@
     the best local alignment's over that of the item with itself; a pair is reported from ``min_score`` on, with the
     words that the alignment covers.
 
+Alignment looks at an item's length on both sides of a seed, and half as much again for words that were added.
+Texts of any length are read whole.
+
 Short items: two texts that share no seed are never compared, so an item whose every run of ``n`` words was edited
 is not found.
 
