@@ -77,8 +77,9 @@ class UnitEncoder(dict):
         if unit not in ("word", "space", "text"):
             raise ValueError(f"unknown unit {unit!r}")
         self.tokenizer, self.limit, self.step_bytes = Tokenizer.from_buffer(content), limit, 12 * limit
-        rules = json.loads(self.tokenizer.to_str())
-        self.unit = unit if unit == "text" or (rules["normalizer"], rules["pre_tokenizer"]) == RULES[unit] and rules["model"]["type"] == "BPE" else "text"
+        # The parts alone: the whole file's text has its vocabulary.
+        rules = tuple(part and json.loads(part.__getstate__()) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        self.unit = unit if unit == "text" or rules == RULES[unit] and type(self.tokenizer.model).__name__ == "BPE" else "text"
         self.model, self.lead, self.letters, self.older = self.tokenizer.model, " " * (self.unit == "space"), byte_letters(), {}
         self.marks, self.line_end, self.starts = {x: self.whole(x) for x in ".,"}, self.whole("\n"), {}
 
