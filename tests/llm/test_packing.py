@@ -24,6 +24,14 @@ def test_units_give_the_ids_of_the_whole_text(text):
         assert [x.tobytes() for x in encoder.encode(texts)] == [encoder.whole(t) for t in texts.to_pylist()]
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abSTrevmlLd''..,9-_$ÉñİȺŉ\x00\x7f "), max_size=30))
+def test_latin_words_are_cut_as_the_tokenizer_does(text):
+    texts = pa.array([text, text.lower()])
+    for encoder in (SPACE, WORDS):
+        assert [x.tobytes() for x in encoder.encode(texts)] == [encoder.whole(t) for t in texts.to_pylist()]
+
+
 def test_letters_that_lower_case_to_more_than_one():
     odd = [chr(c) for c in range(0x80, 0x3000) if chr(c).isalpha()] + ["İ", "क़", "\U0001e4d0", "ﬁ"]
     texts = pa.array([f"x{c}{mark} {c}{mark} b{c}" for c in odd for mark in ".,"])

@@ -49,6 +49,10 @@ RULES = {
 }
 #: Letters below are such to every library's Unicode tables, old or new.
 OLD = "\u0530"
+#: Characters below are composed already, and each has its lower case by itself; but capital I with dot becomes two.
+LATIN, DOTTED = "\u0250", "\u0130"
+#: Pieces of a lower-case ASCII word, as a "word" file cuts it.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -87,8 +91,8 @@ class UnitEncoder(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def unit_ids(self, word: str) -> bytes:
-        # A "word" file composes and lower-cases, which leaves lower-case ASCII as it is; a "space" file changes nothing.
-        if word.isalpha() and (max(word) < OLD if self.lead else word.isascii() and word.islower()):
+        # A "word" file composes and lower-cases, which leaves lower-case Latin as it is; a "space" file changes nothing.
+        if word.isalpha() and (max(word) < OLD if self.lead else max(word) < LATIN and word == word.lower()):
             piece = (self.lead + word).encode().decode("latin-1").translate(self.letters)
             return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
         return self.whole(self.lead + word)
@@ -106,10 +110,12 @@ class UnitEncoder(dict):
             elif self.lead and LINES.fullmatch(word):
                 parts = word.split("\n")
                 ids = self[parts[0]] + b"".join(self.line_end + self.first_ids(x) for x in parts[1:])
-            elif not self.lead and word.isascii() and (low := word.lower()) != word:
+            elif not self.lead and (low := word.lower()) != word and max(word) < LATIN and DOTTED not in word:
                 ids = self[low]
             elif len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and ends_in_letter(word[:-1]):
                 ids = self[word[:-1]] + self.marks[word[-1]]
+            elif not self.lead and word.isascii() and len(parts := PIECES.findall(word)) > 1:
+                ids = b"".join(map(self.__getitem__, parts))
             else:
                 ids = self.unit_ids(word)
         self[word] = ids
@@ -146,7 +152,7 @@ class UnitEncoder(dict):
         cut = pc.split_pattern(texts, " ")
         numbered = cut.flatten().dictionary_encode()
         first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        codes, words = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+        codes, words = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         pieces = [self[w] for w in words]
         if self.lead:
             begin = first[:-1]
