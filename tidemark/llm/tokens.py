@@ -105,7 +105,7 @@ class UnitEncoder(dict):
             self.clear()
         ids = self.older.get(word)
         if ids is None:
-            if not self.lead and len(parts := word.split()) != 1:
+            if not self.lead and (parts := word.split()) != [word]:
                 ids = b"".join(map(self.__getitem__, parts))
             elif self.lead and LINES.fullmatch(word):
                 parts = word.split("\n")
