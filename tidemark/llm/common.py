@@ -34,6 +34,22 @@ def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, how:
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(facts.where(F.col(n) <= limit), keys, how))
 
 
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``rows`` joined with ``facts`` by shuffle, where ``counts`` (key, n) tells how many rows a key has.
+
+    Keys with over a thousandth of the counted rows, so fewer than ``HOT_KEYS`` of them, are split into parts by a hash
+    of the whole row, and their facts repeated for each part; the parts of all keys are fewer than twice ``HOT_KEYS``.
+    A key may have several facts.
+    """
+    limit = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    part, parts = free_name(rows, "part"), free_name(rows, "parts")
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).alias(parts)))
+    share = F.coalesce(F.col(parts), F.lit(1))
+    split = rows.join(hot, key, "left").withColumn(part, F.pmod(F.xxhash64(*rows.columns), share)).drop(parts)
+    repeated = facts.join(hot, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), share - 1))).drop(parts)
+    return split.join(repeated, [key, part]).drop(part)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores put after it as no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -1,11 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-1.  Items are taken in blocks of at most ``block_words`` words, the size bound of all that is broadcast; each block
-    meets all documents.  Words are runs of letters and digits, lower-cased.
-2.  A block's ``n``-word seeds (an item with fewer words is its own seed) are counted over all documents; those that
-    no document holds go.  Rare are an item's seeds in no more than ``rare`` times as many documents as the median of
-    those that are left, the others are common.
-3.  Where a document holds a seed, the stretch around it that the item could cover is aligned with the item:
+"""Benchmark decontamination: rare n-gram seeds join passages to items, then Smith-Waterman alignment of words.
+
+1.  Words are runs of letters and digits, lower-cased.  Items' ``n``-word seeds (an item with fewer words is its own
+    seed) go into a bit filter of at most ``2 ** filter_bits`` bits, which is all that is broadcast.  One scan of the
+    corpus puts down the documents that hold seeds of the filter, with the seeds' places.  A filter too small for a
+    benchmark lets more places through, no others and no fewer results.
+2.  Seeds are counted over all documents.  Rare are an item's seeds in no more than ``rare`` times as many documents
+    as the median of those that any document holds, the others are common.
+3.  Places join items by seed, by shuffle.  The stretches of a document around them that the item could cover join the
+    item's words and the document's, and each is aligned with the item:
     ``match`` for an equal word, minus ``mismatch`` for another word and minus ``gap`` for a missing or added one.
     Seeds of one stretch are aligned once.  A stretch with common seeds only is passed over where it holds too few of
     the item's words, in any order, for ``min_score``; so rarity saves time and no result depends on it.  The score is
@@ -13,7 +15,7 @@
     words that the alignment covers.
 
 Alignment looks at an item's length on both sides of a seed, and half as much again for words that were added.
-Texts of any length are read whole.
+Texts of any length are read whole.  Seeds, items and documents with many places are split over tasks by a salt.
 
 Short items: two texts that share no seed are never compared, so an item whose every run of ``n`` words was edited
 is not found.
@@ -27,21 +29,31 @@ not read.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from functools import reduce
+from collections import Counter
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.llm.common import keep_rows, text_rows
+from tidemark.llm.common import free_name, salted_join, stored, text_rows
 
 WORD = re.compile(r"\w+")
-DDL = "doc_id long, item_id long, score double, start_word long, end_word long"
-HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
+FOUND = "row long, doc_id long, item_id long, score double, start_word long, end_word long"
+OPTIONS = {"n": 5, "rare": 2.0, "min_score": 0.5, "match": 2.0, "mismatch": 1.0, "gap": 1.0, "filter_bits": 30}
 Seed = tuple[str, ...]
 
+#: Odd factors that mix word hashes to a seed's and a seed's to its bits in the filter.
+STEP, PROBES = np.uint64(0x9E3779B97F4A7C15), [np.uint64(x) for x in (1, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+#: Bits of the filter for each seed, bits of its smallest form and of the parts in which it comes to the driver.
+BITS_PER_SEED, LEAST_BITS, CHUNK_BITS = 64, 20, 19
+#: Words whose hashes a worker keeps.
+KEPT_WORDS = 300_000
+
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -80,98 +92,168 @@ def align(text: np.ndarray, item: np.ndarray, match: float, mismatch: float, gap
     return best
 
 
-class Seeds:
-    """One block of items, for looking up the seeds of a text."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], n: int):
-        self.items, self.n, self.where = items, n, defaultdict(list)
-        for k, (_, words) in enumerate(items):
-            for i, seed in enumerate(seeds_of(words, n)):
-                self.where[seed].append((k, i, True))
-        self.lengths = sorted({len(s) for s in self.where})
-        self.first = {s[0] for s in self.where}
-
-    def found(self, words: list[str]):
-        """(seed, place) of each seed in a text."""
-        for length in self.lengths:
-            for at, gram in enumerate(zip(*(words[i:] for i in range(length)))):
-                if gram in self.where:
-                    yield gram, at
-
-    def leaks_of(self, words: list[str], min_score: float, match: float, mismatch: float, gap: float) -> dict[int, tuple[float, int, int]]:
-        """Per item id, the best score and the words it covers."""
-        stretches = defaultdict(list)
-        for seed, at in self.found(words):
-            for k, i, rare in self.where[seed]:
-                # The item's words before and after the seed, and half as many again for words added.
-                length = len(self.items[k][1])
-                stretches[k].append((max(0, at - i - length // 2 - 1), min(len(words), at + length - i + length // 2 + 1), rare))
-        best: dict[int, tuple[float, int, int]] = {}
-        for k, parts in stretches.items():
-            item_id, item = self.items[k]
+class WordHashes(dict):
+    """XXH64 of words, kept for the commonest part of a corpus."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter((self[w] for w in words), np.uint64, len(words))
+
+
+def seed_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of ``n`` words, from the words' numbers."""
+    runs = len(hashes) - n + 1
+    if runs < 1:
+        return np.zeros(0, np.uint64)
+    total = np.full(runs, n, np.uint64)
+    for i in range(n):
+        total = total * STEP + hashes[i : i + runs]
+    return total
+
+
+def _bits(seeds: np.ndarray, probe: np.uint64, bits: int) -> np.ndarray:
+    return (seeds * probe) >> np.uint64(64 - bits)
+
+
+class Filter:
+    """Which seeds may be an item's."""
+
+    def __init__(self, parts: list[tuple[int, bytes]], bits: int, lengths: list[int]):
+        self.parts, self.bits, self.lengths, self.held = parts, bits, lengths, None
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Seeds of a text's word hashes that pass, and where they begin."""
+        if self.held is None:
+            self.held = np.zeros(1 << (self.bits - 3), np.uint8)
+            for chunk, held in self.parts:
+                self.held[chunk << (CHUNK_BITS - 3) : (chunk + 1) << (CHUNK_BITS - 3)] = np.frombuffer(held, np.uint8)
+        found, where = [], []
+        for n in self.lengths:
+            seeds = seed_hashes(hashes, n)
+            at = np.arange(len(seeds))
+            for probe in PROBES:
+                bit = _bits(seeds, probe, self.bits)
+                passed = (self.held[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                seeds, at = seeds[passed], at[passed]
+            found.append(seeds)
+            where.append(at)
+        return np.concatenate(found).view(np.int64), np.concatenate(where)
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [words_of(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["item_id", "item_words"])
+
+
+def _item_seeds(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        for item, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            seeds = seed_hashes(hashes.of(words), min(n, len(words))).view(np.int64)
+            columns = [np.full(len(seeds), item), np.full(len(seeds), len(words)), np.arange(len(seeds)), seeds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item", "length", "i", "seed"])
+
+
+def _seed_bits(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seeds = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        at = np.concatenate([_bits(seeds, probe, bits) for probe in PROBES]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at >> CHUNK_BITS), pa.array(at & ((1 << CHUNK_BITS) - 1))], names=["chunk", "bit"])
+
+
+def _chunk(table: pa.Table) -> pa.Table:
+    held = np.zeros(1 << CHUNK_BITS, np.uint8)
+    held[table.column("bit").to_numpy()] = 1
+    return pa.table({"chunk": table.column("chunk")[:1], "held": pa.array([np.packbits(held, bitorder="little").tobytes()])})
+
+
+def _filter_of(seeds: DataFrame, lengths: list[int], most_bits: int) -> Filter:
+    distinct = seeds.select("seed").distinct()
+    bits = min(most_bits, max(LEAST_BITS, (distinct.count() * BITS_PER_SEED - 1).bit_length()))
+    parts = distinct.mapInArrow(partial(_seed_bits, bits), "chunk long, bit long").groupBy("chunk").applyInArrow(_chunk, "chunk long, held binary")
+    return Filter([(r.chunk, bytes(r.held)) for r in parts.collect()], bits, lengths)
+
+
+def _placed(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        out = []
+        for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = words_of(text)
+            seeds, at = shared.value.places(hashes.of(words))
+            if len(seeds):
+                out.append((row, doc_id, words, seeds, at))
+        if out:
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["row", "doc_id", "words", "seeds", "at"])
+
+
+def _aligned(options: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches (row, doc_id, item_id, passage, item_words, a, rare) that reach the least score."""
+    least, weights = options["min_score"], [options[k] for k in ("match", "mismatch", "gap")]
+    for batch in batches:
+        out = []
+        for row, doc_id, item_id, passage, item, a, rare in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not rare and _held(passage, item) / len(item) < least - 1e-9:
+                continue
             number = {w: x for x, w in enumerate(dict.fromkeys(item))}
-            wanted = np.array([number[w] for w in item])
-            for a, b, rare in _merged(parts):
-                if not rare and _held(words[a:b], item) / len(item) < min_score - 1e-9:
-                    continue
-                score, start, end = align(np.array([number.get(w, -1) for w in words[a:b]]), wanted, match, mismatch, gap)
-                score /= match * len(item)
-                if score >= min_score and score > best.get(item_id, (0.0,))[0]:
-                    best[item_id] = (score, a + start, a + end)
-        return best
-
-    def keep(self, counts: dict[Seed, int], rare: float) -> None:
-        """Drops the seeds that no text holds and tells those that are rare for their item."""
-        kept = defaultdict(list)
-        for k, (_, words) in enumerate(self.items):
-            own = [(i, s, counts[s]) for i, s in enumerate(seeds_of(words, self.n)) if counts.get(s)]
-            if own:
-                limit = rare * sorted(n for *_, n in own)[len(own) // 2]
-                for i, seed, n in own:
-                    kept[seed].append((k, i, n <= limit))
-        self.where = kept
-
-
-def _blocks(bench: DataFrame, id_col: str, block_words: int):
-    """Lists of (item id, words) of at most ``block_words`` words (or one item), streamed from the cluster."""
-    rows = bench.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct().orderBy("item_id", "text")
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        words = words_of(r.text)
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        if words:
-            block.append((r.item_id, words))
-            size += len(words)
-    if block:
-        yield block
-
-
-OPTIONS = {"n": 5, "rare": 2.0, "min_score": 0.5, "match": 2.0, "mismatch": 1.0, "gap": 1.0, "block_words": 500_000}
-
-
-def _held_seeds(docs: DataFrame, bench: DataFrame, id_col: str, options: dict):
-    """A broadcast of each block's seeds that documents hold."""
-    context = docs.sparkSession.sparkContext
-    for block in _blocks(bench, id_col, options["block_words"]):
-        seeds = Seeds(block, options["n"])
-        shared = context.broadcast(seeds)
-
-        def count(batches, shared=shared):
-            seen: Counter = Counter()
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    seen.update({s for s, _ in shared.value.found(words_of(text))})
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(s) for s in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["seed", "n"])
-
-        counts = docs.select("text").mapInArrow(count, "seed string, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        seeds.keep({tuple(r.seed.split(" ")): r.n for r in counts.collect()}, options["rare"])
-        yield context.broadcast(seeds)
-
-
-def _scores(options: dict) -> dict:
-    return {k: options[k] for k in ("min_score", "match", "mismatch", "gap")}
+            score, start, end = align(np.array([number.get(w, -1) for w in passage]), np.array([number[w] for w in item]), *weights)
+            score /= options["match"] * len(item)
+            if score >= least:
+                out.append((row, doc_id, item_id, score, a + start, a + end))
+        if out:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["row", "doc_id", "item_id", "score", "start_word", "end_word"])
+
+
+def _stretches(places: DataFrame, seeds: DataFrame, held: DataFrame, rare: float) -> DataFrame:
+    """(row, item, a, b, rare): where items could lie in documents, overlapping stretches as one."""
+    per_seed = seeds.groupBy("seed").agg(F.count("*").alias("n"))
+    known = salted_join(seeds, held.withColumnRenamed("n", "docs"), "seed", per_seed)
+    counts = known.groupBy("item").agg(F.sort_array(F.collect_list("docs")).alias("docs"))
+    median = counts.select("item", F.get("docs", F.floor(F.size("docs") / 2).cast("int")).alias("median"))
+    known = known.join(median, "item").withColumn("rare", F.col("docs") <= rare * F.col("median")).drop("docs", "median")
+    half = F.floor(F.col("length") / 2)
+    met = salted_join(places, known, "seed", held)
+    # The item's words before and after the seed, and half as many again for words added.
+    around = met.select(
+        "row", "item", "rare", F.greatest(F.lit(0), F.col("at") - F.col("i") - half - 1).alias("a"), (F.col("at") + F.col("length") - F.col("i") + half + 1).alias("b")
+    )
+    of_pair = Window.partitionBy("row", "item").orderBy("a", "b")
+    reached = F.max("b").over(of_pair.rowsBetween(Window.unboundedPreceding, -1))
+    begins = around.withColumn("begins", F.coalesce((F.col("a") > reached).cast("int"), F.lit(1)))
+    islands = begins.withColumn("island", F.sum("begins").over(of_pair.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy("row", "item", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("rare").alias("rare")).drop("island")
+
+
+def _leaks(docs: DataFrame, bench: DataFrame, id_col: str, options: dict) -> DataFrame | None:
+    """(row, doc_id, item_id, score, start_word, end_word) for documents(row, doc_id, text); None without items."""
+    texts = bench.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
+    items = texts.mapInArrow(_item_words, "item_id long, item_words array<string>").where(F.size("item_words") > 0)
+    items = stored(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    seeds = stored(items.select("item", "item_words").mapInArrow(partial(_item_seeds, options["n"]), "item long, length long, i long, seed long"), "item-seeds")
+    lengths = sorted(r.n for r in items.select(F.least(F.size("item_words"), F.lit(options["n"])).alias("n")).distinct().collect())
+    if not lengths:
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(seeds, lengths, options["filter_bits"]))
+    hit = stored(docs.select("row", "doc_id", "text").mapInArrow(partial(_placed, shared), "row long, doc_id long, words array<string>, seeds array<long>, at array<long>"), "placed")
+    shared.destroy()
+
+    held = hit.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
+    held = stored(held.join(seeds.select("seed"), "seed", "left_semi"), "held")
+    places = hit.select("row", F.explode(F.arrays_zip("seeds", "at")).alias("p")).select("row", F.col("p.seeds").alias("seed"), F.col("p.at").alias("at"))
+    stretches = stored(_stretches(places.join(held.select("seed"), "seed", "left_semi"), seeds, held, options["rare"]), "stretches")
+    of_items = salted_join(stretches, items, "item", stretches.groupBy("item").agg(F.count("*").alias("n")))
+    both = salted_join(of_items, hit.select("row", "doc_id", "words"), "row", stretches.groupBy("row").agg(F.count("*").alias("n")))
+    passages = both.select("row", "doc_id", "item_id", F.slice("words", F.col("a").cast("int") + 1, (F.col("b") - F.col("a")).cast("int")).alias("passage"), "item_words", "a", "rare")
+    best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("best")
+    return passages.mapInArrow(partial(_aligned, options), FOUND).groupBy("row", "doc_id", "item_id").agg(best).select("row", "doc_id", "item_id", "best.*")
 
 
 def leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "item_id", **changed) -> DataFrame:
@@ -179,49 +261,18 @@ def leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "item_id", **chang
 
     ``changed``: of ``OPTIONS``.
     """
-    docs, options = text_rows(docs), OPTIONS | changed
-    scores = _scores(options)
-
-    def found_in(kept):
-        def run(batches):
-            for batch in batches:
-                out = []
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    out += [(doc_id, item_id, *x) for item_id, x in kept.value.leaks_of(words_of(text), **scores).items()]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), HITS, strict=True)], schema=HITS)
-
-        return docs.mapInArrow(run, DDL)
-
-    parts = [found_in(kept) for kept in _held_seeds(docs, bench, id_col, options)]
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], DDL)
+    found = _leaks(text_rows(docs, F.monotonically_increasing_id().alias("row")), bench, id_col, OPTIONS | changed)
+    return docs.sparkSession.createDataFrame([], FOUND).drop("row") if found is None else found.drop("row")
 
 
 def without_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "item_id", **changed) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item's passage; no row moves."""
-    options = OPTIONS | changed
-    scores = _scores(options)
-    clean = docs
-    for kept in _held_seeds(text_rows(docs), bench, id_col, options):
-
-        def is_clean(text: str, kept=kept) -> bool:
-            return not kept.value.leaks_of(words_of(text), **scores)
-
-        clean = keep_rows(clean, is_clean)
-    return clean
+    """The rows of ``docs``, all columns, that hold no item's passage."""
+    row = free_name(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = _leaks(text_rows(numbered, F.col(row).alias("row")), bench, id_col, OPTIONS | changed)
+    return numbered.drop(row) if found is None else numbered.join(found.select(F.col("row").alias(row)).distinct(), row, "left_anti").drop(row)
 
 
 def _held(words: list[str], item: list[str]) -> int:
     """How many of an item's words a stretch holds in any order; no alignment has more."""
     return sum((Counter(item) & Counter(words)).values())
-
-
-def _merged(parts: list[tuple[int, int, bool]]) -> list[tuple[int, int, bool]]:
-    """Overlapping stretches as one, rare if any of them is."""
-    out: list[list] = []
-    for a, b, rare in sorted(parts):
-        if out and a <= out[-1][1]:
-            out[-1][1:] = max(out[-1][1], b), out[-1][2] or rare
-        else:
-            out.append([a, b, rare])
-    return [tuple(x) for x in out]
