@@ -137,15 +137,16 @@ def test_bulk_table(spark):
 
 def test_tagged_facts(spark):
     dims = {"dim_us-gaap_InvestmentIdentifierAxis": "Acme Holdings, First Lien Term Loan [Member]"}
-    schema = "concept string, period_type string, period_instant string, numeric_value double, value string, currency string, dims map<string,string>, seq long"
+    schema = "accession string, concept string, period_type string, period_instant string, numeric_value double, value string, currency string, dims map<string,string>, seq long"
     made = [
-        ("us-gaap:InvestmentOwnedAtFairValue", "instant", "2026-06-30", 98.0, None, "iso4217:USD", dims, 1),
-        ("us-gaap:InvestmentOwnedAtFairValue", "instant", "2026-06-30", 99.0, None, "iso4217:USD", dims, 2),
-        ("us-gaap:InvestmentOwnedBalancePrincipalAmount", "instant", "2026-06-30", 100.0, None, "iso4217:EUR", dims, 3),
-        ("us-gaap:InvestmentOwnedAtFairValue", "instant", "2026-06-30", 500.0, None, None, {}, 4),
-        ("us-gaap:Other", "instant", "2026-06-30", 1.0, None, None, dims, 5),
+        ("a", "us-gaap:InvestmentOwnedAtFairValue", "instant", "2026-06-30", 98.0, None, "iso4217:USD", dims, 1),
+        ("a", "us-gaap:InvestmentOwnedAtFairValue", "instant", "2026-06-30", 99.0, None, "iso4217:USD", dims, 2),
+        ("a", "us-gaap:InvestmentOwnedBalancePrincipalAmount", "instant", "2026-06-30", 100.0, None, "iso4217:EUR", dims, 3),
+        ("a", "us-gaap:InvestmentOwnedAtFairValue", "instant", "2026-06-30", 500.0, None, None, {}, 4),
+        ("a", "us-gaap:Other", "instant", "2026-06-30", 1.0, None, None, dims, 5),
     ]
-    (row,) = facts.to_positions(spark.createDataFrame(made, schema), 7, "a", "2026-08-01").collect()
+    filed = spark.createDataFrame([("a", 7, "10-Q", "2026-08-01"), ("b", 8, "10-Q", "2026-08-01")], "accession string, cik long, form string, filed_date string")
+    (row,) = facts.to_positions(spark.createDataFrame(made, schema), filed).collect()
     assert (row.fair_value, row.principal, row.principal_ccy, row.issuer_name) == (98, 100, "EUR", "Acme Holdings")
     assert facts.concept_census(spark.createDataFrame(made, schema)).first().facts == 4
 
@@ -183,7 +184,9 @@ def test_quarters_come_from_the_marks(spark, tmp_path):
     lost = {r.period_end for r in queries["missing_quarters"](spark, str(tmp_path)).collect()}
     assert lost == {f"2004-{x}" for x in ("03-31", "06-30", "09-30", "12-31")}
     want = {f"{y}Q{q}" for y in range(2001, 2008) if y != 2004 for q in range(1, 5)}
-    for grid in (queries["quarter_grid_all"](spark, str(tmp_path)), views.quarter_grid(lens_frames(spark, str(tmp_path)))):
+    for row in queries["quarter_grid_all"](spark, str(tmp_path)).collect():
+        assert [x.partition("=")[0] for x in row.marks.split()] == sorted(want) and row.quarters == len(want)
+    for grid in (queries["quarter_grid"](spark, str(tmp_path)), views.quarter_grid(lens_frames(spark, str(tmp_path)))):
         assert grid.columns == ["ticker", "bdc_name", *sorted(want)]
         assert all(None not in r for r in grid.collect())
     empty = lens_frames(spark, str(tmp_path))

@@ -66,7 +66,7 @@ def load_tables(spark: SparkSession, args: argparse.Namespace) -> int:
     """Positions of all tables at a path into the store; ``--new`` starts it."""
     universe = read_universe(spark, args.universe)
     rates = spark.read.schema("rate_date date, currency string, rate double").csv(args.rates, header=True) if args.rates else spark.createDataFrame([], "rate_date date, currency string, rate double")
-    found = load(spark, args.store, as_filed(tables.to_positions(tables.read_landing(spark, args.landing)), universe), rates, new=args.new)
+    found = load(spark, args.store, as_filed(tables.landing_positions(spark, args.landing), universe), rates, new=args.new)
     print(json.dumps(export.records(views.dataset_stats(found))[0], indent=1))
     return 0
 

@@ -69,21 +69,34 @@ def merge_facilities(positions: DataFrame) -> DataFrame:
     return merged.withColumn("flags", note).select(*[F.col(f"_base.{c}").alias(c) if c in others else F.col(c) for c in positions.columns])
 
 
-def scale_factors(positions: DataFrame) -> DataFrame:
-    """(cik, accession, period_end, factor): filings whose upper median debt mark is off by a power of ten."""
+FACTORS = (1000.0, 0.001, 100.0, 0.01)
+
+
+def _with_factor(positions: DataFrame) -> DataFrame:
+    """``_factor`` of filings whose upper median debt mark is off by a power of ten and that have ten marks at least.
+
+    A window over the filing, as :func:`infer_accrual` has, so both need one exchange and positions are computed once.
+    """
+    filing = Window.partitionBy("cik", "accession", "period_end")
     rows = positions if "principal_usd" in positions.columns else positions.withColumn("principal_usd", F.lit(None).cast("double"))
-    marks = rows.where(F.col("is_debt")).select("cik", "accession", "period_end", mark(basis()).alias("m")).where("m > 0")
-    groups = marks.groupBy("cik", "accession", "period_end").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY m DESC)").alias("median"))
-    factor = F.coalesce(*(F.when((F.col("median") * f).between(80, 120), F.lit(f)) for f in (1000.0, 0.001, 100.0, 0.01)))
-    return groups.where("n >= 10").select("cik", "accession", "period_end", factor.alias("factor")).where("factor IS NOT NULL")
+    own = mark(basis())
+    rows = rows.withColumn("_m", F.when(F.col("is_debt") & (own > 0), own))
+    rows = rows.withColumns({"_n": F.count("_m").over(filing), "_median": F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _m DESC)").over(filing)})
+    off = F.coalesce(*(F.when((F.col("_median") * f).between(80, 120), F.lit(f)) for f in FACTORS))
+    return rows.withColumn("_factor", F.when(F.col("_n") >= 10, off))
+
+
+def scale_factors(positions: DataFrame) -> DataFrame:
+    """(cik, accession, period_end, factor) of filings that :func:`apply_scale` mends."""
+    return _with_factor(positions).where("_factor IS NOT NULL").select("cik", "accession", "period_end", F.col("_factor").alias("factor")).distinct()
 
 
 def apply_scale(positions: DataFrame) -> DataFrame:
-    factors = scale_factors(positions)
-    rows = positions.join(factors, ["cik", "accession", "period_end"], "left")
-    scaled = {c: F.when(F.col("factor").isNotNull(), (F.col(c) / F.col("factor").cast("decimal(10,3)")).cast(MONEY)).otherwise(F.col(c)) for c in ("principal", "cost", "shares")}
-    named = F.coalesce(*(F.when(F.col("factor") == f, F.lit(f"rescaled_x{f:g}")) for f in (1000.0, 0.001, 100.0, 0.01)))
-    scaled["flags"] = F.when(F.col("factor").isNotNull(), F.concat("flags", F.array(named))).otherwise(F.col("flags"))
+    rows = _with_factor(positions)
+    known = F.col("_factor").isNotNull()
+    scaled = {c: F.when(known, (F.col(c) / F.col("_factor").cast("decimal(10,3)")).cast(MONEY)).otherwise(F.col(c)) for c in ("principal", "cost", "shares")}
+    named = F.coalesce(*(F.when(F.col("_factor") == f, F.lit(f"rescaled_x{f:g}")) for f in FACTORS))
+    scaled["flags"] = F.when(known, F.concat("flags", F.array(named))).otherwise(F.col("flags"))
     return rows.withColumns(scaled).select(*positions.columns)
 
 

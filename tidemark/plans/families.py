@@ -126,13 +126,14 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("p_retailprice")
     each = F.array(made(0, "us-gaap:InvestmentOwnedAtFairValue", price, "iso4217:USD"), made(1, "us-gaap:InvestmentOwnedAtFairValue", price + 7, "iso4217:USD"), made(2, "us-gaap:InvestmentOwnedBalancePrincipalAmount", price * 2, "iso4217:EUR"), made(3, "us-gaap:InvestmentInterestRate", F.col("p_size") / F.lit(1024.0), None))
     rows = _part(spark, sf_dir).select("p_partkey", dims.alias("dims"), F.explode(each).alias("f"))
-    return rows.select((F.col("p_partkey") * 4 + F.col("f.n")).alias("seq"), "f.concept", F.lit("instant").alias("period_type"), F.lit(NOTE_DAY).alias("period_instant"), F.lit(None).cast("string").alias("value"), "f.numeric_value", "f.currency", "dims")
+    return rows.select(F.concat(F.lit("a"), F.col("p_partkey") % 50).alias("accession"), (F.col("p_partkey") * 4 + F.col("f.n")).alias("seq"), "f.concept", F.lit("instant").alias("period_type"), F.lit(NOTE_DAY).alias("period_instant"), F.lit(None).cast("string").alias("value"), "f.numeric_value", "f.currency", "dims")
 
 
 def facts_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions of tagged facts; every fourth is named in a footnote on non-accrual."""
-    rows = facts.to_positions(_facts(spark, sf_dir), 7, "a7", "2001-11-15")
-    notes = _part(spark, sf_dir).where("p_partkey % 4 = 0").select(F.concat(F.lit("Maker "), F.col("p_partkey"), F.lit(", First Lien Term Loan")).alias("identifier"), F.lit(NOTE_DAY).cast("date").alias("period_end"))
+    """Positions of the tagged facts of fifty filings; every fourth is named in a footnote on non-accrual."""
+    filed = spark.range(50).select(F.concat(F.lit("a"), "id").alias("accession"), F.col("id").alias("cik"), F.lit("10-Q").alias("form"), F.lit("2001-11-15").alias("filed_date"))
+    rows = facts.to_positions(_facts(spark, sf_dir), filed)
+    notes = _part(spark, sf_dir).where("p_partkey % 4 = 0").select(F.concat(F.lit("a"), F.col("p_partkey") % 50).alias("accession"), F.concat(F.lit("Maker "), F.col("p_partkey"), F.lit(", First Lien Term Loan")).alias("identifier"), F.lit(NOTE_DAY).cast("date").alias("period_end"))
     rows = facts.flag_footnotes(rows, notes)
     return rows.select("identifier", "industry", money(F.col("fair_value")).alias("fair_value"), money(F.col("principal")).alias("principal"), "principal_ccy", F.round("interest_rate", 9).alias("interest_rate"), F.col("is_non_accrual").cast("int").alias("is_non_accrual"))
 

@@ -152,8 +152,8 @@ SQL = {
     "quality_summary": f"{MARKS}, f AS (SELECT unnest(string_split(flags, ',')) AS flag, debt, mark FROM v WHERE flags <> '') SELECT flag, count(*) AS positions, count(CASE WHEN debt THEN 1 END) AS debt_positions, count(mark) AS with_mark FROM f GROUP BY 1",
     "marks_export": f"{MARKS}, known AS (SELECT loan_id, min(acquired) AS a, min(industry) AS i, min(country) AS c, min(maturity) AS m FROM v GROUP BY 1) SELECT loan_id, {day('period_end', 'period_end')}, ticker, bdc_name, issuer_name, identifier, coalesce(industry, i) AS industry, coalesce(country, c) AS country, kind AS investment_type, lien, facility, {day('coalesce(acquired, a)', 'acquisition_date')}, {day('coalesce(maturity, m)', 'maturity_date')}, {money('fv')} AS fair_value, {money('cost')} AS cost, {money('principal')} AS principal, ccy AS principal_ccy, round(usd, 2) AS principal_usd, round(mark, 6) AS mark, {money('unrealized')} AS unrealized, round(rate / 100, 8) AS interest_rate, round(pik / 100, 8) AS pik_rate, CASE WHEN na THEN 'Yes' WHEN NOT na THEN 'No' ELSE 'Not disclosed' END AS non_accrual, accession, form, {day('filed', 'filed_date')}, source, flags FROM v JOIN known USING (loan_id)",
     "bdc_sheet": f"{MARKS} SELECT coalesce(ticker, 'Total') AS ticker, count(*) AS positions, {money('sum(fv)')} AS fair_value, {money('sum(cost)')} AS cost, {money('sum(principal)')} AS principal, {pct(when('debt'), when('debt', 'principal'))} AS mark, CASE WHEN count(na) > 0 THEN {money('coalesce(' + when('na') + ', 0)')} END AS nonaccrual_fv FROM now GROUP BY ROLLUP (ticker)",
-    "quarter_grid": f"{MARKS} SELECT ticker, bdc_name, " + ", ".join(f"round(100.0 * CAST(sum(fv) FILTER ({QUARTER} = '{q}') AS DOUBLE) / CAST(sum(basis) FILTER ({QUARTER} = '{q}') AS DOUBLE), 6) AS \"{q}\"" for q in ("2000Q4", "2001Q1", "2001Q2", "2001Q3", "2001Q4")) + " FROM v WHERE period_end >= DATE '2000-01-01' AND debt AND basis > 0 GROUP BY 1, 2",
-    "quarter_grid_all": f"{MARKS} PIVOT (SELECT {QUARTER} AS quarter, ticker, bdc_name, {pct('sum(fv)', 'sum(basis)')} AS weighted_mark FROM v WHERE debt AND basis > 0 GROUP BY 1, 2, 3) ON quarter USING first(weighted_mark) GROUP BY ticker, bdc_name",
+    "quarter_grid": f"{MARKS} SELECT ticker, bdc_name, " + ", ".join(f"round(100.0 * CAST(sum(fv) FILTER ({QUARTER} = '{q}') AS DOUBLE) / CAST(sum(basis) FILTER ({QUARTER} = '{q}') AS DOUBLE), 6) AS \"{q}\"" for q in (f"{y}Q{n}" for y in range(1995, 2002) for n in range(1, 5))) + " FROM v WHERE debt AND basis > 0 GROUP BY 1, 2",
+    "quarter_grid_all": f"{MARKS}, q AS (SELECT {QUARTER} AS quarter, ticker, bdc_name, {pct('sum(fv)', 'sum(basis)')} AS weighted_mark FROM v WHERE debt AND basis > 0 GROUP BY 1, 2, 3) SELECT ticker, bdc_name, count(*) AS quarters, string_agg(quarter || '=' || printf('%.6f', weighted_mark), ' ' ORDER BY quarter) AS marks FROM q GROUP BY 1, 2",
     "positions_filter": f"{MARKS} SELECT loan_id, ticker, issuer_name, industry, kind AS investment_type, facility FROM now WHERE contains(lower(concat_ws('|', issuer_name, industry, kind, facility)), 'lien')",
     "periods": f"{MARKS} SELECT DISTINCT {day('period_end', 'period_end')} FROM v",
     "identity_keys": f"{RAW}, l AS ({LABELS}) SELECT p_partkey, substr(sha1('issuer|' || replace(upper(p_brand), '#', ' ')), 1, 20) AS issuer_id, substr(sha1('credit|' || replace(upper(p_brand), '#', ' ') || '|' || lien), 1, 20) AS credit_id, substr(sha1('loan|7|' || replace(upper(p_brand), '#', ' ') || '|' || kind || '|' || tranche || '|USD'), 1, 20) AS loan_id FROM l",

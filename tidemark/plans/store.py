@@ -1,13 +1,25 @@
 """The store: marks at one row for each loan and quarter, in Parquet partitioned by period, and its dimensions.
 
 Loading is an upsert.  Plain Parquet has no merge, so a load joins the new rows to the old ones of the periods that
-it touches and writes those partitions anew (dynamic overwrite); other periods aren't read.  Loans, borrowers, filers
+it touches and writes those periods anew, into files of its own; other periods aren't read.  Loans, borrowers, filers
 and filings are tables of their own, merged in the same way, so that no view derives them from the marks.
+
+Loads are snapshots.  No file that a reader may use is changed: a load writes new ones, then a manifest that says which load's files hold each
+period and each dimension, and publishes it by one rename.  A load that is lost before that has changed nothing; of two loads at once
+the second to publish raises.  Who opened an older snapshot goes on reading it.  The manifests are the run log (:func:`run_log`);
+:func:`expire` deletes files that only old snapshots use, and those of lost loads.
+
+    snapshots/000002.json             {"snapshot": 2, "load": "...", "marks": {"2001-09-30": "load"}, "loans": "load", ..., "run": {...}}
+    marks/load=LOAD/period_end=DAY/   marks of one period as one load left them
+    loans/load=LOAD/                  a dimension as one load left it
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +29,7 @@ from tidemark.functions.coerce import MONEY
 from tidemark.operators.clean import basis, clean, mark
 from tidemark.sources import lens
 from tidemark.sources.schedules import enrich
-from tidemark.storage import shared_path
+from tidemark.storage import delete, names_in, publish, read_text, shared_path
 
 DIMENSION_COLUMNS = ("ticker", "bdc_name", "identifier", "issuer_name", "canonical_name", "investment_type", "lien", "facility", "currency", "is_debt")
 KEYS = ("loan_id", "period_end")
@@ -124,56 +136,100 @@ def merged_filings(old: DataFrame, new: DataFrame) -> DataFrame:
     return _merged(old, new, "accession", {})
 
 
-def write_marks(marks: DataFrame, path: str) -> None:
-    """Writes whole periods; periods that ``marks`` doesn't have stay.  Rebalancing keeps files few and splits a large period."""
-    marks.hint("rebalance", "period_end").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("period_end").parquet(path)
+#: Table -> how it is derived from cleaned positions, and merged.
+DIMENSIONS = {"loans": (loans_of, merged_loans), "issuers": (issuers_of, merged_issuers), "bdcs": (bdcs_of, merged_bdcs), "filings": (filings_of, merged_filings)}
 
 
-def upsert_marks(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Merges new marks into the table at ``path``; only their periods are read and written.
+def _manifest(spark: SparkSession, root: str, snapshot: int | None = None) -> dict | None:
+    """The newest manifest, or that of a snapshot; none in a store without loads."""
+    names = [n for n in names_in(spark, f"{root}/snapshots") if n.endswith(".json")]
+    name = f"{snapshot:06d}.json" if snapshot is not None else names[-1] if names else None
+    if snapshot is not None and name not in names:
+        raise KeyError(f"no snapshot {snapshot} in {root}")
+    return json.loads(read_text(spark, f"{root}/snapshots/{name}")) if name else None
 
-    The merged rows are staged first: a table can't be read and overwritten in one job.
-    """
-    old = spark.read.parquet(path)
-    touched = old.join(new.select("period_end").distinct(), "period_end", "left_semi")
-    staged = shared_path(spark, "upsert")
-    merged_marks(touched, new.select(*old.columns)).write.parquet(staged)
-    write_marks(spark.read.schema(old.schema).parquet(staged), path)
 
+def _marks_at(spark: SparkSession, root: str, periods: dict[str, str]) -> DataFrame:
+    """Marks of periods, each from its load's files; the period is a partition column, so views prune to what they read."""
+    paths = [f"{root}/marks/load={load}/period_end={day}" for day, load in sorted(periods.items())]
+    if not paths:
+        raise ValueError(f"no marks in {root}")
+    return spark.read.option("basePath", f"{root}/marks").parquet(*paths).drop("load")
 
-#: Table -> how it is derived from cleaned positions, and merged.
-DIMENSIONS = {"loans": (loans_of, merged_loans), "issuers": (issuers_of, merged_issuers), "bdcs": (bdcs_of, merged_bdcs), "filings": (filings_of, merged_filings)}
 
+def open_store(spark: SparkSession, root: str, snapshot: int | None = None) -> Frames:
+    """The newest snapshot, or a numbered one."""
+    at = _manifest(spark, root, snapshot)
+    if at is None:
+        raise FileNotFoundError(f"no load was published in {root}")
+    return Frames(_marks_at(spark, root, at["marks"]), *(spark.read.parquet(f"{root}/{t}/load={at[t]}") for t in ("loans", "issuers", "bdcs", "filings")))
 
-def open_store(spark: SparkSession, root: str) -> Frames:
-    marks, loans, issuers, bdcs, filings = (spark.read.parquet(f"{root}/{t}") for t in ("marks", "loans", "issuers", "bdcs", "filings"))
-    return Frames(marks, loans, issuers, bdcs, filings)
+
+def write_marks(marks: DataFrame, path: str) -> None:
+    """Whole periods.  Rebalancing keeps files few and splits a large period."""
+    marks.hint("rebalance", "period_end").write.option("compression", "zstd").partitionBy("period_end").parquet(path)
 
 
-def load(spark: SparkSession, root: str, positions: DataFrame, rates: DataFrame, schedule_rows: DataFrame | None = None, *, new: bool = False) -> Frames:
-    """Cleans positions (of :func:`as_filed`) and puts them into the store at ``root``; ``new`` starts one.
+def load(spark: SparkSession, root: str, positions: DataFrame, rates: DataFrame, schedule_rows: DataFrame | None = None, *, new: bool = False, source: str = "bulk", scope: str = "") -> Frames:
+    """Cleans positions (of :func:`as_filed`), puts them into the store at ``root`` and publishes the snapshot; ``new`` starts from nothing.
 
-    Rows of printed schedules complete the positions before facilities are merged.
+    Rows of printed schedules complete the positions before facilities are merged.  ``source`` and ``scope`` are for the run log.
     """
+    started = datetime.now(UTC).isoformat(timespec="seconds")
     if schedule_rows is not None:
         positions = enrich(positions, schedule_rows)
     staged = shared_path(spark, "cleaned")
     cleaned = clean(positions, rates)
     cleaned.write.option("compression", "zstd").parquet(staged)
-    cleaned = spark.read.schema(cleaned.schema).parquet(staged)
-    if new:
-        write_marks(marks_of(cleaned), f"{root}/marks")
-    else:
-        upsert_marks(spark, f"{root}/marks", marks_of(cleaned))
+    return put(spark, root, spark.read.schema(cleaned.schema).parquet(staged), new=new, source=source, scope=scope, started=started)
+
+
+def put(spark: SparkSession, root: str, cleaned: DataFrame, *, new: bool = False, source: str = "bulk", scope: str = "", started: str | None = None) -> Frames:
+    """Cleaned positions of a stored table into the store, as one snapshot."""
+    last = _manifest(spark, root)
+    old = None if new else last
+    load_id = uuid.uuid4().hex
+    periods = {str(r.period_end): load_id for r in cleaned.select("period_end").distinct().collect()}
+    made = marks_of(cleaned)
+    if old is not None:
+        touched = {day: load for day, load in old["marks"].items() if day in periods}
+        if touched:
+            before = _marks_at(spark, root, touched)
+            made = merged_marks(before, made.select(*before.columns))
+    write_marks(made, f"{root}/marks/load={load_id}")
     for name, (derive, merge) in DIMENSIONS.items():
-        made = derive(cleaned)
-        if not new:
-            # A table can't be read and overwritten in one job.
-            waiting = shared_path(spark, name)
-            merge(spark.read.parquet(f"{root}/{name}"), made).write.parquet(waiting)
-            made = spark.read.schema(made.schema).parquet(waiting)
-        made.write.mode("overwrite").parquet(f"{root}/{name}")
-    return open_store(spark, root)
+        rows = derive(cleaned)
+        if old is not None:
+            rows = merge(spark.read.parquet(f"{root}/{name}/load={old[name]}"), rows)
+        rows.write.option("compression", "zstd").parquet(f"{root}/{name}/load={load_id}")
+    number = (last["snapshot"] if last else 0) + 1
+    finished = datetime.now(UTC).isoformat(timespec="seconds")
+    run = {"source": source, "scope": scope, "rows": cleaned.count(), "periods": len(periods), "started": started or finished, "finished": finished}
+    manifest = {"snapshot": number, "load": load_id, "marks": (old["marks"] if old else {}) | periods, **dict.fromkeys(DIMENSIONS, load_id), "run": run}
+    publish(spark, f"{root}/snapshots/{number:06d}.json", json.dumps(manifest, sort_keys=True))
+    return open_store(spark, root, number)
+
+
+def run_log(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each published load: snapshot, source, scope, rows and periods it brought, start and finish."""
+    run = "struct<source: string, scope: string, rows: long, periods: long, started: timestamp, finished: timestamp>"
+    return spark.read.schema(f"snapshot long, run {run}").option("pathGlobFilter", "*.json").json(f"{root}/snapshots").select("snapshot", "run.*")
+
+
+def expire(spark: SparkSession, root: str, keep: int = 5) -> list[str]:
+    """Deletes what only snapshots before the last ``keep`` use, and files of lost loads; the deleted folders.
+
+    Not while a load runs, whose files no manifest names yet.  Manifests stay, as they are the run log.
+    """
+    names = [n for n in names_in(spark, f"{root}/snapshots") if n.endswith(".json")][-keep:]
+    kept = [json.loads(read_text(spark, f"{root}/snapshots/{n}")) for n in names]
+    used = {f"marks/load={load}/period_end={day}" for m in kept for day, load in m["marks"].items()} | {f"{t}/load={m[t]}" for m in kept for t in DIMENSIONS}
+    there = [f"{t}/{n}" for t in DIMENSIONS for n in names_in(spark, f"{root}/{t}")]
+    there += [f"marks/{n}/{p}" for n in names_in(spark, f"{root}/marks") for p in names_in(spark, f"{root}/marks/{n}") if p.startswith("period_end=")]
+    gone = [x for x in there if x not in used]
+    for path in gone:
+        delete(spark, f"{root}/{path}")
+    return gone
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:

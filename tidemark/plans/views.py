@@ -325,6 +325,13 @@ def quarter_grid(f: Frames, period: str | None = None, quarters: tuple[str, ...]
     return rows.groupBy("ticker", "bdc_name").pivot("quarter", list(quarters)).agg(F.first("weighted_mark")).orderBy("ticker")
 
 
+def quarter_lines(f: Frames, period: str | None = None, since: str = "0001-01-01") -> DataFrame:
+    """The grid without a column for each quarter: a filer's quarters and marks as one text in order, however many there are."""
+    rows = quarterly_bdc_marks(f, since=since).groupBy("ticker", "bdc_name")
+    cell = F.struct("quarter", F.format_string("%s=%.6f", "quarter", "weighted_mark").alias("cell"))
+    return rows.agg(F.count("*").alias("quarters"), F.array_join(F.transform(F.sort_array(F.collect_list(cell)), lambda x: x["cell"]), " ").alias("marks")).orderBy("ticker")
+
+
 def positions_filter(f: Frames, period: str | None = None, text: str = "lien") -> DataFrame:
     """Positions whose borrower, industry, type or facility holds a text, in any case."""
     hit = F.lit(False)

@@ -6,14 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import families, steps, views
+from tidemark.plans import families, intake, steps, views
 from tidemark.plans.oracle import SQL
 from tidemark.plans.store import lens_frames
 
 #: Views that have other parameters here than by default.
 QUARTER = "2001-09-30"
-#: The columns of quarter_grid's SQL; quarter_grid_all has every quarter.
-QUARTERS = ("2000Q4", "2001Q1", "2001Q2", "2001Q3", "2001Q4")
 VIEWS: dict[str, Callable] = {
     name: getattr(views, name)
     for name in (
@@ -23,8 +21,8 @@ VIEWS: dict[str, Callable] = {
         "positions_filter periods"
     ).split()
 } | {
-    "quarter_grid": lambda f: views.quarter_grid(f, quarters=QUARTERS),
-    "quarter_grid_all": lambda f: views.quarter_grid(f, since="0001-01-01"),
+    "quarter_grid": lambda f: views.quarter_grid(f, since="0001-01-01"),
+    "quarter_grid_all": views.quarter_lines,
     "nonaccrual_by_industry": views.nonaccrual_by,
     "nonaccrual_by_bdc": lambda f: views.nonaccrual_by(f, dimension="ticker"),
     "deteriorating": lambda f: views.deteriorating(f, QUARTER, min_fair_value=1e4),
@@ -39,8 +37,8 @@ def _query(view: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(view) for name, view in VIEWS.items()} | dict(steps.STEPS) | dict(families.FAMILIES)
+    return {name: _query(view) for name, view in VIEWS.items()} | dict(steps.STEPS) | dict(families.FAMILIES) | dict(intake.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in SQL.items() if name in queries()}
+    return {name: sql for name, sql in (SQL | intake.SQL).items() if name in queries()}

@@ -1,7 +1,7 @@
 """Tagged facts to positions: a pivot by conditional aggregation.
 
-A fact has concept, period, value, currency and a map of dimensions; ``seq`` is its place in the filing.  For each
-identifier and period the first value that isn't null wins, and of dimensions the last one written.
+A fact has its filing's accession, concept, period, value, currency and a map of dimensions; ``seq`` is its place in the filing.  For each
+filing, identifier and period the first value that isn't null wins, and of dimensions the last one written.  All filings are read in one job.
 """
 
 from __future__ import annotations
@@ -48,11 +48,13 @@ def dimension(dims: Column, pattern: str) -> Column:
     return member(F.get(held, F.lit(0))["value"])
 
 
-def to_positions(facts: DataFrame, cik: int | Column, accession: str, filed: str, form: str = "10-Q", periods: list[str] | None = None) -> DataFrame:
-    """(concept, period_type, period_instant, value, numeric_value, currency, dims, seq) -> positions of one filing."""
+def to_positions(facts: DataFrame, filings: DataFrame, periods: list[str] | None = None) -> DataFrame:
+    """(accession, concept, period_type, period_instant, value, numeric_value, currency, dims, seq) and
+    filings (accession, cik, form, filed_date) -> positions; a filing is listed once, and facts of others are left out."""
     local = F.substring_index("concept", ":", -1)
     names = F.create_map(*(F.lit(x) for kv in CONCEPTS.items() for x in kv))
     rows = facts.select(
+        "accession",
         F.try_element_at(names, local).alias("field"),
         coerce.to_date(F.col("period_instant").cast("string")).alias("period_end"),
         F.coalesce(F.col("numeric_value").cast("decimal(38,12)").cast("string"), F.col("value")).alias("v"),
@@ -70,7 +72,7 @@ def to_positions(facts: DataFrame, cik: int | Column, accession: str, filed: str
     def last(axis: str) -> Column:
         return F.max_by(axis, F.when(F.col(axis).isNotNull(), F.col("seq")))
 
-    wide = rows.groupBy("identifier", "period_end").agg(
+    wide = rows.groupBy("accession", "identifier", "period_end").agg(
         *(coerce.to_decimal(first(c)).alias(c) for c in MONEY_FIELDS),
         *(coerce.to_rate_pct(first(c)).alias(c) for c in RATE_FIELDS),
         *(coerce.to_date(first(c)).alias(c) for c in ("maturity_date", "acquisition_date")),
@@ -80,26 +82,15 @@ def to_positions(facts: DataFrame, cik: int | Column, accession: str, filed: str
         F.min("seq").alias("seq"),
     )
     label = coerce.joined(F.col("type_text"), F.col("lien_text"), F.col("identifier"))
-    return finalize(
-        wide.withColumns(
-            {
-                "cik": F.lit(cik).cast("long") if isinstance(cik, int) else cik,
-                "accession": F.lit(accession),
-                "filed_date": F.lit(filed).cast("date"),
-                "form": F.lit(form),
-                "source": F.lit("xbrl"),
-                "tranche_text": label,
-                "is_non_accrual": coerce.non_accrual(label),
-                "flags": F.array().cast("array<string>"),
-            }
-        ).drop("lien_text", "type_text")
-    )
+    filed = filings.select("accession", F.col("cik").cast("long").alias("cik"), "form", F.col("filed_date").cast("date").alias("filed_date"))
+    made = {"source": F.lit("xbrl"), "tranche_text": label, "is_non_accrual": coerce.non_accrual(label), "flags": F.array().cast("array<string>")}
+    return finalize(wide.join(filed, "accession").withColumns(made).drop("lien_text", "type_text"))
 
 
 def flag_footnotes(positions: DataFrame, footnotes: DataFrame) -> DataFrame:
-    """Positions named in a non-accrual footnote (identifier, period_end) are on non-accrual."""
-    marks = footnotes.select("identifier", "period_end").distinct().withColumn("_noted", F.lit(True))
-    rows = positions.join(marks, ["identifier", "period_end"], "left")
+    """Positions named in a non-accrual footnote (accession, identifier, period_end) are on non-accrual."""
+    marks = footnotes.select("accession", "identifier", "period_end").distinct().withColumn("_noted", F.lit(True))
+    rows = positions.join(marks, ["accession", "identifier", "period_end"], "left")
     return rows.withColumn("is_non_accrual", F.coalesce("_noted", "is_non_accrual")).drop("_noted")
 
 

@@ -1,7 +1,8 @@
 """Printed schedules of investments in filings' HTML, and the positions that they complete.
 
 Python reads a document's tables into texts of fields, one document at a time; dates, figures, names and all matching are
-Column expressions and joins.  Only the one-to-one choice among a borrower's candidates in one filing is a grouped function.
+Column expressions and joins.  Rows and positions meet by borrower and by size of their fair values (:func:`candidates`), and are paired
+one to one in rounds of mutual nearest (:func:`closest_first`), so a borrower with very many rows is no group of its own.
 
 A document without a schedule gives no row; a null document is an empty one.
 """
@@ -11,12 +12,12 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import coerce, identity
+from tidemark.storage import shared_path
 
 # What a column is for; the first pattern that finds a free column claims it.
 COLUMNS = [
@@ -177,7 +178,11 @@ def read_schedules(filings: DataFrame) -> DataFrame:
                         names=["accession", "seq", *TEXTS],
                     )
 
-    raw = filings.select("accession", "html").mapInArrow(run, DDL)
+    return printed_rows(filings.select("accession", "html").mapInArrow(run, DDL))
+
+
+def printed_rows(raw: DataFrame) -> DataFrame:
+    """Texts of a document's fields (columns of ``DDL``) -> rows with dates, figures and keys."""
     figures = {}
     for c in FIGURES:
         figures[c], figures[f"{c}_step"] = _figure(F.col(c))
@@ -195,45 +200,86 @@ def read_schedules(filings: DataFrame) -> DataFrame:
     )
 
 
+#: Classes of printed fair values: the least count of steps of such a value, and the width of its buckets in natural logarithms.  Half a step and a
+#: thousandth of the tagged value are then less than a bucket: ln 2 < 0.7 for any value of a step and more, and ln(1 + 1/199) < 0.006 for
+#: values of a hundred steps.
+BANDS = ((100.0, 0.006), (1.0, 0.7))
+
+
+def _bucket(value: Column, width: float) -> Column:
+    return F.floor(F.ln(value) / width)
+
+
+def compared(positions: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of priced positions and printed rows of one borrower and filing whose fair values are of one size at a scale.
+
+    A row looks into its value's bucket and both beside it, a position lies in one bucket of each class, so a pair meets once for
+    each scale.  Rows of value zero meet positions within half their step, by borrower alone; they are few.
+    """
+    p = positions.where("fair_value > 0").select("accession", "issuer_id", "seq", *(F.col(c).cast("double").alias(f"t_{c}") for c in FIGURES))
+    scaled = rows.where("fair_value >= 0").withColumn("dates", F.struct("maturity_date", "acquisition_date")).withColumn("scale", F.explode(F.array(*map(F.lit, SCALES))))
+    value, steps = F.col("fair_value") * F.col("scale"), F.col("fair_value") / F.col("fair_value_step")
+    band = F.coalesce(*(F.when(steps >= least, i) for i, (least, _) in enumerate(BANDS)))
+    bucket = F.coalesce(*(F.when(F.col("band") == i, _bucket(value, width)) for i, (_, width) in enumerate(BANDS)))
+    r = scaled.withColumn("band", band).where("band IS NOT NULL").withColumn("bucket", bucket)
+    r = r.withColumn("bucket", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.col("bucket") + d)))
+    places = F.array(*(F.struct(F.lit(i).alias("band"), _bucket(F.col("t_fair_value"), width).alias("bucket")) for i, (_, width) in enumerate(BANDS)))
+    met = p.select("*", F.inline(places)).join(r, ["accession", "issuer_id", "band", "bucket"]).drop("band", "bucket")
+    nil = scaled.where(F.col("fair_value") < F.col("fair_value_step"))
+    return met.unionByName(p.join(nil, ["accession", "issuer_id"]).where(F.col("t_fair_value") <= 0.5 * F.col("fair_value_step") * F.col("scale")))
+
+
 def candidates(positions: DataFrame, rows: DataFrame) -> DataFrame:
     """(accession, issuer_id, scale, seq, row, gap, dates): rows whose every figure could be the position's, at each scale.
 
     A printed figure stands for half a step on either side, and for a thousandth of the tagged one at least; where either
     is missing they don't disagree.
     """
-    p = positions.where("fair_value > 0").select("accession", "issuer_id", "seq", *(F.col(c).cast("double").alias(f"t_{c}") for c in FIGURES))
-    r = rows.where("fair_value IS NOT NULL").withColumn("dates", F.struct("maturity_date", "acquisition_date"))
-    both = p.join(r, ["accession", "issuer_id"]).withColumn("scale", F.explode(F.array(*map(F.lit, SCALES))))
     near = F.lit(True)
     for c in FIGURES:
         gap = F.abs(F.col(c) * F.col("scale") - F.col(f"t_{c}"))
         near &= F.coalesce(gap <= F.greatest(0.5 * F.col(f"{c}_step") * F.col("scale"), F.abs(F.col(f"t_{c}")) * 0.001), F.lit(True))
-    return both.where(near).select("accession", "issuer_id", "scale", "seq", "row", F.abs(F.col("fair_value") * F.col("scale") - F.col("t_fair_value")).alias("gap"), "dates")
+    return compared(positions, rows).where(near).select("accession", "issuer_id", "scale", "seq", "row", F.abs(F.col("fair_value") * F.col("scale") - F.col("t_fair_value")).alias("gap"), "dates")
 
 
-def _closest_first(group: pd.DataFrame) -> pd.DataFrame:
-    rows, seqs, kept = set(), set(), []
-    for at, (row, seq) in enumerate(zip(group["row"], group["seq"], strict=True)):
-        if row not in rows and seq not in seqs:
-            rows.add(row)
-            seqs.add(seq)
-            kept.append(at)
-    return group.iloc[kept][["accession", "issuer_id", "scale", "seq", "row"]]
+def closest_first(pairs: DataFrame) -> DataFrame:
+    """Of pairs (accession, issuer_id, scale, seq, row, gap) the ones that a greedy choice takes, closest first by (gap, row, seq).
+
+    A pair that is the closest both of its row's and of its position's is taken by the greedy choice, whatever else there is, since only
+    pairs with that row or position could keep it out.  So each round takes all such pairs and drops those that share a row or a
+    position with them, until none is left; every round takes the closest of all, so it ends.  Each round is stored.
+    """
+    spark, group = pairs.sparkSession, ("accession", "issuer_id", "scale")
+    order = F.struct("gap", "row", "seq")
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = shared_path(spark, "pairs")
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    taken, left = None, pairs.select(*group, "seq", "row", "gap")
+    while True:
+        of_row, of_seq = Window.partitionBy(*group, "row"), Window.partitionBy(*group, "seq")
+        ranked = left.withColumn("_order", order).withColumn("_mutual", F.min("_order").over(of_row) == F.col("_order"))
+        ranked = ranked.withColumn("_mutual", F.col("_mutual") & (F.min("_order").over(of_seq) == F.col("_order"))).drop("_order")
+        gone = F.max("_mutual").over(of_seq) | F.max("_mutual").over(of_row)
+        stage = kept(ranked.withColumn("_gone", gone))
+        found = stage.where("_mutual").select(*group, "seq", "row")
+        taken = found if taken is None else taken.unionByName(found)
+        left = stage.where("NOT _gone").select(*group, "seq", "row", "gap")
+        if left.isEmpty():
+            return taken
 
 
 def matches(positions: DataFrame, rows: DataFrame) -> DataFrame:
     """(accession, issuer_id, scale, seq, row): one row for a position, at the filing's best scale, closest first.
 
     A position whose candidates have different dates gets none.  The scale that matches most is the filing's; the
-    smaller of two.  One borrower's candidates of one filing are a group.
+    smaller of two.
     """
     own = Window.partitionBy("accession", "issuer_id", "scale", "seq")
     agreed = candidates(positions, rows).withColumns({"a": F.min("dates").over(own), "b": F.max("dates").over(own)}).where("a <=> b").drop("a", "b", "dates")
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        return _closest_first(group.sort_values(["gap", "row", "seq"]))
-
-    pairs = agreed.groupBy("accession", "issuer_id", "scale").applyInPandas(choose, "accession string, issuer_id string, scale double, seq long, row long")
+    pairs = closest_first(agreed)
     best = pairs.groupBy("accession", "scale").count().groupBy("accession").agg(F.max_by("scale", F.struct("count", -F.col("scale"))).alias("scale"))
     return pairs.join(best, ["accession", "scale"], "left_semi")
 

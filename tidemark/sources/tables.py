@@ -1,18 +1,25 @@
 """Bulk position tables: tab-separated text, read as text, with headings that drift from release to release.
 
-Archives are unpacked into a landing folder outside Spark; :func:`read_landing` reads what is there, so the scan is
-split over executors.  Headings are resolved on the driver over the column names alone.
+A landing folder holds the tables of several releases.  Its files are grouped by their heading line and each group is scanned with
+the columns of its own line, so a column that moved, was renamed or was added is read where that file has it
+(:func:`landing_positions`).  Headings are resolved on the driver over the column names alone.  Archives can be read as they are
+(:func:`archive_positions`).
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import coerce
 from tidemark.operators.finalize import finalize
+from tidemark.storage import shared_path
 
 # Headings by name.
 HEADINGS = {
@@ -102,15 +109,76 @@ def to_positions(table: DataFrame, ciks: list[int] | None = None, source: str =
     return finalize(rows.where(F.col("cik").isin(ciks)) if ciks is not None else rows)
 
 
-def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated files with a heading line, all columns as text."""
-    return spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote="")
+def heading_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """First line of each file that isn't empty, through the file system that holds it and its compression.
+
+    One short read for each file, as listing has; threads, since each waits for the store.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first(file: str) -> str | None:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream, codec = path.getFileSystem(conf).open(path), codecs.getCodec(path)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream if codec is None else codec.createInputStream(stream), "UTF-8"))
+        try:
+            return reader.readLine()
+        finally:
+            reader.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return {f: line for f, line in zip(files, pool.map(first, files), strict=True) if line}
+
+
+def column_names(heading: str) -> list[str]:
+    """Columns of a heading line; a repeated or blank heading gets a name of its own."""
+    names: list[str] = []
+    for i, name in enumerate(heading.removeprefix("\ufeff").rstrip("\r\n").split("\t")):
+        name = name.strip() or f"column {i}"
+        while name.lower() in {n.lower() for n in names}:
+            name += "_"
+        names.append(name)
+    return names
+
+
+def holds_positions(names: list[str]) -> bool:
+    """Whether a table has a filer and a period; a release's other tables (submissions, say) haven't both."""
+    return {"cik", "ddate"} <= {n.lower() for n in names}
+
+
+def landing(spark: SparkSession, path: str) -> list[DataFrame]:
+    """Position tables of a folder and those below it, one for each heading line, all columns as text."""
+    files = spark.read.option("recursiveFileLookup", True).text(path).inputFiles()
+    groups: dict[str, list[str]] = defaultdict(list)
+    for file, heading in sorted(heading_lines(spark, files).items()):
+        groups[heading].append(unquote(file))
+    found = []
+    for heading, own in groups.items():
+        names = column_names(heading)
+        if holds_positions(names):
+            schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+            found.append(spark.read.schema(schema).csv(own, sep="\t", header=True, quote=""))
+    if not found:
+        raise ValueError(f"no table with cik and ddate under {path}")
+    return found
+
+
+def united(parts: list[DataFrame], ciks: list[int] | None, source: str) -> DataFrame:
+    """Positions of tables with different columns; ``seq`` stays distinct."""
+    made = [to_positions(p, ciks, source).withColumn("seq", F.col("seq") * len(parts) + k) for k, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, made)
+
+
+def landing_positions(spark: SparkSession, path: str, ciks: list[int] | None = None, source: str = "dera") -> DataFrame:
+    """Positions of all tables in a landing folder, whatever headings each has."""
+    return united(landing(spark, path), ciks, source)
 
 
 def read_archives(spark: SparkSession, path: str, members: tuple[str, ...] = ("soi.tsv", "soi.txt")) -> DataFrame:
-    """Archive files -> (archive, line): a member's lines, whichever folder of the archive holds it.
+    """Archive files -> (archive, heading, line): a member's lines below its heading, whichever folder of the archive holds it.
 
-    One archive is one row of a binary scan, so this is for unpacking a quarter's archives once, into a landing folder.
+    An archive can't be read in parts, so each is one row of a binary scan and its lines come from one task, some
+    megabytes at a time.
     """
 
     def lines(batches):
@@ -120,18 +188,35 @@ def read_archives(spark: SparkSession, path: str, members: tuple[str, ...] = ("s
         import pyarrow as pa
 
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
                     inside = {x.replace("\\", "/").rpartition("/")[2]: x for x in archive.namelist()}
                     member = next((inside[m] for m in members if m in inside), None)
                     if member is None:
                         continue
                     with archive.open(member) as file:
                         text = io.TextIOWrapper(file, encoding="utf-8", errors="replace", newline="\n")
+                        heading = text.readline().rstrip("\r\n")
                         while part := text.readlines(1 << 22):
-                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([x.rstrip("\r\n") for x in part])], names=["archive", "line"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lines, "archive string, line string")
+                            yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part)), pa.array([heading] * len(part)), pa.array([x.rstrip("\r\n") for x in part])], names=["archive", "heading", "line"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lines, "archive string, heading string, line string")
+
+
+def archive_positions(spark: SparkSession, path: str, ciks: list[int] | None = None, source: str = "dera") -> DataFrame:
+    """Positions of all archives at a path; unpacked once, then read by heading as a landing folder is."""
+    unpacked = shared_path(spark, "unpacked")
+    read_archives(spark, path).where("line <> ''").write.option("compression", "zstd").partitionBy("heading").parquet(unpacked)
+    rows = spark.read.schema("archive string, line string, heading string").parquet(unpacked)
+    parts = []
+    for (heading,) in rows.select("heading").distinct().orderBy("heading").collect():
+        names = column_names(heading)
+        if holds_positions(names):
+            cells = F.split("line", "\t", -1)
+            parts.append(rows.where(F.col("heading") == heading).select(*(F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names))))
+    if not parts:
+        raise ValueError(f"no table with cik and ddate in the archives of {path}")
+    return united(parts, ciks, source)
 
 
 def missing_quarters(wanted: DataFrame, published: DataFrame) -> DataFrame:
