@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.plans import blocks, coverage, store, views
 from tidemark.plans.oracle import FX, MARKS, QUARTER, day
 from tidemark.sources import filings, lens, tables, universe
+from tidemark.streaming import corrections
 from tidemark.storage import shared_path
 
 WINDOW = ("1996Q1", "2001-Q4")
@@ -127,7 +128,25 @@ def published_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy("quarter").agg(F.count("*").alias("orders"))
 
 
-QUERIES = {f.__name__: f for f in (landing_drift, filing_errors, filing_harvest, run_log, coverage_islands, fallback_since, universe_check, period_blocks, published_quarters)}
+def late_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as filed, then every third with another value and some new ones, each as files that a stream finds."""
+    k, landing, root, seen = F.col("p_partkey"), shared_path(spark, "landing"), shared_path(spark, "store"), shared_path(spark, "seen")
+    names = spark.range(3).select(F.col("id").alias("cik"), F.concat(F.lit("C"), "id").alias("ticker"), F.concat(F.lit("Holder "), "id").alias("bdc_name"))
+    part = _read(spark, sf_dir, "part")
+
+    def release(rows: DataFrame, value: Column, name: str) -> None:
+        label = F.concat(F.lit("Maker "), k, F.lit(" LLC, Second Lien Term Loan")).alias("Investment, Identifier Axis")
+        columns = [F.lit(name).alias("adsh"), (k % 3).cast("string").alias("cik"), F.lit("20010930").alias("ddate"), label, value.cast("decimal(12,2)").cast("string").alias("Investment Owned, Fair Value"), F.lit("100").alias("Investment Owned, Balance, Principal Amount")]
+        rows.select(*(columns if name == "first" else columns[::-1])).write.csv(f"{landing}/{name}", sep="\t", header=True, quote="")
+
+    for rows, value, name in ((part.where(k % 7 != 0), F.col("p_retailprice"), "first"), (part.where(k % 7 <= 2), F.col("p_retailprice") + 1, "second")):
+        release(rows, value, name)
+        corrections.corrections(spark, landing, root, names, lens.rates(spark, sf_dir), seen).awaitTermination()
+    found = store.open_store(spark, root)
+    return found.v_marks.select("issuer_name", "cik", "accession", views.money(F.col("fair_value")).alias("fair_value"), F.round("mark", 6).alias("mark"))
+
+
+QUERIES = {f.__name__: f for f in (landing_drift, filing_errors, filing_harvest, run_log, coverage_islands, fallback_since, universe_check, period_blocks, published_quarters, late_corrections)}
 
 _STATES = f"""{MARKS}, have AS (
   SELECT DISTINCT cik, period_end, {QUARTER} AS quarter FROM v WHERE NOT (cik % 3 = 0 AND year(period_end) >= 1999 AND quarter(period_end) = cik % 4 + 1)
@@ -178,6 +197,11 @@ SQL = {
         SELECT list, ticker, cik, outcome, CASE WHEN outcome = 'renamed' THEN name END AS was, CASE WHEN outcome = 'renamed' THEN official_name END AS now FROM o""",
     "period_blocks": f"""{MARKS}, n AS (SELECT period_end, loan_id, 1 + row_number() OVER (ORDER BY period_end DESC, ticker, fv DESC, loan_id) AS i FROM v WHERE fv IS NOT NULL)
         SELECT {day('period_end', 'period_end')}, min(i) AS first_row, max(i) AS last_row, arg_min(loan_id, i) AS first_loan, arg_max(loan_id, i) AS last_loan FROM n GROUP BY period_end""",
+    "late_corrections": """
+        SELECT 'Maker ' || p_partkey || ' LLC' AS issuer_name, p_partkey % 3 AS cik, CASE WHEN p_partkey % 7 <= 2 THEN 'second' ELSE 'first' END AS accession,
+               CAST(CAST(p_retailprice + CASE WHEN p_partkey % 7 <= 2 THEN 1 ELSE 0 END AS DECIMAL(12,2)) AS DOUBLE) AS fair_value,
+               round(CAST(CAST(p_retailprice + CASE WHEN p_partkey % 7 <= 2 THEN 1 ELSE 0 END AS DECIMAL(12,2)) AS DOUBLE), 6) AS mark
+        FROM part""",
     "published_quarters": """
         SELECT year(d) || 'Q' || quarter(d) AS quarter, count(*) AS orders FROM (SELECT date_trunc('quarter', o_orderdate) - INTERVAL 1 MONTH AS d FROM orders) GROUP BY 1""",
 }

@@ -135,10 +135,10 @@ SQL = {
     "deteriorating": f"{MARKS} SELECT c.loan_id, c.ticker, c.issuer_name, {money('c.fv')} AS fair_value, round(c.mark, 6) AS mark, round(p.mark, 6) AS prior_mark, round(c.mark - p.mark, 6) AS mark_change FROM v c JOIN v p ON p.loan_id = c.loan_id WHERE c.period_end = DATE '2001-09-30' AND p.period_end = DATE '2001-06-30' AND c.debt AND c.fv >= 10000 AND c.mark - p.mark IS NOT NULL ORDER BY 7, 1 LIMIT 50",
     "disagreements": f"{MARKS} SELECT credit_id, min(issuer_name) AS issuer_name, count(DISTINCT cik) AS holders, round(min(mark), 6) AS low, round(max(mark), 6) AS high, round(max(mark) - min(mark), 6) AS spread, {pct('sum(fv)', 'sum(principal)')} AS weighted_mark, {money('sum(fv)')} AS fair_value, string_agg({LABEL}, ', ' ORDER BY ticker, loan_id) AS marks FROM now WHERE debt AND mark IS NOT NULL AND principal > 0 GROUP BY 1 HAVING count(DISTINCT cik) >= 2 ORDER BY 6 DESC, 1 LIMIT 100",
     "shared_credits": f"{MARKS} SELECT credit_id, min(issuer_name) AS issuer_name, count(DISTINCT cik) AS holders, {pct('sum(fv)', 'sum(principal)')} AS weighted_mark, {money('sum(fv)')} AS fair_value, string_agg(DISTINCT ticker, ', ' ORDER BY ticker) AS tickers FROM now WHERE debt GROUP BY 1 HAVING count(DISTINCT cik) >= 2",
-    "quarterly_bdc_marks": f"{MARKS} SELECT {BY_QUARTER} FROM v WHERE period_end >= DATE '2000-01-01' AND debt AND basis > 0 GROUP BY 1, 2, 3",
-    "quarterly_nonaccrual_marks": f"{MARKS} SELECT {BY_QUARTER} FROM v WHERE period_end >= DATE '2000-01-01' AND na AND basis > 0 GROUP BY 1, 2, 3",
-    "quarterly_nonaccrual_share": f"{MARKS} SELECT {QUARTER} AS quarter, ticker, bdc_name, {day('min(period_end)', 'period_end')}, {money('sum(fv)')} AS fair_value, {money('coalesce(' + when('na') + ', 0)')} AS nonaccrual_fv, {BAD_SHARE} AS nonaccrual_pct, count(CASE WHEN na THEN 1 END) AS nonaccrual_positions, count(*) AS positions, count(na) AS coverage FROM v WHERE period_end >= DATE '2000-01-01' GROUP BY 1, 2, 3",
-    "universe_mark_trend": f"{MARKS} SELECT {QUARTER} AS quarter, {pct('sum(fv)', 'sum(basis)')} AS weighted_mark, {money('sum(fv)')} AS fair_value FROM v WHERE period_end >= DATE '2000-01-01' AND debt AND basis > 0 GROUP BY 1",
+    "quarterly_bdc_marks": f"{MARKS} SELECT {BY_QUARTER} FROM v WHERE debt AND basis > 0 GROUP BY 1, 2, 3",
+    "quarterly_nonaccrual_marks": f"{MARKS} SELECT {BY_QUARTER} FROM v WHERE na AND basis > 0 GROUP BY 1, 2, 3",
+    "quarterly_nonaccrual_share": f"{MARKS} SELECT {QUARTER} AS quarter, ticker, bdc_name, {day('min(period_end)', 'period_end')}, {money('sum(fv)')} AS fair_value, {money('coalesce(' + when('na') + ', 0)')} AS nonaccrual_fv, {BAD_SHARE} AS nonaccrual_pct, count(CASE WHEN na THEN 1 END) AS nonaccrual_positions, count(*) AS positions, count(na) AS coverage FROM v GROUP BY 1, 2, 3",
+    "universe_mark_trend": f"{MARKS} SELECT {QUARTER} AS quarter, {pct('sum(fv)', 'sum(basis)')} AS weighted_mark, {money('sum(fv)')} AS fair_value FROM v WHERE debt AND basis > 0 GROUP BY 1",
     "vintage_profile": f"{MARKS}, born AS (SELECT loan_id, CAST(min(coalesce(year(acquired), year_acquired)) AS INT) AS vintage_year, max(period_end) AS period_end FROM v GROUP BY loan_id) SELECT vintage_year, {PROFILE} FROM v JOIN born USING (loan_id, period_end) WHERE basis > 0 GROUP BY 1",
     "maturity_profile": f"{MARKS} SELECT CAST(year(maturity) AS INT) AS maturity_year, {PROFILE} FROM now WHERE debt AND basis > 0 GROUP BY 1",
     "country_exposure": f"{MARKS} SELECT country, {money('sum(fv)')} AS fair_value, count(*) AS positions, {pct(when('debt'), when('debt', 'principal'))} AS weighted_mark FROM now GROUP BY 1",

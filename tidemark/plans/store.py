@@ -11,7 +11,13 @@ the second to publish raises.  Who opened an older snapshot goes on reading it.
 
     snapshots/000002.json             {"snapshot": 2, "load": "...", "marks": {"2001-09-30": "load"}, "loans": "load", ..., "run": {...}}
     marks/load=LOAD/period_end=DAY/   marks of one period as one load left them
+    sums/load=LOAD/period_end=DAY/    their sums for each filer
     loans/load=LOAD/                  a dimension as one load left it
+
+Sums are partial: views over all periods add them up and don't read marks.  A load writes those of the periods it touches, beside their marks.
+
+Marks lie by borrower and loan within a period, with Bloom filters on both, and a loan's row has its first and last period: a
+view of one loan or borrower opens those periods alone and skips most of their pages.
 """
 
 from __future__ import annotations
@@ -46,6 +52,7 @@ class Frames:
     issuers: DataFrame
     bdcs: DataFrame
     filings: DataFrame
+    sums: DataFrame
 
     @property
     def v_marks(self) -> DataFrame:
@@ -85,6 +92,28 @@ def filings_of(cleaned: DataFrame) -> DataFrame:
     return cleaned.where("accession IS NOT NULL").groupBy("accession").agg(F.max_by(F.struct("cik", "form", "period_end", "filed_date", "source"), latest).alias("x")).select("accession", "x.*")
 
 
+def sums_of(marks: DataFrame, loans: DataFrame) -> DataFrame:
+    """Sums and counts of each period and filer, and the period's count of borrowers, which filers share, on each of its rows.
+
+    *Quoted* marks have a fair value and a basis.  What loads never change of a loan (that it is debt) comes from ``loans``.
+    """
+    rows = marks.join(loans.select("loan_id", "is_debt"), "loan_id")
+    bad, debt, quoted = F.col("is_non_accrual"), F.col("is_debt"), (F.col("basis") > 0) & F.col("fair_value").isNotNull()
+    total = lambda c, where: F.sum(F.when(where, F.col(c)))
+    sums = rows.groupBy("period_end", "cik").agg(
+        F.count("*").alias("positions"),
+        F.sum("fair_value").alias("fair_value"),
+        F.count("is_non_accrual").alias("disclosed"),
+        F.count(F.when(bad, 1)).alias("bad_positions"),
+        total("fair_value", bad).alias("bad_fair_value"),
+        total("fair_value", debt).alias("debt_fair_value"),
+        total("principal", debt).alias("debt_principal"),
+        *(f for name, of in (("debt", debt), ("bad", bad)) for f in (F.count(F.when(of & quoted, 1)).alias(f"quoted_{name}"), total("fair_value", of & quoted).alias(f"quoted_{name}_fair_value"), total("basis", of & quoted).alias(f"quoted_{name}_basis"))),
+        F.collect_set("accession").alias("accessions"),
+    )
+    return sums.join(marks.groupBy("period_end").agg(F.count_distinct("issuer_id").alias("issuers")), "period_end")
+
+
 def merged_marks(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old marks with the new ones put in: newest wins, except that a sticky column never goes back to null and the
     loan's own keys stay."""
@@ -136,6 +165,9 @@ def merged_filings(old: DataFrame, new: DataFrame) -> DataFrame:
     return _merged(old, new, "accession", {})
 
 
+#: Distinct loans that a row group's Bloom filter is made for; more cost reads, not results.
+LOANS_IN_A_GROUP = 100_000
+
 #: Table -> how it is derived from cleaned positions, and merged.
 DIMENSIONS = {"loans": (loans_of, merged_loans), "issuers": (issuers_of, merged_issuers), "bdcs": (bdcs_of, merged_bdcs), "filings": (filings_of, merged_filings)}
 
@@ -149,12 +181,12 @@ def _manifest(spark: SparkSession, root: str, snapshot: int | None = None) -> di
     return json.loads(read_text(spark, f"{root}/snapshots/{name}")) if name else None
 
 
-def _marks_at(spark: SparkSession, root: str, periods: dict[str, str]) -> DataFrame:
-    """Marks of periods, each from its load's files; the period is a partition column, so views prune to what they read."""
-    paths = [f"{root}/marks/load={load}/period_end={day}" for day, load in sorted(periods.items())]
+def _at(spark: SparkSession, root: str, table: str, periods: dict[str, str]) -> DataFrame:
+    """Marks or sums of periods, each from its load's files; the period is a partition column, so views prune to what they read."""
+    paths = [f"{root}/{table}/load={load}/period_end={day}" for day, load in sorted(periods.items())]
     if not paths:
         raise ValueError(f"no marks in {root}")
-    return spark.read.option("basePath", f"{root}/marks").parquet(*paths).drop("load")
+    return spark.read.option("basePath", f"{root}/{table}").parquet(*paths).drop("load")
 
 
 def open_store(spark: SparkSession, root: str, snapshot: int | None = None) -> Frames:
@@ -162,15 +194,19 @@ def open_store(spark: SparkSession, root: str, snapshot: int | None = None) -> F
     at = _manifest(spark, root, snapshot)
     if at is None:
         raise FileNotFoundError(f"no load was published in {root}")
-    return Frames(_marks_at(spark, root, at["marks"]), *(spark.read.parquet(f"{root}/{t}/load={at[t]}") for t in ("loans", "issuers", "bdcs", "filings")))
+    dimensions = {t: spark.read.parquet(f"{root}/{t}/load={at[t]}") for t in DIMENSIONS}
+    return Frames(marks=_at(spark, root, "marks", at["marks"]), sums=_at(spark, root, "sums", at["marks"]), **dimensions)
 
 
 def write_marks(marks: DataFrame, path: str) -> None:
-    """Whole periods.  Rebalancing keeps files few and splits a large period."""
-    marks.hint("rebalance", "period_end").write.option("compression", "zstd").partitionBy("period_end").parquet(path)
+    """Whole periods, by borrower and loan.  Rebalancing keeps files few and splits a large period."""
+    writer = marks.hint("rebalance", "period_end").sortWithinPartitions("period_end", "issuer_id", "loan_id").write.option("compression", "zstd")
+    for column in ("loan_id", "issuer_id"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(LOANS_IN_A_GROUP))
+    writer.partitionBy("period_end").parquet(path)
 
 
-def load(spark: SparkSession, root: str, positions: DataFrame, rates: DataFrame, schedule_rows: DataFrame | None = None, *, new: bool = False, source: str = "bulk", scope: str = "") -> Frames:
+def load(spark: SparkSession, root: str, positions: DataFrame, rates: DataFrame, schedule_rows: DataFrame | None = None, *, new: bool = False, source: str = "bulk", scope: str = "", stream: tuple[str, int] | None = None) -> Frames:
     """Cleans positions (of :func:`as_filed`), puts them into the store at ``root`` and publishes the snapshot; ``new`` starts from nothing.
 
     Rows of printed schedules complete the positions before facilities are merged.  ``source`` and ``scope`` are for the run log.
@@ -181,11 +217,17 @@ def load(spark: SparkSession, root: str, positions: DataFrame, rates: DataFrame,
     staged = shared_path(spark, "cleaned")
     cleaned = clean(positions, rates)
     cleaned.write.option("compression", "zstd").parquet(staged)
-    return put(spark, root, spark.read.schema(cleaned.schema).parquet(staged), new=new, source=source, scope=scope, started=started)
+    return put(spark, root, spark.read.schema(cleaned.schema).parquet(staged), new=new, source=source, scope=scope, started=started, stream=stream)
+
+
+def applied(spark: SparkSession, root: str, stream: str) -> int:
+    """The last batch of a stream that the store holds, -1 for none."""
+    last = _manifest(spark, root)
+    return (last or {}).get("streams", {}).get(stream, -1)
 
 
-def put(spark: SparkSession, root: str, cleaned: DataFrame, *, new: bool = False, source: str = "bulk", scope: str = "", started: str | None = None) -> Frames:
-    """Cleaned positions of a stored table into the store, as one snapshot."""
+def put(spark: SparkSession, root: str, cleaned: DataFrame, *, new: bool = False, source: str = "bulk", scope: str = "", started: str | None = None, stream: tuple[str, int] | None = None) -> Frames:
+    """Cleaned positions of a stored table into the store, as one snapshot, which notes the batch of a stream that they are."""
     last = _manifest(spark, root)
     old = None if new else last
     load_id = uuid.uuid4().hex
@@ -194,7 +236,7 @@ def put(spark: SparkSession, root: str, cleaned: DataFrame, *, new: bool = False
     if old is not None:
         touched = {day: load for day, load in old["marks"].items() if day in periods}
         if touched:
-            before = _marks_at(spark, root, touched)
+            before = _at(spark, root, "marks", touched)
             made = merged_marks(before, made.select(*before.columns))
     write_marks(made, f"{root}/marks/load={load_id}")
     for name, (derive, merge) in DIMENSIONS.items():
@@ -202,10 +244,12 @@ def put(spark: SparkSession, root: str, cleaned: DataFrame, *, new: bool = False
         if old is not None:
             rows = merge(spark.read.parquet(f"{root}/{name}/load={old[name]}"), rows)
         rows.write.option("compression", "zstd").parquet(f"{root}/{name}/load={load_id}")
+    sums = sums_of(_at(spark, root, "marks", periods), spark.read.parquet(f"{root}/loans/load={load_id}"))
+    sums.hint("rebalance", "period_end").write.partitionBy("period_end").parquet(f"{root}/sums/load={load_id}")
     number = (last["snapshot"] if last else 0) + 1
     finished = datetime.now(UTC).isoformat(timespec="seconds")
     run = {"source": source, "scope": scope, "rows": cleaned.count(), "periods": len(periods), "started": started or finished, "finished": finished}
-    manifest = {"snapshot": number, "load": load_id, "marks": (old["marks"] if old else {}) | periods, **dict.fromkeys(DIMENSIONS, load_id), "run": run}
+    manifest = {"snapshot": number, "load": load_id, "marks": (old["marks"] if old else {}) | periods, **dict.fromkeys(DIMENSIONS, load_id), "run": run, "streams": ((old or {}).get("streams") or {}) | (dict([stream]) if stream else {})}
     publish(spark, f"{root}/snapshots/{number:06d}.json", json.dumps(manifest, sort_keys=True))
     return open_store(spark, root, number)
 
@@ -223,9 +267,9 @@ def expire(spark: SparkSession, root: str, keep: int = 5) -> list[str]:
     """
     names = [n for n in names_in(spark, f"{root}/snapshots") if n.endswith(".json")][-keep:]
     kept = [json.loads(read_text(spark, f"{root}/snapshots/{n}")) for n in names]
-    used = {f"marks/load={load}/period_end={day}" for m in kept for day, load in m["marks"].items()} | {f"{t}/load={m[t]}" for m in kept for t in DIMENSIONS}
+    used = {f"{t}/load={load}/period_end={day}" for m in kept for day, load in m["marks"].items() for t in ("marks", "sums")} | {f"{t}/load={m[t]}" for m in kept for t in DIMENSIONS}
     there = [f"{t}/{n}" for t in DIMENSIONS for n in names_in(spark, f"{root}/{t}")]
-    there += [f"marks/{n}/{p}" for n in names_in(spark, f"{root}/marks") for p in names_in(spark, f"{root}/marks/{n}") if p.startswith("period_end=")]
+    there += [f"{t}/{n}/{p}" for t in ("marks", "sums") for n in names_in(spark, f"{root}/{t}") for p in names_in(spark, f"{root}/{t}/{n}") if p.startswith("period_end=")]
     gone = [x for x in there if x not in used]
     for path in gone:
         delete(spark, f"{root}/{path}")

@@ -68,7 +68,7 @@ def at(df: DataFrame, period: str | None) -> DataFrame:
 
 
 def here(f: Frames, period: str | None) -> str | None:
-    return period or latest(f.marks)
+    return period or latest(f.sums)
 
 
 def top_holdings_share(f: Frames, period: str | None = None, top: int = 10) -> DataFrame:
@@ -105,13 +105,14 @@ def bdc_summary(f: Frames, period: str | None = None) -> DataFrame:
 
 
 def nonaccrual_trend(f: Frames, period: str | None = None) -> DataFrame:
-    return f.marks.groupBy(day("period_end")).agg(
-        money(F.coalesce(total("fair_value", bad()), F.lit(0))).alias("nonaccrual_fv"),
+    bad_fv = F.coalesce(F.sum("bad_fair_value"), F.lit(0))
+    return f.sums.groupBy(day("period_end")).agg(
+        money(bad_fv).alias("nonaccrual_fv"),
         money(F.sum("fair_value")).alias("total_fv"),
-        bad_share().alias("nonaccrual_pct"),
-        count(bad()).alias("nonaccrual_positions"),
-        F.count("*").alias("positions"),
-        disclosed().alias("coverage"),
+        F.when(F.sum("disclosed") > 0, pct(bad_fv, F.sum("fair_value"))).alias("nonaccrual_pct"),
+        F.sum("bad_positions").alias("nonaccrual_positions"),
+        F.sum("positions").alias("positions"),
+        F.sum("disclosed").alias("coverage"),
     ).orderBy("period_end")
 
 
@@ -196,29 +197,33 @@ def quarter_label(c: str = "period_end") -> Column:
     return F.concat(F.year(c), F.lit("Q"), F.quarter(c))
 
 
-def latest_per_quarter(f: Frames, since: str = "2000-01-01") -> DataFrame:
-    """Marks of each filer's last period in each calendar quarter."""
-    rows = f.v_marks.where(F.col("period_end") >= F.lit(since).cast("date")).withColumn("quarter", quarter_label())
-    last = rows.groupBy("cik", "quarter").agg(F.max("period_end").alias("period_end"))
-    return rows.join(last, ["cik", "quarter", "period_end"], "left_semi")
+def latest_per_quarter(f: Frames, since: str = "0001-01-01") -> DataFrame:
+    """Sums of each filer's last period in each calendar quarter, from a day on."""
+    rows = f.sums.where(F.col("period_end") >= F.lit(since).cast("date")).withColumn("quarter", quarter_label())
+    own = F.struct(*[c for c in rows.columns if c not in ("cik", "quarter")])
+    last = rows.groupBy("cik", "quarter").agg(F.max_by(own, "period_end").alias("_last")).select("cik", "quarter", "_last.*")
+    return last.join(f.bdcs.select("cik", "ticker", F.col("name").alias("bdc_name")), "cik")
 
 
-def _quarterly(rows: DataFrame) -> DataFrame:
-    out = rows.groupBy("quarter", "ticker", "bdc_name").agg(F.date_format(F.min("period_end"), "yyyy-MM-dd").alias("period_end"), pct(F.sum("fair_value"), F.sum("basis")).alias("weighted_mark"), money(F.sum("fair_value")).alias("fair_value"), money(F.sum("basis")).alias("basis"), F.count("*").alias("positions"))
-    return out.orderBy("quarter", "ticker")
+def _quarterly(rows: DataFrame, of: str) -> DataFrame:
+    fv, basis = F.sum(f"quoted_{of}_fair_value"), F.sum(f"quoted_{of}_basis")
+    out = rows.where(F.col(f"quoted_{of}") > 0).groupBy("quarter", "ticker", "bdc_name")
+    return out.agg(F.date_format(F.min("period_end"), "yyyy-MM-dd").alias("period_end"), pct(fv, basis).alias("weighted_mark"), money(fv).alias("fair_value"), money(basis).alias("basis"), F.sum(f"quoted_{of}").alias("positions")).orderBy("quarter", "ticker")
 
 
-def quarterly_bdc_marks(f: Frames, period: str | None = None, since: str = "2000-01-01") -> DataFrame:
-    return _quarterly(latest_per_quarter(f, since).where(debt() & (F.col("basis") > 0) & F.col("fair_value").isNotNull()))
+def quarterly_bdc_marks(f: Frames, period: str | None = None, since: str = "0001-01-01") -> DataFrame:
+    return _quarterly(latest_per_quarter(f, since), "debt")
 
 
-def quarterly_nonaccrual_marks(f: Frames, period: str | None = None, since: str = "2000-01-01") -> DataFrame:
-    return _quarterly(latest_per_quarter(f, since).where(bad() & (F.col("basis") > 0) & F.col("fair_value").isNotNull()))
+def quarterly_nonaccrual_marks(f: Frames, period: str | None = None, since: str = "0001-01-01") -> DataFrame:
+    return _quarterly(latest_per_quarter(f, since), "bad")
 
 
-def quarterly_nonaccrual_share(f: Frames, period: str | None = None, since: str = "2000-01-01") -> DataFrame:
+def quarterly_nonaccrual_share(f: Frames, period: str | None = None, since: str = "0001-01-01") -> DataFrame:
     rows = latest_per_quarter(f, since).groupBy("quarter", "ticker", "bdc_name")
-    return rows.agg(F.date_format(F.min("period_end"), "yyyy-MM-dd").alias("period_end"), money(F.sum("fair_value")).alias("fair_value"), money(F.coalesce(total("fair_value", bad()), F.lit(0))).alias("nonaccrual_fv"), bad_share().alias("nonaccrual_pct"), count(bad()).alias("nonaccrual_positions"), F.count("*").alias("positions"), disclosed().alias("coverage")).orderBy("quarter", "ticker")
+    bad_fv = F.coalesce(F.sum("bad_fair_value"), F.lit(0))
+    share = F.when(F.sum("disclosed") > 0, pct(bad_fv, F.sum("fair_value")))
+    return rows.agg(F.date_format(F.min("period_end"), "yyyy-MM-dd").alias("period_end"), money(F.sum("fair_value")).alias("fair_value"), money(bad_fv).alias("nonaccrual_fv"), share.alias("nonaccrual_pct"), F.sum("bad_positions").alias("nonaccrual_positions"), F.sum("positions").alias("positions"), F.sum("disclosed").alias("coverage")).orderBy("quarter", "ticker")
 
 
 def _profile(rows: DataFrame, year: str) -> DataFrame:
@@ -249,13 +254,23 @@ def bdc_positions(f: Frames, period: str | None = None, ticker: str = "F1") -> D
     return rows.select("loan_id", "issuer_id", "credit_id", "issuer_name", "identifier", "industry", "country", "investment_type", "lien", "facility", money(F.col("fair_value")).alias("fair_value"), money(F.col("cost")).alias("cost"), money(F.col("principal")).alias("principal"), F.round("mark", 6).alias("mark"), F.round("interest_rate", 6).alias("interest_rate"), F.round("pik_rate", 6).alias("pik_rate"), day("maturity_date"), day("acquisition_date"), F.col("is_non_accrual").cast("int").alias("is_non_accrual"), "accession", F.array_join("flags", ",").alias("flags")).orderBy(F.desc("fair_value"), "loan_id")
 
 
+def held(f: Frames, column: str, value: str) -> DataFrame:
+    """Marks of one loan or borrower: only the periods from its first to its last, only its borrower's pages."""
+    found = f.loans.where(F.col(column) == value).agg(F.min("first_period"), F.max("last_period"), F.min("issuer_id"), F.count("*")).first()
+    if not found[3]:
+        return f.v_marks.where(F.lit(False))
+    first, last, issuer = found[:3]
+    within = F.col("period_end").between(F.lit(first), F.lit(last)) & (F.col("issuer_id") == issuer)
+    return f.v_marks.where(within & (F.col(column) == value))
+
+
 def loan_history(f: Frames, period: str | None = None, loan_id: str = "") -> DataFrame:
-    rows = f.v_marks.where(F.col("loan_id") == loan_id)
+    rows = held(f, "loan_id", loan_id)
     return rows.select("loan_id", day("period_end"), "ticker", "issuer_name", money(F.col("fair_value")).alias("fair_value"), money(F.col("cost")).alias("cost"), money(F.col("principal")).alias("principal"), F.round("mark", 6).alias("mark"), money(F.col("unrealized")).alias("unrealized"), F.round("interest_rate", 6).alias("interest_rate"), F.col("is_non_accrual").cast("int").alias("is_non_accrual"), day("maturity_date"), "accession", "form", day("filed_date"), "source").orderBy("period_end")
 
 
 def issuer_detail(f: Frames, period: str | None = None, issuer_id: str = "") -> DataFrame:
-    rows = f.v_marks.where(F.col("issuer_id") == issuer_id)
+    rows = held(f, "issuer_id", issuer_id)
     return rows.select("issuer_id", day("period_end"), "ticker", "loan_id", "investment_type", money(F.col("fair_value")).alias("fair_value"), F.round("mark", 6).alias("mark")).orderBy(F.desc("period_end"), F.desc("fair_value"), "loan_id")
 
 
@@ -271,16 +286,18 @@ def search_issuers(f: Frames, period: str | None = None, query: str = "BRAND 1",
 def overview(f: Frames, period: str | None = None) -> DataFrame:
     """One row of totals; the non-accrual share here doesn't ask whether anything was disclosed."""
     period = here(f, period)
-    now = at(f.v_marks, period).agg(F.count("*").alias("positions"), F.count_distinct("cik").alias("bdcs"), F.count_distinct("issuer_id").alias("issuers"), money(F.sum("fair_value")).alias("fair_value"), money(total("principal", debt())).alias("principal"), pct(total("fair_value", debt()), total("principal", debt())).alias("mark"), pct(F.coalesce(total("fair_value", bad()), F.lit(0)), F.sum("fair_value")).alias("nonaccrual_pct"))
-    ever = f.marks.agg(F.count("*").alias("total_marks"), F.count_distinct("loan_id").alias("total_loans"), F.array_join(F.sort_array(F.collect_set(F.date_format("period_end", "yyyy-MM-dd"))), ",").alias("periods"))
-    return now.crossJoin(ever).withColumn("period_end", F.lit(period))
+    fv, debt_fv, par = F.sum("fair_value"), F.sum("debt_fair_value"), F.sum("debt_principal")
+    now = at(f.sums, period).agg(F.coalesce(F.sum("positions"), F.lit(0)).alias("positions"), F.count("*").alias("bdcs"), F.coalesce(F.max("issuers"), F.lit(0)).alias("issuers"), money(fv).alias("fair_value"), money(par).alias("principal"), pct(debt_fv, par).alias("mark"), pct(F.coalesce(F.sum("bad_fair_value"), F.lit(0)), fv).alias("nonaccrual_pct"))
+    ever = f.sums.agg(F.sum("positions").alias("total_marks"), F.array_join(F.sort_array(F.collect_set(F.date_format("period_end", "yyyy-MM-dd"))), ",").alias("periods"))
+    return now.crossJoin(ever).crossJoin(f.loans.agg(F.count("*").alias("total_loans"))).withColumn("period_end", F.lit(period))
 
 
 def dataset_stats(f: Frames, period: str | None = None) -> DataFrame:
-    marks = f.marks.agg(F.count("*").alias("marks"), F.count_distinct("period_end").alias("periods"), F.count_distinct("accession").alias("filings"), F.date_format(F.min("period_end"), "yyyy-MM-dd").alias("first_period"), F.date_format(F.max("period_end"), "yyyy-MM-dd").alias("last_period"))
+    marks = f.sums.agg(F.sum("positions").alias("marks"), F.count_distinct("period_end").alias("periods"), F.date_format(F.min("period_end"), "yyyy-MM-dd").alias("first_period"), F.date_format(F.max("period_end"), "yyyy-MM-dd").alias("last_period"))
+    filed = f.sums.select(F.explode("accessions").alias("accession")).agg(F.count_distinct("accession").alias("filings"))
     loans = f.loans.agg(F.count("*").alias("loans"), count(debt()).alias("debt_loans"))
-    now = at(f.marks, here(f, period)).agg(money(F.sum("fair_value")).alias("latest_fair_value"))
-    return marks.crossJoin(loans).crossJoin(f.issuers.agg(F.count("*").alias("issuers"))).crossJoin(f.bdcs.agg(F.count("*").alias("bdcs"))).crossJoin(now)
+    now = at(f.sums, here(f, period)).agg(money(F.sum("fair_value")).alias("latest_fair_value"))
+    return marks.crossJoin(filed).crossJoin(loans).crossJoin(f.issuers.agg(F.count("*").alias("issuers"))).crossJoin(f.bdcs.agg(F.count("*").alias("bdcs"))).crossJoin(now)
 
 
 def export_meta(f: Frames, period: str | None = None) -> DataFrame:
@@ -291,9 +308,9 @@ def export_meta(f: Frames, period: str | None = None) -> DataFrame:
     return marks.crossJoin(tickers).withColumn("period_end", F.lit(here(f, period)))
 
 
-def universe_mark_trend(f: Frames, period: str | None = None) -> DataFrame:
-    rows = latest_per_quarter(f).where(debt() & (F.col("basis") > 0) & F.col("fair_value").isNotNull())
-    return rows.groupBy("quarter").agg(pct(F.sum("fair_value"), F.sum("basis")).alias("weighted_mark"), money(F.sum("fair_value")).alias("fair_value")).orderBy("quarter")
+def universe_mark_trend(f: Frames, period: str | None = None, since: str = "0001-01-01") -> DataFrame:
+    fv = F.sum("quoted_debt_fair_value")
+    return latest_per_quarter(f, since).where("quoted_debt > 0").groupBy("quarter").agg(pct(fv, F.sum("quoted_debt_basis")).alias("weighted_mark"), money(fv).alias("fair_value")).orderBy("quarter")
 
 
 def quality_summary(f: Frames, period: str | None = None) -> DataFrame:
@@ -317,7 +334,7 @@ def bdc_sheet(f: Frames, period: str | None = None) -> DataFrame:
     return out.withColumn("ticker", F.coalesce("ticker", F.lit("Total"))).orderBy(F.col("ticker") == "Total", "ticker")
 
 
-def quarter_grid(f: Frames, period: str | None = None, quarters: tuple[str, ...] | None = None, since: str = "2000-01-01") -> DataFrame:
+def quarter_grid(f: Frames, period: str | None = None, quarters: tuple[str, ...] | None = None, since: str = "0001-01-01") -> DataFrame:
     """Filer by quarter; blank where a filer has no mark.  Without ``quarters``, all that have a mark since then."""
     rows = quarterly_bdc_marks(f, since=since)
     if quarters is None:

@@ -21,7 +21,7 @@ VIEWS: dict[str, Callable] = {
         "positions_filter periods"
     ).split()
 } | {
-    "quarter_grid": lambda f: views.quarter_grid(f, since="0001-01-01"),
+    "quarter_grid": views.quarter_grid,
     "quarter_grid_all": views.quarter_lines,
     "nonaccrual_by_industry": views.nonaccrual_by,
     "nonaccrual_by_bdc": lambda f: views.nonaccrual_by(f, dimension="ticker"),

@@ -109,6 +109,10 @@ def to_positions(table: DataFrame, ciks: list[int] | None = None, source: str =
     return finalize(rows.where(F.col("cik").isin(ciks)) if ciks is not None else rows)
 
 
+class NoTables(ValueError):
+    """No position table where some were looked for."""
+
+
 def heading_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
     """First line of each file that isn't empty, through the file system that holds it and its compression.
 
@@ -146,8 +150,8 @@ def holds_positions(names: list[str]) -> bool:
     return {"cik", "ddate"} <= {n.lower() for n in names}
 
 
-def landing(spark: SparkSession, path: str) -> list[DataFrame]:
-    """Position tables of a folder and those below it, one for each heading line, all columns as text."""
+def landing(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
+    """Position tables of a folder and those below it, or of files, one for each heading line, all columns as text."""
     files = spark.read.option("recursiveFileLookup", True).text(path).inputFiles()
     groups: dict[str, list[str]] = defaultdict(list)
     for file, heading in sorted(heading_lines(spark, files).items()):
@@ -159,7 +163,7 @@ def landing(spark: SparkSession, path: str) -> list[DataFrame]:
             schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
             found.append(spark.read.schema(schema).csv(own, sep="\t", header=True, quote=""))
     if not found:
-        raise ValueError(f"no table with cik and ddate under {path}")
+        raise NoTables(f"no table with cik and ddate under {path}")
     return found
 
 
@@ -169,7 +173,7 @@ def united(parts: list[DataFrame], ciks: list[int] | None, source: str) -> DataF
     return reduce(DataFrame.unionByName, made)
 
 
-def landing_positions(spark: SparkSession, path: str, ciks: list[int] | None = None, source: str = "dera") -> DataFrame:
+def landing_positions(spark: SparkSession, path: str | list[str], ciks: list[int] | None = None, source: str = "dera") -> DataFrame:
     """Positions of all tables in a landing folder, whatever headings each has."""
     return united(landing(spark, path), ciks, source)
 
@@ -215,7 +219,7 @@ def archive_positions(spark: SparkSession, path: str, ciks: list[int] | None = N
             cells = F.split("line", "\t", -1)
             parts.append(rows.where(F.col("heading") == heading).select(*(F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names))))
     if not parts:
-        raise ValueError(f"no table with cik and ddate in the archives of {path}")
+        raise NoTables(f"no table with cik and ddate in the archives of {path}")
     return united(parts, ciks, source)
 
 
