@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark import cli
 from tidemark.plans import blocks, coverage, store
 from tidemark.sources import facts, filings, schedules, tables, universe
 
@@ -254,3 +255,30 @@ def test_values_of_one_size_meet(spark):
     found = {tuple(r) for r in schedules.candidates(positions, rows).select(*key).collect()}
     assert found == {tuple(r) for r in wanted.select(*key).collect()} and len(found) > 1000
     assert schedules.compared(positions, rows).count() < pairs.count() / 8
+
+
+def test_commands(spark, tmp_path, capsys):
+    """Filings into a store, what they hold, and the log of loads."""
+    head = {"form": "10-Q", "html": PAGE, "cik": 7}
+    made = [{"accession": "a", "filed_date": "2026-08-01", "facts": json.dumps([FACT, {**FACT, "concept": "us-gaap:InvestmentOwnedAtCost", "numeric_value": 99}]), **head}, {"accession": "b", "filed_date": "2026-08-02", "facts": "[", **head}, {"accession": "c", "filed_date": "2026-05-01", "facts": json.dumps([{**FACT, "period_instant": "2026-03-31"}]), **head}]
+    (tmp_path / "f.json").write_text("\n".join(map(json.dumps, made)))
+    (tmp_path / "u.json").write_text(json.dumps({"bdcs": [{"ticker": "LAR", "cik": 7, "name": "Larch Capital"}]}))
+    (tmp_path / "official.csv").write_text("cik\n7\n")
+    (tmp_path / "tickers.csv").write_text("ticker,cik,name\nLAR,7,Larch Capital\n")
+    f, u, store_at = f"{tmp_path}/f.json", f"{tmp_path}/u.json", ["--store", f"file://{tmp_path}/store"]
+
+    def run(*args):
+        code = cli.main([*store_at, *args])
+        return code, capsys.readouterr()
+
+    code, said = run("load-filings", f, u, "--new")
+    assert code == 0 and json.loads(said.out)["marks"] == 2 and '"JSONDecodeError"' in said.err
+    (log,) = [json.loads(x) for x in run("runs")[1].out.splitlines()]
+    assert (log["snapshot"], log["source"], log["rows"]) == (1, "filings", 2)
+    (group,) = [json.loads(x) for x in run("raw", f, u, "lar", "--issuer", "LARCH", "--filings-limit", "3")[1].out.splitlines()]
+    assert group["raw_rows"] == 2 and [x["fair_value"] for x in group["filed"]] == [97.5, 97.5]
+    assert run("raw", f, u, "lar", "--issuer", "fir")[0] == 1
+    assert json.loads(run("concepts", f)[1].out.splitlines()[0])["facts"] >= 2
+    assert [json.loads(x)["rows"] for x in run("schedule", f)[1].out.splitlines()] == [3, 3]
+    assert [json.loads(x)["outcome"] for x in run("universe", u, f"{tmp_path}/official.csv", f"{tmp_path}/tickers.csv")[1].out.splitlines()] == ["confirmed"]
+    assert cli.main(["--data", "x", "runs"]) == 2

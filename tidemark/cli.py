@@ -1,7 +1,8 @@
 """Command line: ``python -m tidemark.cli COMMAND``.
 
 A data set is a folder of the test tables (``--data``), seen through the lens, or a store (``--store``) that ``load`` fills
-from tab-separated position tables.  Exit codes: 1 nothing found, 2 wrong use.
+from tab-separated position tables and ``load-filings`` from whole filings (JSON lines of accession, cik, form, filed_date, facts, html).
+``runs`` lists a store's loads; ``raw``, ``concepts``, ``schedule`` and ``universe`` look at sources before any load.  Exit codes: 1 nothing found, 2 wrong use.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.plans import views
-from tidemark.plans.store import Frames, as_filed, lens_frames, load, open_store, read_universe
+from tidemark.plans.store import Frames, as_filed, lens_frames, load, open_store, read_universe, run_log
 from tidemark.sinks import export, server
-from tidemark.sources import tables
+from tidemark.sources import facts, filings, schedules, tables, universe
 
 REPORT = ("overview", "bdcs", "nonaccrual_trend", "markdowns", "deteriorating", "disagreements")
 
@@ -62,15 +64,67 @@ def serve(f: Frames, args: argparse.Namespace) -> int:
     return 0
 
 
+def shown(rows: DataFrame, limit: int, to=None) -> int:
+    """The first rows as JSON lines; 1 where there is none."""
+    found = rows.limit(limit).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line")).collect()
+    for row in found:
+        print(row.line, file=to or sys.stdout)
+    return 0 if found else 1
+
+
+def read_rates(spark: SparkSession, path: str | None) -> DataFrame:
+    schema = "rate_date date, currency string, rate double"
+    return spark.read.schema(schema).csv(path, header=True) if path else spark.createDataFrame([], schema)
+
+
+def read_filings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("accession string, cik long, form string, filed_date date, facts string, html string").json(path)
+
+
 def load_tables(spark: SparkSession, args: argparse.Namespace) -> int:
     """Positions of all tables at a path into the store; ``--new`` starts it."""
-    universe = read_universe(spark, args.universe)
-    rates = spark.read.schema("rate_date date, currency string, rate double").csv(args.rates, header=True) if args.rates else spark.createDataFrame([], "rate_date date, currency string, rate double")
-    found = load(spark, args.store, as_filed(tables.landing_positions(spark, args.landing), universe), rates, new=args.new)
+    rows = as_filed(tables.landing_positions(spark, args.landing), read_universe(spark, args.universe))
+    found = load(spark, args.store, rows, read_rates(spark, args.rates), new=args.new, source="bulk", scope=args.landing)
     print(json.dumps(export.records(views.dataset_stats(found))[0], indent=1))
     return 0
 
 
+def load_filings(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Positions of whole filings into the store; filings that can't be read are listed on standard error."""
+    rows, errors = filings.harvest(read_filings(spark, args.filings), read_universe(spark, args.universe))
+    found = load(spark, args.store, rows, read_rates(spark, args.rates), new=args.new, source="filings", scope=args.filings)
+    print(json.dumps(export.records(views.dataset_stats(found))[0], indent=1))
+    shown(errors, 1000, sys.stderr)
+    return 0
+
+
+def runs(spark: SparkSession, args: argparse.Namespace) -> int:
+    return shown(run_log(spark, args.store).orderBy("snapshot"), args.limit)
+
+
+def raw(spark: SparkSession, args: argparse.Namespace) -> int:
+    """A filer's newest filings as filed, by loan key, ahead of merging: which rows a loan's total is made of."""
+    own = read_universe(spark, args.universe).where(F.col("ticker") == args.ticker.upper())
+    newest = facts.newest_filings(read_filings(spark, args.filings).join(own.select("cik"), "cik", "left_semi"), args.since, args.filings_limit)
+    rows, _ = filings.harvest(newest, own)
+    return shown(views.raw_groups(rows, args.issuer, args.period), args.limit)
+
+
+def concepts(spark: SparkSession, args: argparse.Namespace) -> int:
+    return shown(facts.concept_census(filings.read_filings(read_filings(spark, args.filings)).facts, args.limit), args.limit)
+
+
+def schedule(spark: SparkSession, args: argparse.Namespace) -> int:
+    return shown(schedules.schedule_coverage(filings.read_filings(read_filings(spark, args.filings)).printed).orderBy("accession"), args.limit)
+
+
+def check_universe(spark: SparkSession, args: argparse.Namespace) -> int:
+    """The universe and its watch-list against CSV files of the official list (cik) and of tickers (ticker, cik, name)."""
+    official = spark.read.schema("cik long").csv(args.official, header=True)
+    listed = spark.read.schema("ticker string, cik long, name string").csv(args.tickers, header=True)
+    return shown(universe.universe_check(universe.read_entries(spark, args.universe), official, listed).orderBy("list", "ticker", "outcome"), args.limit)
+
+
 def quarters(spark: SparkSession, args: argparse.Namespace) -> int:
     for row in tables.quarters_between(spark, args.start, args.end).collect():
         print(row.quarter)
@@ -84,12 +138,27 @@ def parser() -> argparse.ArgumentParser:
     where.add_argument("--store")
     top.add_argument("--period")
     commands = top.add_subparsers(dest="command", required=True)
-    c = commands.add_parser("load")
-    c.add_argument("landing")
-    c.add_argument("universe")
-    c.add_argument("--rates")
-    c.add_argument("--new", action="store_true")
-    c.set_defaults(setup=load_tables)
+    for name, what, run in (("load", "landing", load_tables), ("load-filings", "filings", load_filings)):
+        c = commands.add_parser(name)
+        c.add_argument(what)
+        c.add_argument("universe")
+        c.add_argument("--rates")
+        c.add_argument("--new", action="store_true")
+        c.set_defaults(setup=run)
+    c = commands.add_parser("raw")
+    for what in ("filings", "universe", "ticker"):
+        c.add_argument(what)
+    c.add_argument("--issuer")
+    c.add_argument("--since", default="0001-01-01")
+    c.add_argument("--filings-limit", type=int, default=1)
+    c.set_defaults(setup=raw)
+    for name, whats, run in (("runs", (), runs), ("concepts", ("filings",), concepts), ("schedule", ("filings",), schedule), ("universe", ("universe", "official", "tickers"), check_universe)):
+        c = commands.add_parser(name)
+        for what in whats:
+            c.add_argument(what)
+        c.set_defaults(setup=run)
+    for name in ("raw", "runs", "concepts", "schedule", "universe"):
+        commands.choices[name].add_argument("--limit", type=int, default=100)
     c = commands.add_parser("quarters")
     c.add_argument("start")
     c.add_argument("end")
@@ -120,8 +189,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if hasattr(args, "setup"):
-        if args.command == "load" and not args.store:
-            print("load needs --store", file=sys.stderr)
+        if args.command in ("load", "load-filings", "runs") and not args.store:
+            print(f"{args.command} needs --store", file=sys.stderr)
             return 2
         return args.setup(spark, args)
     return args.run(lens_frames(spark, args.data) if args.data else open_store(spark, args.store), args)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans import blocks, coverage, store, views
-from tidemark.plans.oracle import FX, MARKS, QUARTER, day
+from tidemark.plans.oracle import FX, MARKS, QUARTER, RAW, day
 from tidemark.sources import filings, lens, tables, universe
 from tidemark.streaming import corrections
 from tidemark.storage import shared_path
@@ -146,7 +146,14 @@ def late_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.v_marks.select("issuer_name", "cik", "accession", views.money(F.col("fair_value")).alias("fair_value"), F.round("mark", 6).alias("mark"))
 
 
-QUERIES = {f.__name__: f for f in (landing_drift, filing_errors, filing_harvest, run_log, coverage_islands, fallback_since, universe_check, period_blocks, published_quarters, late_corrections)}
+def raw_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All filed rows by loan key, ahead of merging."""
+    rows = views.raw_groups(lens.positions(spark, sf_dir))
+    filed = F.transform("filed", lambda x: F.concat_ws("/", x["period_end"], x["accession"], x["seq"].cast("string")))
+    return rows.select("loan_id", "investment_type", "facility", "raw_rows", F.sha2(F.array_join(filed, ",").cast("binary"), 256).alias("filed_sha256"), F.aggregate("filed", F.lit(0.0), lambda a, x: a + F.coalesce(x["principal"], F.lit(0.0)), lambda a: F.round(a, 2)).alias("principal"))
+
+
+QUERIES = {f.__name__: f for f in (landing_drift, filing_errors, filing_harvest, run_log, coverage_islands, fallback_since, universe_check, period_blocks, published_quarters, late_corrections, raw_positions)}
 
 _STATES = f"""{MARKS}, have AS (
   SELECT DISTINCT cik, period_end, {QUARTER} AS quarter FROM v WHERE NOT (cik % 3 = 0 AND year(period_end) >= 1999 AND quarter(period_end) = cik % 4 + 1)
@@ -197,6 +204,11 @@ SQL = {
         SELECT list, ticker, cik, outcome, CASE WHEN outcome = 'renamed' THEN name END AS was, CASE WHEN outcome = 'renamed' THEN official_name END AS now FROM o""",
     "period_blocks": f"""{MARKS}, n AS (SELECT period_end, loan_id, 1 + row_number() OVER (ORDER BY period_end DESC, ticker, fv DESC, loan_id) AS i FROM v WHERE fv IS NOT NULL)
         SELECT {day('period_end', 'period_end')}, min(i) AS first_row, max(i) AS last_row, arg_min(loan_id, i) AS first_loan, arg_max(loan_id, i) AS last_loan FROM n GROUP BY period_end""",
+    "raw_positions": f"""{RAW}
+        SELECT loan_id, first(kind) AS investment_type, first(facility) AS facility, count(*) AS raw_rows,
+               sha256(string_agg(strftime(period_end, '%Y-%m-%d') || '/' || accession || '/' || seq, ',' ORDER BY period_end, identifier, accession, seq)) AS filed_sha256,
+               round(CAST(coalesce(sum(principal), 0) AS DOUBLE), 2) AS principal
+        FROM pos GROUP BY loan_id""",
     "late_corrections": """
         SELECT 'Maker ' || p_partkey || ' LLC' AS issuer_name, p_partkey % 3 AS cik, CASE WHEN p_partkey % 7 <= 2 THEN 'second' ELSE 'first' END AS accession,
                CAST(CAST(p_retailprice + CASE WHEN p_partkey % 7 <= 2 THEN 1 ELSE 0 END AS DECIMAL(12,2)) AS DOUBLE) AS fair_value,

@@ -357,6 +357,19 @@ def positions_filter(f: Frames, period: str | None = None, text: str = "lien") -
     return at(f.v_marks, here(f, period)).where(hit).select("loan_id", "ticker", "issuer_name", "industry", "investment_type", "facility").orderBy("loan_id")
 
 
+def raw_groups(positions: DataFrame, issuer: str | None = None, period: str | None = None) -> DataFrame:
+    """Positions as filed, ahead of merging, by loan key; largest groups first.
+
+    ``issuer`` is text of a borrower's name or of the label, in any case; ``period`` a day.
+    """
+    rows = positions if period is None else positions.where(F.col("period_end") == F.lit(period).cast("date"))
+    if issuer:
+        rows = rows.where(F.contains(F.upper(F.concat_ws("\n", "issuer_name", "identifier")), F.lit(issuer.upper())))
+    each = F.struct(day("period_end"), "identifier", "accession", "seq", *(money(F.col(c)).alias(c) for c in ("principal", "cost", "fair_value")))
+    groups = rows.groupBy("loan_id").agg(F.min_by(F.struct("investment_type", "facility"), F.struct("period_end", "identifier", "seq")).alias("_first"), F.count("*").alias("raw_rows"), F.sort_array(F.collect_list(each)).alias("filed"))
+    return groups.select("loan_id", "_first.*", "raw_rows", "filed").orderBy(F.desc("raw_rows"), "loan_id")
+
+
 View = Callable[..., DataFrame]
 #: What the bundle, the API and the JSON export offer, with their own limits.
 BUNDLE: dict[str, View] = {
