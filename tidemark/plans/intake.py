@@ -3,12 +3,14 @@ blocks; each with its SQL.  All work on rows of the test tables, written out in
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans import blocks, coverage, store, views
 from tidemark.plans.oracle import FX, MARKS, QUARTER, RAW, day
-from tidemark.sources import filings, lens, tables, universe
+from tidemark.sources import filings, lens, schedules, tables, universe
 from tidemark.streaming import corrections
 from tidemark.storage import shared_path
 
@@ -153,7 +155,35 @@ def raw_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("loan_id", "investment_type", "facility", "raw_rows", F.sha2(F.array_join(filed, ",").cast("binary"), 256).alias("filed_sha256"), F.aggregate("filed", F.lit(0.0), lambda a, x: a + F.coalesce(x["principal"], F.lit(0.0)), lambda a: F.round(a, 2)).alias("principal"))
 
 
-QUERIES = {f.__name__: f for f in (landing_drift, filing_errors, filing_harvest, run_log, coverage_islands, fallback_since, universe_check, period_blocks, published_quarters, late_corrections, raw_positions)}
+def schedule_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts printed in three layouts, a filing each for ten of them: headings stacked over wide cells, headings in ordinary rows with the currency in a
+    cell of its own, and a table whose second half goes on under no heading."""
+    k, layout = F.col("p_partkey"), F.floor(F.col("p_partkey") / 10) % 3
+    cells = lambda tag, *texts: F.concat(F.lit("<tr>"), *(F.concat(F.lit(f"<{tag}>"), t if isinstance(t, Column) else F.lit(t), F.lit(f"</{tag}>")) for t in texts), F.lit("</tr>"))
+    name, bond, due, figure = F.concat(F.lit("Maker "), k, F.lit(" LLC")), F.lit("Term Loan"), F.lit("6/30/2029"), F.format_number("p_retailprice", 2)
+    line = F.when(layout == 1, cells("td", name, bond, due, "$", figure, "$", figure)).otherwise(cells("td", name, bond, due, figure, figure))
+    own = _read(spark, sf_dir, "part").select(F.floor(k / 10).alias("n"), layout.alias("layout"), k.alias("k"), line.alias("line"))
+    rows = own.groupBy("n", "layout").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]).alias("lines"))
+    stacked = '<table><tr><th>Portfolio</th><th>Investment</th><th>Maturity</th><th colspan="2">Amortized</th></tr><tr><th>Company</th><th>Type</th><th>Date</th><th>Cost</th><th>Fair Value</th></tr>'
+    plain = '<table><tr><td>Company</td><td>Security</td><td>Maturity</td><td colspan="2">Cost</td><td colspan="2">Fair Value</td></tr>'
+    marked = "<table><tr><th>Company</th><th>Security</th><th>Maturity</th><th>Cost</th><th>Fair Value</th></tr>"
+    half = F.floor(F.size("lines") / 2).cast("int")
+    text = lambda lines: F.array_join(lines, "")
+    body = F.when(F.col("layout") == 2, F.concat(text(F.slice("lines", F.lit(1), half)), F.lit("</table><p>continued</p><table>"), text(F.slice("lines", half + 1, F.size("lines"))))).otherwise(text(F.col("lines")))
+    html = F.concat(F.when(F.col("layout") == 0, stacked).when(F.col("layout") == 1, plain).otherwise(marked), body, F.lit("</table>"))
+    read = schedules.read_schedules(rows.select(F.concat(F.lit("n"), "n").alias("accession"), html.alias("html")))
+    return read.select("accession", "issuer", "instrument", _day("maturity_date"), "cost", "fair_value")
+
+
+def unpriced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the export with and without unpriced ones, where every fifth filer hasn't priced anything."""
+    f = store.lens_frames(spark, sf_dir)
+    hidden = replace(f, marks=f.marks.withColumn("fair_value", F.when(F.col("cik") % 5 != 0, F.col("fair_value"))))
+    rows = [views.marks_export(hidden, include_unpriced=shown).select("ticker", F.lit(int(shown)).alias("unpriced")) for shown in (False, True)]
+    return rows[0].unionByName(rows[1]).groupBy("ticker").agg(F.count(F.when(F.col("unpriced") == 0, 1)).alias("priced"), F.count(F.when(F.col("unpriced") == 1, 1)).alias("all_rows"))
+
+
+QUERIES = {f.__name__: f for f in (landing_drift, filing_errors, filing_harvest, run_log, coverage_islands, fallback_since, universe_check, period_blocks, published_quarters, late_corrections, raw_positions, schedule_layouts, unpriced_rows)}
 
 _STATES = f"""{MARKS}, have AS (
   SELECT DISTINCT cik, period_end, {QUARTER} AS quarter FROM v WHERE NOT (cik % 3 = 0 AND year(period_end) >= 1999 AND quarter(period_end) = cik % 4 + 1)
@@ -209,6 +239,11 @@ SQL = {
                sha256(string_agg(strftime(period_end, '%Y-%m-%d') || '/' || accession || '/' || seq, ',' ORDER BY period_end, identifier, accession, seq)) AS filed_sha256,
                round(CAST(coalesce(sum(principal), 0) AS DOUBLE), 2) AS principal
         FROM pos GROUP BY loan_id""",
+    "schedule_layouts": """
+        SELECT 'n' || p_partkey // 10 AS accession, 'Maker ' || p_partkey || ' LLC' AS issuer, 'Term Loan' AS instrument, '2029-06-30' AS maturity_date,
+               round(p_retailprice, 2) AS cost, round(p_retailprice, 2) AS fair_value
+        FROM part WHERE (SELECT count(*) FROM part q WHERE q.p_partkey // 10 = part.p_partkey // 10) >= 3""",
+    "unpriced_rows": f"""{MARKS} SELECT ticker, count(*) FILTER (cik % 5 <> 0 AND fv IS NOT NULL) AS priced, count(*) AS all_rows FROM v GROUP BY ticker""",
     "late_corrections": """
         SELECT 'Maker ' || p_partkey || ' LLC' AS issuer_name, p_partkey % 3 AS cik, CASE WHEN p_partkey % 7 <= 2 THEN 'second' ELSE 'first' END AS accession,
                CAST(CAST(p_retailprice + CASE WHEN p_partkey % 7 <= 2 THEN 1 ELSE 0 END AS DECIMAL(12,2)) AS DOUBLE) AS fair_value,
