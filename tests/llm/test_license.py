@@ -104,6 +104,41 @@ def test_names(text, want):
     assert [n["license"] for n in Scanner(TEMPLATES, 0.8, 1.5).notices(text)] == [want] * (want is not None)
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Licensed under Apache-2.0", ["Apache-2.0"]),
+        ("Licensed under GPLv2", ["GPL-2.0"]),
+        ("GNU GPL version 2", ["GPL-2.0"]),
+        ("GPL v3", ["GPL-3.0"]),
+        ("LGPLv2.1 or later", ["LGPL-2.1"]),
+        ("Apache 2.0 license", ["Apache-2.0"]),
+        ("MIT licensed", ["MIT"]),
+        ("the MIT License (MIT)", ["MIT"]),
+        ("EUPL-1.2", ["EUPL-1.2"]),
+        ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation", ["GPL-3.0"]),
+        ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", ["Apache-2.0"]),
+        ("Dual licensed under the MIT License or the Apache License, Version 2.0", ["MIT", "Apache-2.0"]),
+        ("Dual licensed under the Apache License, Version 2.0 or the MIT License.", ["Apache-2.0", "MIT"]),
+        ("Licensed under the GNU General Public License, version 2 or the MIT License", ["GPL-2.0", "MIT"]),
+        ("Licensed under either of Apache-2.0 or MIT licensed", ["Apache-2.0", "MIT"]),
+        ("the general public has a license to use version 2 of the mit of apache", []),
+    ],
+)
+def test_short_and_dual_statements(text, want):
+    assert [n["license"] for n in Scanner(TEMPLATES, 0.8, 1.5).notices(text)] == want
+
+
+def test_many_statements_take_time_in_proportion():
+    scanner, took = Scanner(TEMPLATES, 0.8, 1.5), []
+    for n in (5_000, 50_000):
+        text = "Licensed under the Apache License, Version 2.0. Some more words here. " * n
+        began = time.process_time()
+        assert [x["license"] for x in scanner.notices(text)] == ["Apache-2.0"] * n
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0]
+
+
 def test_shuffled_notice_words_take_time_in_proportion():
     r = random.Random(3)
     scanner, pool = Scanner(TEMPLATES, 0.8, 1.5), [w for _, t, _ in TEMPLATES for w in t.split()]

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import LONGEST, SHORTEST, Merkle, Store, cuts, merkle_root, write
+from tidemark.llm.store import LONGEST, SHORTEST, Merkle, Store, _fetched, cuts, merkle_root, write
 from tidemark.llm.tokens import UnitEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -61,3 +61,17 @@ def test_round_trip(spark, tmp_path):
     with pytest.raises(ValueError, match="manifest"):
         Store(spark, f"file://{tmp_path}/broken").check_manifests()
     assert write(docs.limit(0), PATH, f"file://{tmp_path}/empty").read().count() == 0
+
+
+def test_a_hot_chunk_stays_in_place(spark, tmp_path):
+    """Half of all documents are empty, so one chunk is named by half of all places; it is met by broadcast and all comes back."""
+    rows = [(i, "" if i % 2 else f"word{i} and some of {i * i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = write(docs, PATH, f"file://{tmp_path}/store")
+    back = found.read()
+    assert {(r.doc_id, r.n_tokens == 1) for r in back.select("doc_id", "n_tokens").collect()} == {(i, bool(i % 2)) for i in range(3000)}
+    wanted = spark.createDataFrame([(0, i, b"hot" if i < 900 else bytes([i % 256, i // 256])) for i in range(1000)] * 3, "part int, seq long, address binary")
+    shared = wanted.select("address").distinct().withColumn("content", F.col("address"))
+    met = _fetched(wanted, shared)
+    assert met.count() == 3000 and met.where("address <> content").count() == 0
+    assert "BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()

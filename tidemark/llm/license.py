@@ -15,8 +15,9 @@ common subsequence of all their words with the template, which no alignment exce
 is halved.
 
 Defined results.  Null and empty texts have no notice.  Of templates that cover overlapping words the one with the
-most aligned words stays, then the larger coverage, then the first.  Texts of any length are read whole; time grows
-with the text times the templates whose deciding words it holds.  Repeated rows come back repeated.  An empty table
+most aligned words stays, then the larger coverage, then the first; but one that reaches over another license's statement gives way
+to a shorter one of its own license beside it.  Texts of any length are read whole; time grows with the text, times the templates whose
+deciding words it holds, however many notices there are.  Repeated rows come back repeated.  An empty table
 gives no row.  Other columns are not read.
 """
 
@@ -122,37 +123,42 @@ class Template:
         """No window that begins in [first, last] has more aligned words; windows end at ``stop``."""
         return common_length(words[first : min(last + self.width, stop)], self.masks, self.full)
 
-    def notice(self, words: list[str], start: int, stop: int) -> tuple[int, int, int] | None:
-        """(aligned words, first, end) of the window at ``start`` if it holds a notice."""
+    def notice(self, words: list[str], start: int, stop: int) -> tuple[int, int, int, frozenset[int]] | None:
+        """(aligned words, first, end, places of deciding words) of the window at ``start`` if it holds a notice."""
         pairs = patience(words[start : min(start + self.width, stop)], self.words)
         if len(pairs) < self.least or not self.deciding <= {self.words[j] for _, j in pairs}:
             return None
-        return len(pairs), start + pairs[0][0], start + pairs[-1][0] + 1
+        return len(pairs), start + pairs[0][0], start + pairs[-1][0] + 1, frozenset(start + i for i, j in pairs if self.words[j] in self.deciding)
 
-    def first_notice(self, words: list[str], places: list[int], stop: int) -> tuple[int, tuple[int, int, int]] | None:
-        """The first window at one of ``places`` that holds a notice, with it."""
+    def first_notice(self, words: list[str], places: list[int], lo: int, hi: int) -> tuple[int, tuple] | None:
+        """The first window at one of ``places`` in [lo, hi) that holds a notice, with it; windows end at ``hi``.
+
+        Places are gone through in runs, from the left, and no further than the first notice.
+        """
         step = max(16, self.width)
-        work = [(k, min(k + step, len(places)) - 1) for k in range(0, len(places), step)][::-1]
-        while work:
-            a, b = work.pop()
-            if self.bound(words, places[a], places[b], stop) < self.least:
-                continue
-            if a < b:
-                half = (a + b) // 2
-                work += [(half + 1, b), (a, half)]
-            elif found := self.notice(words, places[a], stop):
-                return places[a], found
+        at, end = bisect_left(places, lo), bisect_left(places, hi)
+        while at < end:
+            work = [(at, min(at + step, end) - 1)]
+            at += step
+            while work:
+                a, b = work.pop()
+                if self.bound(words, places[a], places[b], hi) < self.least:
+                    continue
+                if a < b:
+                    half = (a + b) // 2
+                    work += [(half + 1, b), (a, half)]
+                elif found := self.notice(words, places[a], hi):
+                    return places[a], found
         return None
 
-    def notices(self, words: list[str], places: list[int]) -> list[tuple[int, int, int]]:
+    def notices(self, words: list[str], places: list[int]) -> list[tuple]:
         """All notices of this template; ``places`` are those of its words."""
         out, work = [], [(0, len(words))]
         while work:
             lo, hi = work.pop()
-            own = places[bisect_left(places, lo) : bisect_left(places, hi)]
-            if got := self.first_notice(words, own, hi):
+            if got := self.first_notice(words, places, lo, hi):
                 start, found = got
-                inside = own[bisect_right(own, start) : bisect_left(own, found[2])]
+                inside = places[bisect_right(places, start) : bisect_left(places, found[2])]
                 best = max(inside, key=lambda k: (self.bound(words, k, k, hi), -k), default=start)
                 if self.bound(words, best, best, hi) > found[0] and (other := self.notice(words, best, hi)) and other[0] > found[0] and other[1] < found[2]:
                     found = other
@@ -161,6 +167,43 @@ class Template:
         return out
 
 
+class Stretches:
+    """Disjoint stretches of words, by start."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def put(self, first: int, end: int) -> bool:
+        """Takes a stretch if it meets none that is taken."""
+        at = bisect_left(self.starts, first)
+        if (at and self.ends[at - 1] > first) or (at < len(self.starts) and self.starts[at] < end):
+            return False
+        self.starts.insert(at, first)
+        self.ends.insert(at, end)
+        return True
+
+
+def family(name: str) -> str:
+    """A license's name without its version."""
+    return name.split("-")[0]
+
+
+def without_straddling(hits: list[tuple]) -> list[tuple]:
+    """Hits but for those that reach over another license's statement to words of their own behind it, where the same license has a
+    shorter hit beside that statement: so of "the MIT License or the Apache License, Version 2.0" both stay."""
+    hits = sorted(hits, key=lambda h: (h[4], h[5]))
+    starts, out = [h[4] for h in hits], []
+    for hit in hits:
+        name, first, end, decided = hit[3:]
+        inside = [h for h in hits[bisect_left(starts, first) : bisect_left(starts, end)] if h[5] <= end and h is not hit]
+        other = [h for h in inside if family(h[3]) != family(name) and not h[6] & decided and not any(h[4] <= k < h[5] for k in decided)]
+        own = [h for h in inside if h[3] == name and h[6] == decided]
+        if not any(a[5] <= b[4] or b[5] <= a[4] for a in other for b in own):
+            out.append(hit)
+    return out
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str, str]], min_coverage: float, stretch: float):
         self.templates = [Template(*t, min_coverage, stretch) for t in templates]
@@ -190,10 +233,11 @@ class Scanner:
             t = self.templates[order]
             if t.deciding <= places.keys():
                 own = sorted(i for w in t.masks for i in places.get(w, ()))
-                hits += [(-n, -n / len(t.words), order, t.name, first, end) for n, first, end in t.notices(words, own)]
+                hits += [(-n, -n / len(t.words), order, t.name, first, end, decided) for n, first, end, decided in t.notices(words, own)]
         kept = []
-        for _, coverage, _, name, first, end in sorted(hits):
-            if all(end <= a or b <= first for *_, a, b in kept):
+        taken = Stretches()
+        for _, coverage, _, name, first, end, _ in sorted(without_straddling(hits)):
+            if taken.put(first, end):
                 kept.append((name, -coverage, first, end))
         if not kept:
             return []

@@ -48,6 +48,30 @@ NAMED = [
     ("EPL-2.0", "Eclipse Public License, version 2.0", "eclipse 2.0"),
     ("BSL-1.0", "Boost Software License, Version 1.0", "boost 1.0"),
     ("CC0-1.0", "CC0 1.0 Universal", "cc0 1.0"),
+    ("EUPL-1.1", "European Union Public Licence, version 1.1", "european 1.1"),
+    ("EUPL-1.2", "European Union Public Licence, version 1.2", "european 1.2"),
+]
+# Titles that full texts begin with: (license, title, words of it that decide).
+TITLES = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004", "apache 2.0 january 2004"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "general 2 june 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "general 3 june 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "lesser 2.1 february 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "lesser 3 june 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "affero 3 november 2007"),
+]
+# Short ways to say it: (license, words, words that decide).
+SHORT = [
+    ("MIT", "MIT licensed", "mit licensed"),
+    ("MIT", "MIT License", "mit license"),
+    ("MIT", "The MIT License (MIT)", "mit license"),
+    ("ISC", "ISC License", "isc license"),
+    ("BSD", "BSD License", "bsd license"),
+    ("BSD", "BSD licensed", "bsd licensed"),
+    ("Apache-2.0", "Apache 2.0 License", "apache 2.0 license"),
+    ("Apache-2.0", "Apache License 2.0", "apache license 2.0"),
+    ("Apache-2.0", "Apache 2.0 licensed", "apache 2.0 licensed"),
+    ("Apache-2.0", "Licensed under Apache 2.0", "apache 2.0"),
 ]
 GNU_NAMES = [("GPL", "General Public", "general", ("2", "3")), ("LGPL", "Lesser General Public", "lesser general", ("2.1", "3")), ("AGPL", "Affero General Public", "affero general", ("3",))]
 COMMONS = ["BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"]
@@ -55,10 +79,12 @@ COMMONS_WORDS = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial",
 
 
 def _templates() -> list[tuple[str, str, str]]:
-    named, out = list(NAMED), list(TEXTS)
+    named, out = list(NAMED), [*TEXTS, *TITLES, *SHORT]
     for short, words, deciding, versions in GNU_NAMES:
         for v in versions:
             name = f"{short}-{v if '.' in v else v + '.0'}"
+            # GPLv2, GPL v2, GPL version 2
+            out += [(name, f"{short}v{v}", f"{short}v{v}".lower()), (name, f"{short} {v}", f"{short} {v}".lower()), (name, f"{short} version {v}", f"{short} {v}".lower())]
             named.append((name, f"GNU {words} License, version {v}", f"gnu {deciding} {v}"))
             notice = GNU.format(words, v, words)
             out += [(name, notice, f"gnu {deciding} {v}"), (name, notice.split(" This program is distributed")[0], f"gnu {deciding} {v}")]
@@ -77,6 +103,8 @@ def _templates() -> list[tuple[str, str, str]]:
     for name in dict.fromkeys(n for n, *_ in [*named, *TEXTS]):
         if name not in ("BSD", "Apache"):
             out.append((name, f"SPDX-License-Identifier: {name}", f"spdx-license-identifier {name.lower()}"))
+            # An identifier with a version is a word of its own that nothing else is written as.
+            out += [(name, f"Licensed under {name}", name.lower())] if "." not in name else [(name, name, name.lower())]
     return out
 
 

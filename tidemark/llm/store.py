@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_path, spread_join, stored, text_rows, work_path
+from tidemark.llm.common import HOT_KEYS, drop_path, spread_join, stored, text_rows, work_path
 from tidemark.llm.tokens import TokenizerFile
 
 WINDOW, MASK, SHORTEST, LONGEST = 16, np.uint32(511), 128, 2048
@@ -191,6 +191,19 @@ def _pack(staged: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, PACKED)
 
 
+def _fetched(wanted: DataFrame, shared: DataFrame) -> DataFrame:
+    """(part, seq, address) with the content of their chunks (address, content), one for each address.
+
+    Empty texts all have one chunk, and boilerplate has few.  Chunks that over a thousandth of the wanted places name are fewer than
+    ``HOT_KEYS``, of at most ``LONGEST`` ids each: they go to where the documents lie, and only the others are shuffled.
+    """
+    counts = stored(wanted.groupBy("address").agg(F.count("*").alias("n")), "chunk-counts")
+    limit = (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS
+    hot = F.broadcast(counts.where(F.col("n") > limit).select("address"))
+    near = wanted.join(F.broadcast(shared.join(hot, "address")), "address")
+    return near.unionByName(wanted.join(hot, "address", "left_anti").join(shared, "address"))
+
+
 class Store:
     """A written store."""
 
@@ -250,7 +263,7 @@ class Store:
         whole = self.documents.where(~elsewhere).mapInArrow(run, "part int, seq long, doc_id long, n_tokens long, ids binary")
         wanted = self.documents.where(elsewhere).select("part", "seq", F.explode(F.array_distinct(F.filter(F.arrays_zip("chunks", "place"), lambda x: x["place"] == 2))).alias("c")).select("part", "seq", F.col("c.chunks").alias("address"))
         shared = self.documents.where(F.size("shared") > 0).select(F.explode("shared").alias("s")).select("s.address", "s.content")
-        fetched = wanted.join(shared, "address").groupBy("part", "seq").agg(F.collect_list(F.struct("address", "content")).alias("fetched"))
+        fetched = _fetched(wanted, shared).groupBy("part", "seq").agg(F.collect_list(F.struct("address", "content")).alias("fetched"))
         rest = self.documents.where(elsewhere).join(fetched, ["part", "seq"]).mapInArrow(run, "part int, seq long, doc_id long, n_tokens long, ids binary")
         return whole.unionByName(rest)
 
