@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HOT_KEYS, drop_path, spread_join, stored, text_rows, work_path
+from tidemark.llm.common import drop_path, salted_join, spread_join, stored, text_rows, work_path
 from tidemark.llm.tokens import TokenizerFile
 
 WINDOW, MASK, SHORTEST, LONGEST = 16, np.uint32(511), 128, 2048
@@ -195,13 +195,10 @@ def _fetched(wanted: DataFrame, shared: DataFrame) -> DataFrame:
     """(part, seq, address) with the content of their chunks (address, content), one for each address.
 
     Empty texts all have one chunk, and boilerplate has few.  Chunks that over a thousandth of the wanted places name are fewer than
-    ``HOT_KEYS``, of at most ``LONGEST`` ids each: they go to where the documents lie, and only the others are shuffled.
+    ``HOT_KEYS``; their places are split into parts, each of which gets the content (:func:`tidemark.llm.common.salted_join`).
     """
     counts = stored(wanted.groupBy("address").agg(F.count("*").alias("n")), "chunk-counts")
-    limit = (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS
-    hot = F.broadcast(counts.where(F.col("n") > limit).select("address"))
-    near = wanted.join(F.broadcast(shared.join(hot, "address")), "address")
-    return near.unionByName(wanted.join(hot, "address", "left_anti").join(shared, "address"))
+    return salted_join(wanted, shared, "address", counts)
 
 
 class Store:
