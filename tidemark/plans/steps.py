@@ -55,7 +55,7 @@ def v_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarters_with_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_per_quarter(lens_frames(spark, sf_dir), "1990-01-01").groupBy("cik", "quarter").agg(F.count("*").alias("positions"), F.date_format(F.max("period_end"), "yyyy-MM-dd").alias("period_end")).select("cik", "quarter", "positions", "period_end")
+    return latest_per_quarter(lens_frames(spark, sf_dir), "1990-01-01").groupBy("cik", "quarter").agg(F.sum("positions").alias("positions"), F.date_format(F.max("period_end"), "yyyy-MM-dd").alias("period_end")).select("cik", "quarter", "positions", "period_end")
 
 
 def missing_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
