@@ -78,6 +78,20 @@ def test_names(spark):
     assert one(spark, identity.canonical_issuer, "Acme Holdings, LLC", "ACME Holdings Inc.", "A & B (dba C)", "Holdings", None, "") == ["ACME", "ACME", "A AND B", "HOLDINGS", "", ""]
 
 
+def test_labels_without_what_passes(spark):
+    made = {
+        "Term Loan, 3M SOFR + 5.75% PIK, due 6/30/2029": "TERM LOAN",
+        "Term Loan (Term SOFR rate + 600 bps, 1% floor) matures March 3rd, 2031": "TERM LOAN",
+        "Note 11.5 percent, expires 30 Sep 2030": "NOTE",
+        "Common Stock, 12,500 shares": "COMMON STOCK",
+        "Class A Units L + 6.25% maturity date 2028-01-31": "CLASS A UNITS",
+        "Primero Senior Note B-2, 2027": "PRIMERO SENIOR NOTE B 2",
+        "May Industries Cashmere Loan": "MAY INDUSTRIES CASHMERE LOAN",
+        "Larch Libor plus nothing": "LARCH PLUS NOTHING",
+    }
+    assert one(spark, identity.strip_noise, *made, None, "") == [*made.values(), "", ""]
+
+
 def test_keys(spark):
     assert one(spark, identity.issuer_key, "Acme Holdings, LLC", None) == ["41f114d175bc32a27c2a", "cc5863ade9b7ceb02b52"]
     assert one(spark, lambda x: identity.credit_key(x, F.lit("FIRST_LIEN")), "Acme") == ["9e2235dd2060686d739f"]

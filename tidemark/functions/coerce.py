@@ -45,6 +45,7 @@ MATURITY_IN_LABEL = (
 )
 # Fixed value: wording of filings.
 NOT_A_PLACE = r"affiliat|control|majority[\s-]*owned|non[\s-]*controlled|portfolio compan"
+# Countries by the ways that filings write them.
 COUNTRIES = {
     "United States": ["US", "USA", "U.S.", "UNITED STATES OF AMERICA", "UNITED STATES"],
     "United Kingdom": ["UK", "U.K.", "GREAT BRITAIN", "UNITED KINGDOM"],
