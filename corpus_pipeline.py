@@ -5,7 +5,8 @@ near-duplicate group one stays; documents that hold a benchmark passage go; the
 their ids.  Decisions are made for rows, not for ids, so rows with null or repeated ids have a fate of their own: the
 two stages that compare documents number their rows in a stored table first.
 
-Defined results.  Null texts are empty.  Repeated rows are copies, of which one stays.  Further columns, whatever their
+Defined results.  Null texts are empty.  Texts of any length are read whole by every stage; the longest may be cut only in packing, where each id still lies
+in one piece.  Repeated rows are copies, of which one stays.  Further columns, whatever their
 names, come through to packing, which takes doc_id and text.  An empty table gives no sequence.
 """
 
