@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-from tidemark.llm.exact import exact_groups
+from tidemark.llm.exact import Dealt, exact_groups
 
 
 def brute(rows):
@@ -26,3 +26,18 @@ def test_groups(spark):
     assert sum(r.kept for r in got) == len({r[3] for r in brute(rows)})
     assert all(r.keep_id == r.doc_id for r in got if r.kept)
     assert exact_groups(docs.limit(0)).count() == 0
+
+
+def test_hot_blocks_outlive_forgetting():
+    """Among thousands of blocks that fill the memory over and over, one met between them is dealt once."""
+    dealt, hot, numbers, new = Dealt(7 << 33, 5000), b"h" * 20, set(), 0
+    for i in range(4000):
+        number, fresh = dealt.number(b"%020d" % i)
+        assert fresh and number not in numbers
+        numbers.add(number)
+        if i % 5 == 0:
+            number, fresh = dealt.number(hot)
+            new += fresh
+            numbers.add(number)
+        assert dealt.held == sum(len(c) + 100 for c in dealt.numbers) <= 5000 + 120
+    assert new == 1 and len(numbers) == 4001

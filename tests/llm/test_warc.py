@@ -7,8 +7,9 @@ from collections import Counter
 from pathlib import Path
 
 import zstandard
+from pyspark.sql import functions as F
 
-from tidemark.llm.warc import read, write
+from tidemark.llm.warc import parted, read, write
 
 BIG = "<p>é</p>" * 200
 
@@ -41,3 +42,15 @@ def test_round_trip(spark, tmp_path):
     one = index.where("page_id = 9")
     assert [len(r.payload) for r in read(one, folder).collect()] == [700_000]
     assert write(pages.limit(0), folder).count() == 0
+
+
+def test_unique_payloads_stay_where_they_are(spark):
+    """Shuffled are copies and what the filter can't tell from them; a filter of one word loses no copy."""
+    digests = [f"one{i}" for i in range(3000)] + [f"some{i % 2000}" for i in range(8000)] + ["hot"] * 50
+    hashed = spark.createDataFrame(list(enumerate([*digests, None, None])), "page_id long, whole string")
+    groups = hashed.where("whole IS NOT NULL").groupBy("whole").agg(F.max("page_id").alias("newest"), F.lit("u").alias("uri"), F.count("*").alias("n")).where("n > 1")
+    for words, most in ((1 << 21, 1000), (1, 3001)):
+        at_home, moved = (x.collect() for x in parted(hashed, groups, words))
+        assert sorted(r.page_id for r in at_home + moved) == list(range(len(digests) + 2))
+        assert {r.page_id for r in moved} >= set(range(3000, 11_000)) and len(moved) - 8000 < most
+        assert all(r.whole is None or r.whole.startswith("one") or (r.whole, r.newest, r.uri) == ("hot", 11_049, "u") for r in at_home)

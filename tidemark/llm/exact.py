@@ -6,8 +6,9 @@ it.  Then pairs of adjacent names are named in the same way, level by level, unt
 Documents with equally many blocks and the same name are equal: names stand for contents, not for hashes of them, so
 nothing collides.
 
-A hot block is dealt once for each ``SEEN_BYTES`` of distinct blocks that a task reads, not once for each document:
-documents refer to such blocks by number.  Hot pairs and hot documents are counted first and met where their rows lie
+A task remembers the blocks it has dealt; when they exceed ``SEEN_BYTES`` it keeps those met again since it last
+forgot, the most frequent first and up to half of that, so a hot block is dealt about once a task and not once for
+each document: documents refer to such blocks by number.  Hot pairs and hot documents are counted first and met where their rows lie
 (:func:`tidemark.llm.common.spread_join`).
 
 Defined results.  A null text is empty; empty texts form one group.  Of equal texts the row with the most code
@@ -19,6 +20,7 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,12 +36,43 @@ CUT_DDL = "row long, doc_id long, points long, text_sha256 string, blocks array<
 NAMED = pa.schema([("block", pa.int64()), ("name", pa.int64())])
 
 
+class Dealt:
+    """Numbers of the blocks that a task has dealt lately."""
+
+    def __init__(self, base: int, limit: int):
+        self.next, self.limit, self.held = base, limit, 0
+        self.numbers: dict[bytes, int] = {}
+        self.again: Counter[bytes] = Counter()
+
+    def number(self, content: bytes) -> tuple[int, bool]:
+        """The block's number, and whether it is a new one."""
+        known = self.numbers.get(content)
+        if known is not None:
+            self.again[content] += 1
+            return known, False
+        if self.held > self.limit:
+            self._forget()
+        number = self.numbers[content] = self.next
+        self.next += 1
+        self.held += len(content) + 100
+        return number, True
+
+    def _forget(self) -> None:
+        kept, self.held = {}, 0
+        for content, _ in self.again.most_common():
+            if self.held + len(content) + 100 > self.limit // 2:
+                break
+            kept[content] = self.numbers[content]
+            self.held += len(content) + 100
+        self.numbers = kept
+        self.again.clear()
+
+
 def cut_blocks(docs: DataFrame, block_bytes: int, row_col: str | None = None) -> DataFrame:
     """One row per document: its blocks' numbers, and the content of those that its task hasn't seen lately."""
 
     def run(batches):
-        base, blocks, held = TaskContext.get().partitionId() << 33, 0, 0
-        seen: dict[bytes, int] = {}
+        dealt = Dealt(TaskContext.get().partitionId() << 33, SEEN_BYTES)
         for batch in batches:
             out = []
             for row, doc_id, text, points in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -47,13 +80,8 @@ def cut_blocks(docs: DataFrame, block_bytes: int, row_col: str | None = None) ->
                 own, fresh = [], []
                 for at in range(0, max(len(bare), 1), block_bytes):
                     content = bare[at : at + block_bytes]
-                    number = seen.get(content)
-                    if number is None:
-                        if held > SEEN_BYTES:
-                            seen, held = {}, 0
-                        number = seen[content] = base + blocks
-                        blocks += 1
-                        held += len(content) + 100
+                    number, new = dealt.number(content)
+                    if new:
                         fresh.append({"block": number, "content": content})
                     own.append(number)
                 out.append((row, doc_id, points, hashlib.sha256(bare).hexdigest(), own, fresh))

@@ -16,8 +16,10 @@ Records.  A response's block is an HTTP head and the payload, a revisit's the HT
 own, also where rows are equal; a revisit names what it refers to by its URI and ``X-Refers-To-Page``.
 
 Revisits.  Among payloads of at least ``revisit_bytes`` that are equal (SHA-256), the record with the largest id is the
-response and the others refer to it.  Smaller payloads and those with very many copies stay in the tasks that scan
-them; only the others are shuffled by digest.
+response and the others refer to it.  Digests that occur more than once set bits of a filter, broadcast as at most
+``FILTER_WORDS`` words of 64 bits.  Smaller payloads, those that the filter tells to be unique and those with very
+many copies stay in the tasks that scan them; only payloads with some copies (and the few that the filter lets
+through) are shuffled by digest.  A filter too small for the repeated digests lets more through and loses none.
 
 Defined results.  A null payload is empty.  Rows that repeat the largest id of a group are all responses.  A null id
 counts as smaller than any; a group with null ids alone has responses only.  Null urls are written empty.  Payloads of
@@ -33,10 +35,10 @@ import uuid
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spread_join, stored, work_path
+from tidemark.llm.common import HOT_KEYS, stored, work_path
 
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -44,6 +46,8 @@ INDEX = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("bundle
 INDEX_DDL = "record_id string, page_id long, bundle string, frame int, offset long, length long"
 RECORD = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 RECORD_DDL = "record_id string, page_id long, url string, record_type string, payload_digest string, refers_to long, payload_bytes long, payload binary"
+#: Most words of the filter of repeated digests; it is built with so few that one in about sixteen bits is set.
+FILTER_WORDS = 1 << 21
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -160,16 +164,34 @@ def _batches(rows: list[tuple], schema: pa.Schema, size: int = 4096):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
 
+def filter_bit(whole: Column, words: int) -> tuple[Column, Column]:
+    """A digest's word of the filter, and its bit there."""
+    number = F.xxhash64(whole)
+    return F.pmod(F.shiftright(number, 6), F.lit(words)), F.pmod(number, F.lit(64)).cast("int")
+
+
+def parted(hashed: DataFrame, groups: DataFrame, most_words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Rows that stay where they are scanned, with (newest, uri) of their group if it is a hot one, and those to be shuffled."""
+    repeated, copies = groups.agg(F.count("*"), F.sum("n")).first()
+    words = max(1, min(most_words, repeated // 4))
+    word, bit = filter_bit(F.col("whole"), words)
+    bits = groups.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    limit = (copies or 0) // HOT_KEYS
+    hot = groups.where(F.col("n") > limit).select("whole", "newest", "uri", F.lit(True).alias("hot"))
+    told = hashed.withColumn("word", word).join(F.broadcast(bits), "word", "left").join(F.broadcast(hot), "whole", "left")
+    moves = F.col("whole").isNotNull() & F.coalesce(F.getbit("bits", bit) == 1, F.lit(False)) & F.col("hot").isNull()
+    return told.where(~moves).select(*hashed.columns, "newest", "uri"), told.where(moves).select(*hashed.columns)
+
+
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 1000, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 26, level: int = 3) -> DataFrame:
     """pages(page_id, url, html) -> the index (see ``INDEX``) of bundles written into ``folder``."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    big = F.octet_length("payload") >= revisit_bytes
-    hashed = rows.where(big).withColumn("whole", F.sha2("payload", 256))
+    hashed = rows.withColumn("whole", F.when(F.octet_length("payload") >= revisit_bytes, F.sha2("payload", 256)))
     newest = F.max(F.struct("page_id", "url")).alias("newest")
-    groups = stored(hashed.groupBy("whole").agg(newest, F.count("*").alias("n")).where("n > 1").select("whole", F.col("newest.page_id").alias("newest"), F.col("newest.url").alias("uri"), "n"), "warc-groups")
+    groups = stored(hashed.where("whole IS NOT NULL").groupBy("whole").agg(newest, F.count("*").alias("n")).where("n > 1").select("whole", F.col("newest.page_id").alias("newest"), F.col("newest.url").alias("uri"), "n"), "warc-groups")
+    at_home, moved = parted(hashed, groups)
     refers = F.when((F.col("page_id") < F.col("newest")) | (F.col("page_id").isNull() & F.col("newest").isNotNull()), F.col("newest"))
-    told = spread_join(hashed, groups, ["whole"], "n", "left").select("page_id", "url", "payload", refers.alias("refers_to"), "uri")
-    told = told.unionByName(rows.where(~big).select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("uri")))
+    told = at_home.unionByName(moved.join(groups.select("whole", "newest", "uri"), "whole", "left")).select("page_id", "url", "payload", refers.alias("refers_to"), "uri")
 
     def run(batches):
         writer, part, n = BundleWriter(folder, frame_bytes, bundle_bytes, level), TaskContext.get().partitionId(), 0
