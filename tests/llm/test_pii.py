@@ -1,4 +1,4 @@
-"""op9: base spans against Python's re; recall and precision of added spans on data planted in forms outside the rules."""
+"""op9: base spans against Python's re; recall and precision of added spans on planted data, in forms that the examples have and in forms they don't."""
 
 import random
 import re
@@ -54,7 +54,7 @@ def test_base_spans_of_any_text(spark, texts):
 
 
 def planted(n=400, seed=5):
-    """(doc_id, text, kind or None, start, end): personal data outside the base rules, and look-alikes."""
+    """(doc_id, text, kind or None, start, end): personal data outside the base rules, and look-alikes, in forms that ``pii_examples`` also writes."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     words = "the river runs past an old house and people walk there when it rains or shines".split()
@@ -71,8 +71,9 @@ def planted(n=400, seed=5):
         "card": lambda: card(True),
         "phone": lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(7)}"]),
         "secret": lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)),
+        "national": lambda: r.choice([f"{r.randint(1, 665):03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}", f"JG{d(6)}C"]),
     }
-    cue = {"email": "mail ", "ip": "server ", "card": "card ", "phone": "call ", "secret": 'token = "'}
+    cue = {"email": "mail ", "ip": "server ", "card": "card ", "phone": "call ", "secret": 'token = "', "national": "ssn "}
     other = [lambda: f"{r.randint(1990, 2030)}-{d(1)}{r.randint(1, 9)}-{r.randint(10, 28)}", lambda: f"order {r.randint(1, 9)}{d(9)}", lambda: "commit " + "".join(r.choice("0123456789abcdef") for _ in range(40)), lambda: f"ref {card(False)}", lambda: "isbn 978-3-16-" + d(6) + "-0"]
     for i in range(n):
         left, right = (" ".join(r.choice(words) for _ in range(r.randint(2, 20))) for _ in range(2))
@@ -117,3 +118,77 @@ def test_overlaps(spark):
     assert sorted((r.row, r.start, r.end) for r in open_candidates(found).collect()) == [(1, 9, 12), (1, 14, 16), (2, 1, 2)]
     chosen = spark.createDataFrame([(1, 0, 1, 5, 0.5), (1, 3, 4, 9, 0.9), (1, 2, 9, 12, 0.9), (2, 1, 1, 3, 0.5)], "row long, of int, start long, end long, p double")
     assert sorted(tuple(r) for r in united(chosen).select("row", "kind", "start", "end").collect()) == [(1, 2, 9, 12), (1, 3, 1, 9), (2, 1, 1, 3)]
+
+
+def passing(body):
+    """Digits and the one that makes them pass the card check."""
+    return next(f"{body}{c}" for c in range(10) if passes("card", "0" * (15 - len(body)) + f"{body}{c}"))
+
+
+def unknown_forms(r):
+    """(kind or None, form's name, text before, value): none of these forms is among those of ``pii_examples``."""
+    d = lambda k, first="0123456789": r.choice(first) + "".join(r.choice("0123456789") for _ in range(k - 1))
+    c = lambda k: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(k - 1)) + "7"
+    who, host = r.choice(["tom", "lisa.m", "p_weber", "office"]), r.choice(["north", "lake9", "blue-sky"])
+    octets, sixteen, resident = [str(r.randrange(1, 256)) for _ in range(4)], passing(d(15, "56")), r.randrange(10**7)
+    french = f"{r.choice('12')}{d(2)}{r.randint(1, 12):02}{r.randint(1, 95):02}{d(6)}"
+    french += f"{97 - int(french) % 97:02}"
+    return [
+        ("email", "braces", "reach me: ", f"{who} {{at}} {host} {{dot}} org"),
+        ("email", "co.uk", "", f"{who}[at]{host}.co.uk"),
+        ("email", "half spelled", "e-mail: ", f"{who} at {host}.com"),
+        ("ip", "one point", "from ", f"{octets[0]}.{octets[1]}.{octets[2]}[.]{octets[3]}"),
+        ("ip", "last two points", "seen at ", f"{octets[0]}.{octets[1]}(dot){octets[2]}(dot){octets[3]}"),
+        ("card", "dot and blank", "paid with ", ". ".join(sixteen[i : i + 4] for i in range(0, 16, 4))[:-1] + sixteen[-1]),
+        ("card", "amex with points", "amex ", ".".join((x := passing("34" + d(12)))[a:b] for a, b in ((0, 4), (4, 10), (10, 15)))),
+        ("phone", "one in front", "phone ", f"1-{d(3, '23456789')}-{d(3)}-{d(4)}"),
+        ("phone", "ten digits", "ring ", d(10, "23456789")),
+        ("phone", "blanks", "mobile: ", f"{d(3, '23456789')} {d(3)} {d(4)}"),
+        ("phone", "bracketed zero", "tel ", f"(0{d(2)}) {d(3)} {d(4)}"),
+        ("secret", "github", "export GH_TOKEN=", f"ghp_{c(36)}"),
+        ("secret", "stripe", 'key: "', f"sk_live_{c(24)}"),
+        ("secret", "slack", "bearer ", f"xoxb-{d(12)}-{c(24)}"),
+        ("national", "points", "ssn ", f"{r.randint(1, 665):03}.{r.randint(1, 99):02}.{r.randint(1, 9999):04}"),
+        ("national", "foreigner", "nie ", f"X{resident:07}{'TRWAGMYFPDXBNJZSQVHLCKE'[resident % 23]}"),
+        ("national", "french", "nir ", f"{french[0]} {french[1:3]} {french[3:5]} {french[5:7]} {french[7:10]} {french[10:13]} {french[13:]}"),
+        (None, "time", "at ", f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)} {r.randint(10, 23)}.{r.randint(10, 59)}"),
+        (None, "place", "near ", f"{d(2, '1234')}.{d(6)} {d(2, '1234')}.{d(6)}"),
+        (None, "article", "article ", f"{d(2, '1234')}-{d(3)}-{d(4)}"),
+        (None, "amount", "sum ", f"{d(3, '1234')} {d(3)} {d(3)}.{d(2)}"),
+        (None, "account of a firm", "tracking ", d(14, "123456789")),
+        (None, "uuid", "run ", "-".join("".join(r.choice("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4, 4, 12))),
+        (None, "talk", "we met ", f"{r.choice(['look', 'stare'])} at {r.choice(['noon', 'home'])}"),
+        (None, "file", "see ", f"results/run-{d(4)}/table_{d(3)}.csv"),
+        (None, "wrong letter", "seat ", f"X{resident:07}{'TRWAGMYFPDXBNJZSQVHLCKE'[(resident + 5) % 23]}"),
+    ]
+
+
+def test_forms_that_the_examples_lack(spark):
+    """Recall of each kind, and how much of what is added is right, over 40 texts of each form.
+
+    Two forms are not found and stay in the figures: an address whose only sign is the word "at", and a card of fifteen
+    digits with points.  Numbers inside a secret may give it another kind, so it counts here under which kind it was found.
+    """
+    r = random.Random(11)
+    words = "the river runs past an old house and people walk there when it rains or shines".split()
+    rows = []
+    for _ in range(40):
+        for kind, form, before, value in unknown_forms(r):
+            left, right = (" ".join(r.choice(words) for _ in range(r.randint(3, 20))) for _ in range(2))
+            start = len(left) + 1 + len(before)
+            rows.append((len(rows), f"{left} {before}{value} {right}", kind, form, start, start + len(value)))
+    corpus = [(10_000 + i, "plain words in lines of text without any data at all " * 4) for i in range(50)]
+    found = {g.doc_id: [tuple(s) for s in g.spans] for g in find(spark.createDataFrame([x[:2] for x in rows] + corpus, "doc_id long, text string")).collect()}
+    hits, of_form, right, wrong = dict.fromkeys(KINDS, 0), {}, 0, 0
+    for i, _, kind, form, start, end in rows:
+        hit = [s for s in found[i] if s[1] < end and start < s[2]]
+        of_form[form] = of_form.get(form, 0) + bool(hit)
+        if kind:
+            hits[kind] += bool(hit)
+        right, wrong = right + len(hit) * bool(kind), wrong + len(found[i]) - len(hit) * bool(kind)
+    recall = {k: hits[k] / sum(x[2] == k for x in rows) for k in KINDS}
+    least = {"email": 0.6, "ip": 0.9, "card": 0.45, "phone": 0.9, "secret": 0.85, "national": 0.9}
+    told = (recall, right, wrong, of_form)
+    print(told)
+    assert all(recall[k] >= least[k] for k in KINDS) and right / (right + wrong) >= 0.95, told
+    assert not any(found[i] for i, _ in corpus)

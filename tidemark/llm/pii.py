@@ -5,8 +5,9 @@ and splitting there; lengths of the parts, summed up in three levels, are the pl
 
 1.  Base spans: e-mail, ip, card (Luhn), phone.  They always stay.
 2.  Candidates, by generators that see much more than the rules: any text with an at sign, spelled-out addresses, any run
-    of seven digits or more with the usual separators, defanged addresses, any run of twenty characters or more with
-    letters and digits (secrets, which have no base rule).  They may overlap base spans and each other.
+    of seven digits or more with the usual separators, addresses defanged at one point or more, any run of twenty
+    characters or more with letters and digits (secrets), short runs of digits and letters in the form of a British or
+    Spanish identity number.  Secrets and national identity numbers have no base rule.  They may overlap base spans and each other.
 3.  Gradient-boosted trees on format (digits, groups, separators, length, checks) and context (neighbouring
     characters, a cue word before) learn which candidates are personal data.  Labels come from neither the rules nor the
     corpus: :mod:`tidemark.llm.pii_examples` writes data in forms that the rules don't cover, and look-alikes (dates,
@@ -33,10 +34,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, text_rows
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "national")
 RULED = KINDS[:4]
 MARK, INSTEAD = "\x01", "\x02"
 DOT = r"(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))"
+# Forms of national identity numbers: American, British, Spanish, French (thirteen digits and a key of two).
+SOCIAL, INSURED, RESIDENT = r"[0-9]{3}[ .-][0-9]{2}[ .-][0-9]{4}", r"[A-Z]{2} ?(?:[0-9]{2} ?){3}[A-D]", r"[XYZ0-9][0-9]{7}-?[A-Z]"
+#: The letter of a Spanish number by its remainder, and what British and American numbers don't begin with.
+RESIDENT_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+NOT_INSURED, NOT_SOCIAL = "[DFIQUV]|.[DFIOQUV]|BG|GB|KN|NK|NT|TN|ZZ", "000|666|9|...[ .-]00|.*0000$"
 # Possessive forms of the rules; a look-behind keeps a search from starting again inside a run it has already tried.
 PATTERNS = {
     "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", f"{MARK}$0{MARK}"),
@@ -47,17 +53,18 @@ PATTERNS = {
     "address": (r"(?<![^\s@])[^\s@]++@[^\s@]++", f"{MARK}$0{MARK}"),
     "spelled": (r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[(\[{] ?at ?[)\]}] ?| at |@)[A-Za-z0-9-]++(?:(?: ?[(\[{] ?dot ?[)\]}] ?| dot |\.)[A-Za-z0-9-]++)+", f"{MARK}$0{MARK}"),
     "number": (r"(?<![A-Za-z0-9])[+(]?[0-9][0-9 ().-]*[0-9]", f"{MARK}$0{MARK}"),
-    "defanged": (rf"(?<![0-9])[0-9]++(?:{DOT}[0-9]++){{3}}", f"{MARK}$0{MARK}"),
+    "defanged": (rf"(?<![0-9])(?=[0-9.]{{1,12}}[\[(])[0-9]++(?:(?:{DOT}|\.)[0-9]++){{3}}", f"{MARK}$0{MARK}"),
     "token": (r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{20,}+", f"{MARK}$0{MARK}"),
+    "lettered": (rf"(?<![A-Za-z0-9])(?:{INSURED}|{RESIDENT})(?![A-Za-z0-9])", f"{MARK}$0{MARK}"),
 }
 #: A text is searched only where this is found in it.
-NEEDS = {"email": "@", "address": "@", "phone": r"\+", "spelled": r"(?i)[(\[{ ]dot[)\]} ]|[(\[{] ?at ?[)\]}]", "defanged": r"[0-9][\[(](?:\.|dot)[\])][0-9]"}
-GENERATORS = ("address", "spelled", "number", "defanged", "token")
+NEEDS = {"email": "@", "address": "@", "phone": r"\+", "spelled": r"(?i)[(\[{ ]dot[)\]} ]|[(\[{] ?at ?[)\]}]", "defanged": r"[0-9][\[(](?:\.|dot)[\])][0-9]", "lettered": r"[0-9][ -]?[A-Z]"}
+GENERATORS = ("address", "spelled", "number", "defanged", "token", "lettered")
 #: Words before a candidate that speak for its kind, and those that speak for something else.
-CUES = ("mail|contact|write", "ip|host|server|address", "card|visa|amex|mastercard|account", "phone|tel|call|mobile|fax|ring|contact", "token|secret|key|password|passwd|bearer|auth")
+CUES = ("mail|contact|write", "ip|host|server|address", "card|visa|amex|mastercard|account", "phone|tel|call|mobile|fax|ring|contact", "token|secret|key|password|passwd|bearer|auth", "ssn|security|security number|insurance|insurance number|nino|dni|nie|nif|nir|sociale")
 OTHER_CUES = "order|invoice|isbn|version|page|ref|commit|sha|sha1|sha256|checksum|digest|date|total|no|since|between|build|id|at|hash"
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-FEATURES = ("kind", "length", "digits", "separators", "longest_gap", "plus", "parens", "dots", "colons", "at", "labels", "suffix", "luhn", "octets", "distinct", "groups", "first_group", "last_group", "zero_first", "year_first", "cue", "other_cue", "left_space", "right_space", "letters", "capitals")
+FEATURES = ("kind", "length", "digits", "separators", "longest_gap", "plus", "parens", "dots", "colons", "at", "labels", "suffix", "luhn", "octets", "distinct", "groups", "first_group", "last_group", "zero_first", "year_first", "cue", "other_cue", "left_space", "right_space", "letters", "capitals", "official")
 
 
 def digits_of(value: Column) -> Column:
@@ -75,6 +82,15 @@ def luhn(digits: Column) -> Column:
     return (n > 1) & (F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0), add) % 10 == 0)
 
 
+def official(value: Column) -> Column:
+    """Whether a value passes what its country asks of an identity number."""
+    digits = digits_of(value)
+    whole = F.regexp_replace(F.translate(value, "XYZ", "012"), "[^0-9]", "").cast("long")
+    letter = F.substring(F.lit(RESIDENT_LETTERS), (whole % 23 + 1).cast("int"), F.lit(1)) == F.substring(value, F.char_length(value), F.lit(1))
+    key = (F.char_length(digits) == 15) & digits.rlike("^[12]") & (97 - F.substring(digits, 1, 13).cast("long") % 97 == F.substring(digits, 14, 2).cast("long"))
+    return F.when(value.rlike(f"^{RESIDENT}$"), letter).when(value.rlike("^[0-9]"), value.rlike(f"^(?!{NOT_SOCIAL}){SOCIAL}$") | key).otherwise(value.rlike(f"^(?!{NOT_INSURED}){INSURED}$"))
+
+
 def total(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -148,6 +164,7 @@ def _features(kind: Column, x: Column, text: Column) -> list[Column]:
         F.when(F.substring(text, x["end"].cast("int") + 1, F.lit(1)).rlike(r"^[\s.,;]?$"), 1).otherwise(0),
         count(value, "[A-Za-z]"),
         count(value, "[A-Z]"),
+        F.when(official(value), 1).otherwise(0),
     ]
 
 
@@ -171,7 +188,9 @@ def spans(rows: DataFrame) -> DataFrame:
     def kinded(x: Column) -> Column:
         value, digits = x["value"], F.char_length(digits_of(x["value"]))
         spelled = value.rlike(r"(?i)@|[(\[{ ]at[)\]} ]")
-        kind = F.when(spelled, 0).when(value.rlike(DOT), 1).when(value.rlike("[A-Za-z]"), 4).when(digits >= 16, 2).otherwise(3)
+        national = value.rlike(f"^(?:{SOCIAL}|{INSURED}|{RESIDENT})$") | (digits == 15) & official(value)
+        short_card = (digits == 15) & digits_of(value).rlike("^3[47]") & luhn(digits_of(value))
+        kind = F.when(spelled, 0).when(value.rlike(DOT), 1).when(national, 5).when(short_card, 2).when(value.rlike("[A-Za-z]"), 4).when(digits >= 16, 2).otherwise(3)
         return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), value.alias("value"))
 
     rows = rows.withColumn("loose", F.transform("loose", kinded))
@@ -216,7 +235,7 @@ class Chooser:
         return self.scored(candidates).where(F.col("p") >= limit)
 
 
-def fit(docs: DataFrame, *, sample_docs: int = 5000, examples: int = 8000, trees: int = 12, depth: int = 4, min_precision: float = 0.98) -> Chooser:
+def fit(docs: DataFrame, *, sample_docs: int = 5000, examples: int = 10_000, trees: int = 16, depth: int = 5, min_precision: float = 0.98) -> Chooser:
     """Texts (doc_id, text), of which ``sample_docs`` lend snippets -> chooser."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler

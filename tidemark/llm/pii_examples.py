@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_rows
+from tidemark.llm.pii import KINDS, RESIDENT_LETTERS
 
 PEOPLE = ("anna", "ben", "clara", "david", "elena", "frank", "greta", "hugo", "j.doe", "maria_k", "sales", "info")
 HOSTS = ("example", "mailhost", "acme", "uni-x", "post9", "home", "cloud7", "shop")
@@ -22,7 +23,10 @@ CUE = {
     "card": (("card ", "visa: ", "account ", "card no. "), ("order ", "invoice ", "ref ")),
     "phone": (("call ", "tel. ", "phone: ", "fax ", "mobile "), ("order ", "isbn ", "date ", "total ", "page ", "id ")),
     "secret": (('token = "', "api_key=", "password: ", "secret "), ("commit ", "sha1 ", "checksum ", "file ")),
+    "national": (("ssn ", "ssn: ", "social security number ", "national insurance ", "nino ", "dni "), ("part ", "ref ", "order ", "flight ", "room ")),
 }
+# Forms that are data by what is written before them, and nothing without it.
+CUED = ("secret", "phone by cue")
 
 
 def number(salt: int, limit: int) -> Column:
@@ -38,15 +42,15 @@ def one_of(values, salt: int) -> Column:
     return F.get(F.array(*columns), number(salt, len(columns)).cast("int"))
 
 
-def with_check(fifteen: Column, shift: Column) -> Column:
-    """Fifteen digits and the last one that makes them pass (with another shift, fail) the card check."""
+def with_check(body: Column, shift: Column, n: int = 15) -> Column:
+    """``n`` digits and the last one that makes them pass (with another shift, fail) the card check."""
 
     def add(total: Column, i: Column) -> Column:
-        d = F.ascii(F.substring(fifteen, i, F.lit(1))) - 48
-        return total + F.when(i % 2 == 1, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
+        d = F.ascii(F.substring(body, i, F.lit(1))) - 48
+        return total + F.when(i % 2 == n % 2, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
 
-    weighed = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), add)
-    return F.concat(fifteen, F.pmod(F.lit(10) - weighed % 10 + shift, F.lit(10)).cast("string"))
+    weighed = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), add)
+    return F.concat(body, F.pmod(F.lit(10) - weighed % 10 + shift, F.lit(10)).cast("string"))
 
 
 def grouped(sixteen: Column, separator: Column) -> Column:
@@ -73,14 +77,23 @@ def forms() -> list[tuple[str, bool, list[Column]]]:
     a, b, c = digits(40, 3), digits(41, 3), digits(42, 4)
     year, month, day = (number(43, 40) + 1985).cast("string"), F.lpad((number(44, 12) + 1).cast("string"), 2, "0"), F.lpad((number(45, 28) + 1).cast("string"), 2, "0")
     j = F.concat
+    short, wrong_short = (F.regexp_replace(with_check(F.concat(F.lit("37"), digits(34, 12)), shift, 14), "^(.{4})(.{6})", "$1 $2 ") for shift in (F.lit(0), number(31, 9) + 1))
+    area, group, serial = F.lpad((number(100, 665) + 1).cast("string"), 3, "0"), F.lpad((number(101, 99) + 1).cast("string"), 2, "0"), F.lpad((number(102, 9999) + 1).cast("string"), 4, "0")
+    between, pairs, last = one_of(("-", " "), 103), [digits(104 + i, 2) for i in range(3)], one_of(tuple("ABCD"), 107)
+    insured, uninsured = one_of(("AB", "CE", "JG", "PX", "SR", "TW"), 108), one_of(("QQ", "FD", "NT", "ZZ", "IX"), 108)
+    eight = digits(109, 8)
+    letter = lambda shift: F.substring(F.lit(RESIDENT_LETTERS), (F.pmod(eight.cast("long") + shift, F.lit(23)) + 1).cast("int"), F.lit(1))
     return [
-        ("email", True, [j(person, at, host, dots, end) for at, dots in ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", "."), (" [at] ", "."), ("@", "(dot)")) for at, dots in [(F.lit(at), F.lit(dots))]]),
+        ("email", True, [j(person, at, host, dots, end) for at, dots in ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", "."), (" [at] ", "."), ("@", "(dot)"), (" AT ", " DOT ")) for at, dots in [(F.lit(at), F.lit(dots))]] + [j(person, one_of(("[at]", "(at)", " at ", "@"), 15), host, F.lit("(dot)co(dot)uk"))]),
         ("email", False, [j(person, F.lit(" at "), one_of(PLAIN, 6), F.lit(" dot "), one_of(PLAIN, 7)), j(digits(8, 2), F.lit("@"), digits(9, 1)), j(one_of(PLAIN, 6), F.lit("@"), digits(8, 1), F.lit("x")), j(one_of(PLAIN, 6), F.lit("(at)"), one_of(PLAIN, 7), F.lit("(dot)"), digits(9, 1))]),
         ("ip", True, [F.concat_ws("", octets[0], dot, octets[1], dot, octets[2], dot, octets[3])]),
         ("ip", False, [F.concat_ws("", large[0], dot, large[1], dot, large[2], dot, large[3])]),
-        ("card", True, [grouped(card, gap)]),
-        ("card", False, [grouped(wrong, gap), wrong, j(year, month, day, digits(33, 8)), grouped(wrong, F.lit(" "))]),
+        ("card", True, [grouped(card, gap), grouped(card, gap), short]),
+        ("card", False, [grouped(wrong, gap), wrong, j(year, month, day, digits(33, 8)), grouped(wrong, F.lit(" ")), wrong_short]),
         ("phone", True, [j(F.lit("("), a, F.lit(") "), b, F.lit("-"), c), j(a, F.lit("-"), b, F.lit("-"), c), j(a, F.lit("."), b, F.lit("."), c), j(F.lit("0"), a, F.lit(" "), digits(46, 7)), j(F.lit("00"), digits(47, 2), F.lit(" "), a, F.lit(" "), b, F.lit(" "), c), j(F.lit("0"), digits(48, 1), *(x for i in range(4) for x in (F.lit(" "), digits(50 + i, 2))))]),
+        ("phone by cue", True, [j((number(65, 8) + 2).cast("string"), digits(66, 9))]),
+        ("national", True, [j(area, between, group, between, serial), j(area, between, group, between, serial), F.concat_ws(" ", insured, *pairs, last), j(insured, *pairs, last), j(eight, one_of(("", "-"), 110), letter(F.lit(0)))]),
+        ("national", False, [j(one_of(("000", "666", "923", "987"), 111), between, group, between, serial), j(area, between, F.lit("00"), between, serial), F.concat_ws(" ", uninsured, *pairs, last), j(uninsured, *pairs, last), j(eight, one_of(("", "-"), 110), letter(number(112, 22) + 1))]),
         ("phone", False, [j(year, F.lit("-"), month, F.lit("-"), day), j(year, month, day), j(F.lit("978-"), digits(60, 1), F.lit("-"), digits(61, 2), F.lit("-"), digits(62, 6), F.lit("-"), digits(63, 1)), j((number(64, 90) + 10).cast("string"), F.lit(" "), a, F.lit(" "), b), j((number(65, 9) + 1).cast("string"), digits(66, 9)), j((number(67, 8999999) + 1000000).cast("string"), F.lit("."), digits(68, 2)), j(year, F.lit(" - "), (number(69, 20) + 2025).cast("string")), j(day, F.lit("."), month, F.lit("."), year), j((number(65, 9) + 1).cast("string"), digits(66, 7))]),
         ("secret", True, [mixed(70, 40, HEX), mixed(71, 32, BASE62), j(F.lit("AKIA"), F.upper(mixed(72, 16, BASE62))), mixed(73, 24, BASE62 + "_-")]),
         ("secret", False, [j(one_of(PLAIN, 74), F.lit("-"), one_of(PLAIN, 75), F.lit("-"), one_of(PLAIN, 76), F.lit("-"), digits(77, 4), F.lit("-xx")), mixed(70, 40, HEX), F.concat_ws("-", mixed(78, 8, HEX), mixed(79, 4, HEX), mixed(80, 4, HEX), mixed(81, 12, HEX)), j(F.lit("data/"), one_of(PLAIN, 74), F.lit("/"), one_of(PLAIN, 75), F.lit("/part-"), digits(82, 5))]),
@@ -94,8 +107,6 @@ def written(docs: DataFrame, sample_docs: int, examples: int) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    from tidemark.llm.pii import KINDS
-
     spark = docs.sparkSession
     texts = text_rows(docs)
     # About twice as many texts by their hash, so that what is sorted and cut to the bound doesn't grow.
@@ -112,12 +123,13 @@ def written(docs: DataFrame, sample_docs: int, examples: int) -> DataFrame:
     made = forms()
     value = F.get(F.array(*(F.get(F.array(*f), number(91, len(f)).cast("int")) for *_, f in made)), F.col("form"))
     rows = rows.withColumn("form", F.pmod("row", F.lit(len(made))).cast("int")).withColumn("value", value)
-    kind = F.get(F.array(*(F.lit(KINDS.index(k)) for k, *_ in made)), F.col("form"))
+    kind = F.get(F.array(*(F.lit(KINDS.index(k.split()[0])) for k, *_ in made)), F.col("form"))
     right = F.get(F.array(*(F.lit(r) for _, r, _ in made)), F.col("form"))
-    own, other = (F.get(F.array(*(one_of(CUE[k][side], 92 + side) for k, *_ in made)), F.col("form")) for side in (0, 1))
+    own, other = (F.get(F.array(*(one_of(CUE[k.split()[0]][side], 92 + side) for k, *_ in made)), F.col("form")) for side in (0, 1))
     # Look-alikes have a cue of their own more often than one that misleads; digests are told from secrets by it alone.
     chance = number(94, 20)
-    cue = F.when(F.col("right"), F.when((chance < 14) | (F.col("kind") == KINDS.index("secret")), own).otherwise("")).otherwise(F.when(chance < 9, other).when((chance < 11) & (F.col("kind") != KINDS.index("secret")), own).otherwise(""))
+    cued = F.get(F.array(*(F.lit(k in CUED) for k, *_ in made)), F.col("form"))
+    cue = F.when(F.col("right"), F.when((chance < 14) | cued, own).otherwise("")).otherwise(F.when(chance < 9, other).when((chance < 11) & (F.col("kind") != KINDS.index("secret")), own).otherwise(""))
     rows = rows.withColumns({"kind": kind, "right": right}).withColumn("cue", cue)
     before = F.concat(F.coalesce("left", F.lit("")), F.lit(" "), F.col("cue"))
     start = F.char_length(before).cast("long")
