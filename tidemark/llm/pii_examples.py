@@ -77,9 +77,10 @@ def forms() -> list[tuple[str, bool, list[Column]]]:
     a, b, c = digits(40, 3), digits(41, 3), digits(42, 4)
     year, month, day = (number(43, 40) + 1985).cast("string"), F.lpad((number(44, 12) + 1).cast("string"), 2, "0"), F.lpad((number(45, 28) + 1).cast("string"), 2, "0")
     j = F.concat
-    short, wrong_short = (F.regexp_replace(with_check(F.concat(F.lit("37"), digits(34, 12)), shift, 14), "^(.{4})(.{6})", "$1 $2 ") for shift in (F.lit(0), number(31, 9) + 1))
+    apart = one_of((" ", "-", "."), 113)
+    short, wrong_short = (j(F.substring(x, 1, 4), apart, F.substring(x, 5, 6), apart, F.substring(x, 11, 5)) for shift in (F.lit(0), number(31, 9) + 1) for x in [with_check(F.concat(one_of(("34", "37"), 114), digits(34, 12)), shift, 14)])
     area, group, serial = F.lpad((number(100, 665) + 1).cast("string"), 3, "0"), F.lpad((number(101, 99) + 1).cast("string"), 2, "0"), F.lpad((number(102, 9999) + 1).cast("string"), 4, "0")
-    between, pairs, last = one_of(("-", " "), 103), [digits(104 + i, 2) for i in range(3)], one_of(tuple("ABCD"), 107)
+    between, pairs, last = one_of(("-", " ", "."), 103), [digits(104 + i, 2) for i in range(3)], one_of(tuple("ABCD"), 107)
     insured, uninsured = one_of(("AB", "CE", "JG", "PX", "SR", "TW"), 108), one_of(("QQ", "FD", "NT", "ZZ", "IX"), 108)
     eight = digits(109, 8)
     letter = lambda shift: F.substring(F.lit(RESIDENT_LETTERS), (F.pmod(eight.cast("long") + shift, F.lit(23)) + 1).cast("int"), F.lit(1))
