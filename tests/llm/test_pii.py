@@ -169,7 +169,7 @@ def test_forms_that_the_examples_lack(spark, seed):
     """Recall of each kind, and how much of what is added is right, over 40 texts of each form.
 
     Not found, and left in the figures: an address whose only sign is the word "at", cards and American numbers in one
-    run of digits.  The least values lie below what two draws gave when this was written (email 0.67, ip 1, card 0.5,
+    run of digits.  The least values lie below what single fits gave when this was written (email 0.67, ip 1, card 0.5,
     phone 1, secret 0.68 to 0.96, national 0.62); they guard that state and are no independent aim.  Recall of a form may change
     with the snippets that the examples are written into, so the least values are asked for with two draws.  Numbers inside a secret may give it another kind, so it counts here under which kind it was found.
     """
