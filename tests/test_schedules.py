@@ -83,3 +83,15 @@ def test_ambiguous_twins_get_nothing(spark):
     tagged = positions(spark, ("Larch Mills", HELD[0][7] * 1000.0, None, None), ("Cod Harbour", HELD[2][7] * 1000.0, None, None))
     assert [r.seq for r in schedules.matches(tagged, read(spark, twins)).collect()] == [1]
     assert schedules.matches(tagged.limit(0), read(spark, twins)).count() == 0
+
+
+def test_neither_side_of_whole_filings_goes_through_the_driver(spark, tmp_path):
+    """Staged files look small, as they are compressed and ahead of explodes; so joins by borrower or row are no broadcasts."""
+    read(spark, PAGE).write.parquet(f"{tmp_path}/rows")
+    positions(spark, *((h[1], h[7] * 1000.0, None, None) for h in HELD)).write.parquet(f"{tmp_path}/positions")
+    held, rows = spark.read.parquet(f"{tmp_path}/positions"), spark.read.parquet(f"{tmp_path}/rows")
+    plan = schedules.compared(held, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plan = schedules.enrich(held, rows)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "scale" not in x]
+    assert [str(r.maturity_date) for r in schedules.enrich(held, rows).orderBy("seq").collect()] == [str(h[4]) for h in HELD]

@@ -215,6 +215,9 @@ def compared(positions: DataFrame, rows: DataFrame) -> DataFrame:
 
     A row looks into its value's bucket and both beside it, a position lies in one bucket of each class, so a pair meets once for
     each scale.  Rows of value zero meet positions within half their step, by borrower alone; they are few.
+
+    Here and in the other joins of whole filings both sides are sent (``merge``): the optimizer takes staged files by their size, which is that of
+    compressed rows ahead of any explode, and would send millions of rows through the driver.
     """
     p = positions.where("fair_value > 0").select("accession", "issuer_id", "seq", *(F.col(c).cast("double").alias(f"t_{c}") for c in FIGURES))
     scaled = rows.where("fair_value >= 0").withColumn("dates", F.struct("maturity_date", "acquisition_date")).withColumn("scale", F.explode(F.array(*map(F.lit, SCALES))))
@@ -224,9 +227,9 @@ def compared(positions: DataFrame, rows: DataFrame) -> DataFrame:
     r = scaled.withColumn("band", band).where("band IS NOT NULL").withColumn("bucket", bucket)
     r = r.withColumn("bucket", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.col("bucket") + d)))
     places = F.array(*(F.struct(F.lit(i).alias("band"), _bucket(F.col("t_fair_value"), width).alias("bucket")) for i, (_, width) in enumerate(BANDS)))
-    met = p.select("*", F.inline(places)).join(r, ["accession", "issuer_id", "band", "bucket"]).drop("band", "bucket")
+    met = p.select("*", F.inline(places)).join(r.hint("merge"), ["accession", "issuer_id", "band", "bucket"]).drop("band", "bucket")
     nil = scaled.where(F.col("fair_value") < F.col("fair_value_step"))
-    return met.unionByName(p.join(nil, ["accession", "issuer_id"]).where(F.col("t_fair_value") <= 0.5 * F.col("fair_value_step") * F.col("scale")))
+    return met.unionByName(p.join(nil.hint("merge"), ["accession", "issuer_id"]).where(F.col("t_fair_value") <= 0.5 * F.col("fair_value_step") * F.col("scale")))
 
 
 def candidates(positions: DataFrame, rows: DataFrame) -> DataFrame:
@@ -289,8 +292,9 @@ def enrich(positions: DataFrame, rows: DataFrame) -> DataFrame:
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row"))).alias(f"_{c}")
     year = lambda c, name: F.when(F.count_distinct(F.year(c)) == 1, F.min(F.year(c))).alias(name)
     borrowers = rows.groupBy("accession", "issuer_id").agg(first("industry"), first("country"), year("acquisition_date", "_acquired"), year("maturity_date", "_matures"))
-    dated = matches(positions, rows).join(rows.select("accession", "row", F.col("maturity_date").alias("_m"), F.col("acquisition_date").alias("_a")), ["accession", "row"]).select("accession", "seq", "_m", "_a")
-    out = positions.join(borrowers, ["accession", "issuer_id"], "left").join(dated, ["accession", "seq"], "left")
+    printed = rows.select("accession", "row", F.col("maturity_date").alias("_m"), F.col("acquisition_date").alias("_a"))
+    dated = matches(positions, rows).join(printed.hint("merge"), ["accession", "row"]).select("accession", "seq", "_m", "_a")
+    out = positions.join(borrowers.hint("merge"), ["accession", "issuer_id"], "left").join(dated.hint("merge"), ["accession", "seq"], "left")
     dates = {"maturity_date": F.coalesce("maturity_date", "_m"), "acquisition_date": F.coalesce("acquisition_date", "_a")}
     filled = {"industry": F.coalesce("industry", "_industry"), "country": F.coalesce("country", "_country")} | dates
     filled["year_acquired"] = F.coalesce("year_acquired", F.when(dates["acquisition_date"].isNull(), F.col("_acquired")))
@@ -309,10 +313,10 @@ def match_report(positions: DataFrame, rows: DataFrame) -> DataFrame:
     reached = candidates(positions, rows).join(best, ["accession", "scale"], "left_semi").select("accession", "seq").distinct()
     tagged = (
         positions.select("accession", "issuer_id", "seq", "fair_value")
-        .join(rows.select("accession", "issuer_id").distinct().withColumn("printed", F.lit(True)), ["accession", "issuer_id"], "left")
+        .join(rows.select("accession", "issuer_id").distinct().withColumn("printed", F.lit(True)).hint("merge"), ["accession", "issuer_id"], "left")
         .join(best.select("accession").withColumn("scaled", F.lit(True)), "accession", "left")
-        .join(scale.select("accession", "seq").withColumn("matched", F.lit(True)), ["accession", "seq"], "left")
-        .join(reached.withColumn("reached", F.lit(True)), ["accession", "seq"], "left")
+        .join(scale.select("accession", "seq").withColumn("matched", F.lit(True)).hint("merge"), ["accession", "seq"], "left")
+        .join(reached.withColumn("reached", F.lit(True)).hint("merge"), ["accession", "seq"], "left")
     )
     outcome = (
         F.when(F.col("scaled").isNull() | F.col("printed").isNull(), "borrower_not_in_schedule")
