@@ -205,3 +205,15 @@ def test_quarters_come_from_the_marks(spark, tmp_path):
         assert all(None not in r for r in grid.collect())
     empty = lens_frames(spark, str(tmp_path))
     assert views.quarter_grid(empty, since="2100-01-01").collect() == []
+
+
+def test_facts_are_dealt_out_before_they_are_merged(spark):
+    """A scan's task may hold very many facts; merging there sorts all of them at once."""
+    made = [("a", 1, "us-gaap:InvestmentOwnedAtFairValue", "instant", "2026-06-30", None, 5.0, "iso4217:USD", {"us-gaap_InvestmentIdentifierAxis": "Acme, First Lien Term Loan"})]
+    rows = spark.createDataFrame(made, "accession string, seq long, concept string, period_type string, period_instant string, value string, numeric_value double, currency string, dims map<string, string>")
+    filed = spark.createDataFrame([("a", 1, "10-Q", "2026-08-01")], "accession string, cik long, form string, filed_date string")
+    out = facts.to_positions(rows, filed)
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    merging = [i for i, x in enumerate(plan) if "Aggregate(" in x]
+    assert merging and any("Exchange hashpartitioning(accession" in x for x in plan[max(merging) :])
+    assert [(r.cik, r.fair_value) for r in out.collect()] == [(1, 5)]

@@ -72,7 +72,9 @@ def to_positions(facts: DataFrame, filings: DataFrame, periods: list[str] | None
     def last(axis: str) -> Column:
         return F.max_by(axis, F.when(F.col(axis).isNotNull(), F.col("seq")))
 
-    wide = rows.groupBy("accession", "identifier", "period_end").agg(
+    # Few files may hold very many facts, and a task would sort all of its own to merge them; dealt out first, a task sorts one partition.
+    key = ("accession", "identifier", "period_end")
+    wide = rows.repartition(*key).groupBy(*key).agg(
         *(coerce.to_decimal(first(c)).alias(c) for c in MONEY_FIELDS),
         *(coerce.to_rate_pct(first(c)).alias(c) for c in RATE_FIELDS),
         *(coerce.to_date(first(c)).alias(c) for c in ("maturity_date", "acquisition_date")),
