@@ -17,7 +17,7 @@ from tidemark.operators import clean, fx
 from tidemark.plans import views
 from tidemark.plans.store import lens_frames, merged_marks, open_store
 from tidemark.sinks import export, server
-from tidemark.sources import facts, tables
+from tidemark.sources import facts, lens, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -217,3 +217,18 @@ def test_facts_are_dealt_out_before_they_are_merged(spark):
     merging = [i for i, x in enumerate(plan) if "Aggregate(" in x]
     assert merging and any("Exchange hashpartitioning(accession" in x for x in plan[max(merging) :])
     assert [(r.cik, r.fair_value) for r in out.collect()] == [(1, 5)]
+
+
+def test_facilities_are_merged_before_they_are_sent(spark):
+    """A window ahead of the grouping would send every filed row; without one, tasks merge their own rows first."""
+    lines = rows(spark, (100, 90, 80), (None, None, 80), (50, 50, 40)).repartition(3)
+    plan = clean.merge_facilities(lines)._jdf.queryExecution().executedPlan().toString().splitlines()
+    sent = max(i for i, x in enumerate(plan) if "Exchange hashpartitioning(loan_id" in x)
+    assert not any("Window" in x for x in plan) and any("partial_sum" in x for x in plan[sent:])
+
+
+def test_lens_describes_merged_rows_as_it_does_lines(spark):
+    plain, late = clean.merge_facilities(lens.positions(spark, SF)), lens.merged(spark, SF)
+    assert sorted(plain.columns) == sorted(late.columns)
+    exact = [c for c in plain.columns if c not in clean.RATES]
+    assert plain.select(exact).exceptAll(late.select(exact)).isEmpty() and late.select(exact).exceptAll(plain.select(exact)).isEmpty()

@@ -43,7 +43,7 @@ def fx_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixings on the day itself, five days before it and six days before it, which is too old."""
     moved = F.when(F.col("currency") == "GBP", 2).when(F.col("currency") == "EUR", -3).otherwise(-4)
     rates = lens.rates(spark, sf_dir).withColumn("rate_date", F.date_add("rate_date", moved))
-    rows = fx.convert(clean.merge_facilities(lens.positions(spark, sf_dir)), rates)
+    rows = fx.convert(lens.merged(spark, sf_dir), rates)
     lost = F.exists("flags", lambda x: x.startswith("no_fx_rate"))
     return rows.groupBy("cik", "accession").agg(money(F.sum(F.col("principal_usd").cast(coerce.MONEY))).alias("principal_usd"), F.date_format(F.max("fx_date"), "yyyy-MM-dd").alias("fx_date"), F.count(F.when(lost, 1)).alias("lost"))
 
@@ -67,8 +67,8 @@ def tables_quarter() -> Column:
 
 
 def _loads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows, rates = lens.positions(spark, sf_dir), lens.rates(spark, sf_dir)
-    return tuple(clean.clean(rows.where(F.col("source") == s), rates) for s in ("dera", "xbrl"))
+    rates = lens.rates(spark, sf_dir)
+    return tuple(clean.clean_merged(lens.merged(spark, sf_dir, s), rates) for s in ("dera", "xbrl"))
 
 
 def upsert_marks(spark: SparkSession, sf_dir: str) -> DataFrame:

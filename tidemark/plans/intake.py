@@ -81,8 +81,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads into one store, each source's filings, and the marks that the second snapshot has of each period."""
     root = shared_path(spark, "store")
     for source in ("dera", "xbrl"):
-        rows = lens.positions(spark, sf_dir).where(F.col("source") == source)
-        found = store.load(spark, root, rows, lens.rates(spark, sf_dir), new=source == "dera", source=source, scope="lens")
+        found = store.load_merged(spark, root, lens.merged(spark, sf_dir, source), lens.rates(spark, sf_dir), new=source == "dera", source=source, scope="lens")
     log = store.run_log(spark, root).select("snapshot", "source", "scope", "rows", "periods")
     marks = found.marks.agg(F.count("*").alias("marks_after"))
     return log.join(marks.withColumn("snapshot", F.lit(2).cast("long")), "snapshot", "left")

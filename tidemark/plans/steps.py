@@ -22,12 +22,12 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clean.merge_facilities(_rows(spark, sf_dir))
+    rows = lens.merged(spark, sf_dir)
     return rows.select("loan_id", "accession", money(F.col("fair_value")).alias("fair_value"), money(F.col("cost")).alias("cost"), money(F.col("principal")).alias("principal"), F.round("interest_rate", 6).alias("interest_rate"), F.round("pik_rate", 6).alias("pik_rate"), F.date_format("maturity_date", "yyyy-MM-dd").alias("maturity_date"), F.col("is_non_accrual").cast("int").alias("is_non_accrual"), "industry", F.array_join("flags", ",").alias("flags"))
 
 
 def infer_accrual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clean.infer_accrual(clean.merge_facilities(_rows(spark, sf_dir)))
+    rows = clean.infer_accrual(lens.merged(spark, sf_dir))
     return rows.groupBy("cik", "accession").agg(F.count(F.when(F.col("is_non_accrual"), 1)).alias("on"), F.count(F.when(~F.col("is_non_accrual"), 1)).alias("off"), F.count(F.when(F.col("is_non_accrual").isNull(), 1)).alias("unknown"))
 
 
@@ -40,7 +40,7 @@ def scale_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.convert(clean.merge_facilities(_rows(spark, sf_dir)), lens.rates(spark, sf_dir))
+    rows = fx.convert(lens.merged(spark, sf_dir), lens.rates(spark, sf_dir))
     return rows.groupBy("cik", "accession").agg(money(F.sum(F.col("principal_usd").cast(coerce.MONEY))).alias("principal_usd"), F.round(F.max("fx_rate"), 6).alias("fx_rate"), F.date_format(F.max("fx_date"), "yyyy-MM-dd").alias("fx_date"), F.count(F.when(F.exists("flags", lambda x: x.startswith("no_fx_rate")), 1)).alias("lost"))
 
 

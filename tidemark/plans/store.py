@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import identity
 from tidemark.functions.coerce import MONEY
-from tidemark.operators.clean import basis, clean, mark
+from tidemark.operators.clean import basis, clean, clean_merged, mark
 from tidemark.sources import lens
 from tidemark.sources.schedules import enrich
 from tidemark.storage import delete, names_in, publish, read_text, shared_path
@@ -211,13 +211,21 @@ def load(spark: SparkSession, root: str, positions: DataFrame, rates: DataFrame,
 
     Rows of printed schedules complete the positions before facilities are merged.  ``source`` and ``scope`` are for the run log.
     """
-    started = datetime.now(UTC).isoformat(timespec="seconds")
+    started = datetime.now(UTC)
     if schedule_rows is not None:
         positions = enrich(positions, schedule_rows)
+    return _load(spark, root, clean(positions, rates), started, new=new, source=source, scope=scope, stream=stream)
+
+
+def load_merged(spark: SparkSession, root: str, merged: DataFrame, rates: DataFrame, *, new: bool = False, source: str = "bulk", scope: str = "") -> Frames:
+    """:func:`load` of positions whose facilities are merged."""
+    return _load(spark, root, clean_merged(merged, rates), datetime.now(UTC), new=new, source=source, scope=scope)
+
+
+def _load(spark: SparkSession, root: str, cleaned: DataFrame, started: datetime, *, new: bool, source: str, scope: str, stream: tuple[str, int] | None = None) -> Frames:
     staged = shared_path(spark, "cleaned")
-    cleaned = clean(positions, rates)
     cleaned.write.option("compression", "zstd").parquet(staged)
-    return put(spark, root, spark.read.schema(cleaned.schema).parquet(staged), new=new, source=source, scope=scope, started=started, stream=stream)
+    return put(spark, root, spark.read.schema(cleaned.schema).parquet(staged), new=new, source=source, scope=scope, started=started.isoformat(timespec="seconds"), stream=stream)
 
 
 def applied(spark: SparkSession, root: str, stream: str) -> int:
@@ -303,5 +311,5 @@ def lens_frames(spark: SparkSession, sf_dir: str) -> Frames:
     """The store of a data set, loaded on first use in an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _OPEN:
-        _OPEN[key] = load(spark, shared_path(spark, "store"), lens.positions(spark, sf_dir), lens.rates(spark, sf_dir), new=True)
+        _OPEN[key] = load_merged(spark, shared_path(spark, "store"), lens.merged(spark, sf_dir), lens.rates(spark, sf_dir), new=True)
     return _OPEN[key]

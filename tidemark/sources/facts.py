@@ -92,7 +92,7 @@ def to_positions(facts: DataFrame, filings: DataFrame, periods: list[str] | None
 def flag_footnotes(positions: DataFrame, footnotes: DataFrame) -> DataFrame:
     """Positions named in a non-accrual footnote (accession, identifier, period_end) are on non-accrual."""
     marks = footnotes.select("accession", "identifier", "period_end").distinct().withColumn("_noted", F.lit(True))
-    rows = positions.join(marks, ["accession", "identifier", "period_end"], "left")
+    rows = positions.join(marks.hint("merge"), ["accession", "identifier", "period_end"], "left")
     return rows.withColumn("is_non_accrual", F.coalesce("_noted", "is_non_accrual")).drop("_noted")
 
 
