@@ -5,11 +5,12 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import LONGEST, SHORTEST, Merkle, Store, _fetched, cuts, merkle_root, write
+from tidemark.llm.store import LONGEST, SHORTEST, Merkle, Store, _cut, _fetched, cuts, merkle_root, write
 from tidemark.llm.tokens import UnitEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -75,3 +76,22 @@ def test_a_hot_chunk_stays_in_place(spark, tmp_path):
     met = _fetched(wanted, shared)
     assert met.count() == 3000 and met.where("address <> content").count() == 0
     assert met.where("address = 'hot'").groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_documents_are_cut_together_as_they_are_alone():
+    """Lengths around the shortest chunk and the step that ids are hashed in; hits of the hash near a document's start are no cuts."""
+    r = np.random.default_rng(3)
+    sizes = [0, 1, 15, 16, 127, 128, 129, 5000, 0, 300_000, 2, *r.integers(0, 900, 400).tolist()]
+    docs = [r.integers(0, 49_000, n).astype("<u4") for n in sizes] + [np.zeros(5000, "<u4")]
+    alone = [np.concatenate((x, np.array([1], "<u4"))) for x in docs]
+    found = list(_cut(docs, 1))
+    assert [x.tobytes() for x, _ in found] == [x.tobytes() for x in alone] and [e for _, e in found] == [cuts(x) for x in alone]
+    assert list(_cut([], 1)) == []
+
+
+def test_line_ends_separate_words():
+    """Words met at a line end are words of their own, not one for each pair; ids are those of the whole text."""
+    encoder = UnitEncoder(Path(PATH).read_bytes(), "word")
+    texts = ["One, two.\nThree four\n\nfive", "\n", "", "a\r\nb \n c", "it\n's", "e\ń", "x" * 40 + "\n" + "y" * 40, "ÉT\nÉ isn't\tIT'S"]
+    assert [x.tobytes() for x in encoder.encode(pa.array(texts))] == [encoder.whole(t) for t in texts]
+    assert not any("\n" in word for word in encoder)

@@ -41,6 +41,8 @@ STAGED_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("chunks"
 PACKED_ARROW = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("chunks", pa.list_(BYTES)), ("lengths", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("own", BYTES), ("shared", SHARED), ("root", BYTES)])
 READ_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", BYTES)])
 BATCH_BYTES = 4 << 20
+#: Ids that are hashed in one step.
+CUT_IDS = 1 << 18
 
 
 def address(content: bytes) -> bytes:
@@ -77,11 +79,11 @@ def merkle_root(leaves) -> bytes:
     return tree.root()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id sequence."""
-    n = len(ids)
-    if n <= SHORTEST:
-        return [n]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places of an id sequence behind which the rolling hash lets a chunk end.
+
+    Documents may follow each other in ``ids``: windows that reach into the one before end less than ``SHORTEST`` ids behind it, where no cut is.
+    """
     # A window's hash, by doubling: each step joins two neighbouring halves.
     h = ids.astype(np.uint32) * np.uint32(2654435761)
     h ^= h >> np.uint32(15)
@@ -90,8 +92,15 @@ def cuts(ids: np.ndarray) -> list[int]:
         joined = h.copy()
         joined[k:] += h[:-k] * factor
         h, k, factor = joined, 2 * k, np.uint32(int(factor) * int(factor) & 0xFFFFFFFF)
+    return np.flatnonzero((h >> np.uint32(20)) & MASK == 0) + 1
+
+
+def chunk_ends(n: int, places: list[int]) -> list[int]:
+    """Ends of the chunks of ``n`` ids with these marks."""
+    if n <= SHORTEST:
+        return [n]
     out, start = [], 0
-    for end in (np.flatnonzero((h >> np.uint32(20)) & MASK == 0) + 1).tolist():
+    for end in places:
         while end - start > LONGEST:
             start += LONGEST
             out.append(start)
@@ -104,6 +113,30 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out + [n] if start < n else out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id sequence."""
+    return chunk_ends(len(ids), marks(ids).tolist())
+
+
+def _cut(docs: list[np.ndarray], end_id: int):
+    """(ids with the end id, ends of its chunks) of each document; about ``CUT_IDS`` ids are hashed at a time."""
+    end, at = np.array([end_id], "<u4"), 0
+    sizes = np.cumsum([len(x) + 1 for x in docs])
+    while at < len(docs):
+        base = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, base + CUT_IDS, "right")))
+        ids = np.concatenate([x for doc in docs[at:to] for x in (doc, end)])
+        bounds = np.concatenate(([0], sizes[at:to] - base))
+        places = marks(ids)
+        # A mark right behind a document's last id is that document's.
+        of = np.searchsorted(places, bounds, "right").tolist()
+        bounds = bounds.tolist()
+        for i in range(to - at):
+            a, b = bounds[i], bounds[i + 1]
+            yield ids[a:b], chunk_ends(b - a, (places[of[i] : of[i + 1]] - a).tolist())
+        at = to
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -126,14 +159,11 @@ def _stage(docs: DataFrame, tokenizer_path: str, unit: str, end_id: int, width:
 
     def run(batches):
         encode, base = tokenizer.encoder(unit).encode, TaskContext.get().partitionId() << 33
-        end = np.array([end_id], "<u4")
 
         def rows():
             n = 0
             for batch in batches:
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
-                    ids = np.concatenate((ids, end))
-                    ends = cuts(ids)
+                for doc_id, (ids, ends) in zip(batch.column(0).to_pylist(), _cut(encode(batch.column(1)), end_id), strict=True):
                     content = ids.astype(f"<u{width}").tobytes()
                     starts = [0, *ends[:-1]]
                     chunks = [address(content[width * a : width * b]) for a, b in zip(starts, ends, strict=True)]
@@ -170,18 +200,21 @@ def _pack(staged: DataFrame, width: int) -> DataFrame:
                         continue
                     if row != last:
                         owned, elsewhere = set(), set()
-                    place = [1 if i in owned else 2 if i in elsewhere else 0 for i in range(len(chunks))]
-                    at, kept, shared = 0, [], []
-                    for i, n in enumerate(lengths):
-                        piece = content[at : at + width * n]
-                        at += width * n
-                        if place[i] == 0:
-                            kept.append(piece)
-                        elif place[i] == 1:
-                            shared.append({"address": chunks[i], "content": piece})
+                    place, kept, shared = [0] * len(chunks), content, []
+                    if owned or elsewhere:
+                        place = [1 if i in owned else 2 if i in elsewhere else 0 for i in range(len(chunks))]
+                        at, pieces = 0, []
+                        for chunk, n, where in zip(chunks, lengths, place, strict=True):
+                            piece = content[at : at + width * n]
+                            at += width * n
+                            if where == 0:
+                                pieces.append(piece)
+                            elif where == 1:
+                                shared.append({"address": chunk, "content": piece})
+                        kept = b"".join(pieces)
                     root, n = merkle_root(chunks), sum(lengths)
                     tree.add(root)
-                    yield len(content) + 100, ("document", part, seq, doc_id, n, width, chunks, lengths, place, b"".join(kept), shared, root)
+                    yield len(content) + 100, ("document", part, seq, doc_id, n, width, chunks, lengths, place, kept, shared, root)
                     seq, ids = seq + 1, ids + n
             if seq:
                 yield 100, ("manifest", part, seq, None, ids, width, None, None, None, None, None, tree.root())
@@ -240,19 +273,21 @@ class Store:
         def run(batches):
             def rows():
                 for batch in batches:
-                    for r in batch.to_pylist():
-                        content = {x["address"]: x["content"] for x in (r["shared"] or []) + (r.get("fetched") or [])}
+                    found = batch.column("fetched").to_pylist() if "fetched" in batch.schema.names else [None] * len(batch)
+                    columns = [batch.column(c).to_pylist() for c in ("part", "seq", "doc_id", "n_tokens", "width", "chunks", "lengths", "place", "own", "shared", "root")]
+                    for part, seq, doc_id, n_tokens, width, chunks, lengths, places, own, shared, root, fetched in zip(*columns, found, strict=True):
+                        content = {x["address"]: x["content"] for x in (shared or []) + (fetched or [])}
                         at, pieces = 0, []
-                        for chunk, n, place in zip(r["chunks"], r["lengths"], r["place"], strict=True):
-                            piece = content.get(chunk, b"") if place else r["own"][at : at + n * r["width"]]
-                            at += 0 if place else n * r["width"]
-                            if address(piece) != chunk or len(piece) != n * r["width"]:
-                                raise ValueError(f"document {r['doc_id']}: a chunk is not what its address says")
+                        for chunk, n, place in zip(chunks, lengths, places, strict=True):
+                            piece = content.get(chunk, b"") if place else own[at : at + n * width]
+                            at += 0 if place else n * width
+                            if address(piece) != chunk or len(piece) != n * width:
+                                raise ValueError(f"document {doc_id}: a chunk is not what its address says")
                             pieces.append(piece)
-                        if merkle_root(r["chunks"]) != r["root"]:
-                            raise ValueError(f"document {r['doc_id']}: its recipe is not what its root says")
-                        ids = np.frombuffer(b"".join(pieces), f"<u{r['width']}").astype("<u4").tobytes()
-                        yield len(ids), (r["part"], r["seq"], r["doc_id"], r["n_tokens"], ids)
+                        if merkle_root(chunks) != root:
+                            raise ValueError(f"document {doc_id}: its recipe is not what its root says")
+                        ids = np.frombuffer(b"".join(pieces), f"<u{width}").astype("<u4").tobytes()
+                        yield len(ids), (part, seq, doc_id, n_tokens, ids)
 
             yield from _grouped(rows(), READ_ARROW)
 

@@ -85,6 +85,7 @@ class UnitEncoder(dict):
         rules = tuple(part and json.loads(part.__getstate__()) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
         self.unit = unit if unit == "text" or rules == RULES[unit] and type(self.tokenizer.model).__name__ == "BPE" else "text"
         self.model, self.lead, self.letters, self.older = self.tokenizer.model, " " * (self.unit == "space"), byte_letters(), {}
+        self.letter_lead = self.lead.translate(self.letters)
         self.marks, self.line_end, self.starts = {x: self.whole(x) for x in ".,"}, self.whole("\n"), {}
 
     def whole(self, text: str) -> bytes:
@@ -93,10 +94,13 @@ class UnitEncoder(dict):
     def unit_ids(self, word: str) -> bytes:
         # A "word" file composes and lower-cases, which leaves lower-case Latin as it is; a "space" file changes nothing.
         if word.isalpha() and (max(word) < OLD if self.lead else max(word) < LATIN and word == word.lower()):
-            piece = (self.lead + word).encode().decode("latin-1").translate(self.letters)
-            return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
+            return self.piece_ids(word.encode().decode("latin-1").translate(self.letters))
         return self.whole(self.lead + word)
 
+    def piece_ids(self, letters: str) -> bytes:
+        """Ids of a word of letters alone, in the letters that byte-level tokenizers write for its bytes (for ASCII, itself)."""
+        return array("I", [x.id for x in self.model.tokenize(self.letter_lead + letters)]).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         if len(word) > 64:
             return self.whole(self.lead + word)
@@ -105,7 +109,9 @@ class UnitEncoder(dict):
             self.clear()
         ids = self.older.get(word)
         if ids is None:
-            if not self.lead and (parts := word.split()) != [word]:
+            if word.isascii() and word.isalpha():
+                ids = self.piece_ids(word) if self.lead or word.islower() else self[word.lower()]
+            elif not self.lead and (parts := word.split()) != [word]:
                 ids = b"".join(map(self.__getitem__, parts))
             elif self.lead and LINES.fullmatch(word):
                 parts = word.split("\n")
@@ -149,21 +155,21 @@ class UnitEncoder(dict):
         if self.unit == "text":
             return [np.frombuffer(self.whole(t), "<u4") for t in texts.to_pylist()]
         odd = pc.match_substring_regex(texts, WHOLE[self.unit]).to_numpy(zero_copy_only=False)
-        cut = pc.split_pattern(texts, " ")
+        # Where white space is dropped, line ends separate words as spaces do.
+        cut = pc.split_pattern(texts if self.lead else pc.replace_substring(texts, "\n", " "), " ")
         numbered = cut.flatten().dictionary_encode()
         first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        codes, words = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes, words = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         pieces = [self[w] for w in words]
         if self.lead:
-            begin = first[:-1]
+            begin, codes = first[:-1], codes.astype(np.int64)
             pieces += [self.whole(words[c]) for c in codes[begin].tolist()]
             codes[begin] = len(words) + np.arange(len(begin))
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        flat, starts = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(sizes) - sizes
-        per_word = sizes[codes]
-        ends = np.concatenate(([0], np.cumsum(per_word)))
-        ids = flat[np.repeat(starts[codes] - ends[:-1], per_word) + np.arange(ends[-1])]
-        bounds = ends[first]
+        # Arrow copies the words' ids behind each other; the places are 64 bits, as four bytes an id can pass two gigabytes.
+        joined = pa.array(pieces, pa.large_binary()).take(pa.array(codes))
+        _, places, content = joined.buffers()
+        bounds = np.frombuffer(places, np.int64, len(codes) + 1)[first] // 4
+        ids = np.frombuffer(content or b"", "<u4", bounds[-1])
         out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         for i in np.flatnonzero(odd).tolist():
             out[i] = np.frombuffer(self.whole(texts[i].as_py()), "<u4")
